@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barwise.llm import near_dedup, suffix_dedup
+from barwise.llm import chat, decontaminate, fingerprint, html_text, langid, near_dedup, packing, quality, suffix_dedup, toxicity
 
-_MODULES = (suffix_dedup, near_dedup)
+_MODULES = (packing, suffix_dedup, decontaminate, html_text, chat, near_dedup, fingerprint, toxicity, langid, quality)
 
 QUERIES: dict = {}
 ORACLE: dict = {}

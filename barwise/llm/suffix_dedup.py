@@ -281,6 +281,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
     return texts.mapInArrow(_removed(length, gram, keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK_CONTEXTS) -> DataFrame:
+    """docs with every repeated string cut out of text, n_chars following where it is a column; all rows and columns stay."""
+    found = repeated_contexts(docs, length, gram, block).groupBy("doc_id").agg(F.collect_set(F.struct("h", "c", "mask")).alias("found"))
+    whole = F.struct(*(F.lit(None).cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns)).alias("whole")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), whole).join(found, "doc_id", "left")
+    kept = texts.select("doc_id", "text", "whole", "found")
+    kinds = dict(kept.dtypes)
+    cut = kept.mapInArrow(_removed(length, gram, True), f"doc_id {kinds['doc_id']}, whole {kinds['whole']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return cut.select(*(new[c].alias(c) if c in new else F.col("whole").getField(c).alias(c) for c in docs.columns))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
