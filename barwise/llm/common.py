@@ -82,7 +82,7 @@ def fold() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of ``column``, one row at least, so that work arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
