@@ -11,16 +11,28 @@ class ContractError(ValueError):
     """A table lacks a column or has one of another type."""
 
 
-BAR = T.StructType.fromDDL("exchange string, symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume bigint, oi bigint")
-TICK = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "timestamp": T.TimestampType(), "date": T.DateType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType()}
+
+
+def fields(text: str, **more: T.DataType) -> T.StructType:
+    """A schema from 'name type' pairs; usable before there is a session. more names types that are not plain."""
+    pairs = (x.split() for x in text.split(","))
+    return T.StructType([T.StructField(n, more[n] if n in more else _KINDS[k]) for n, k in pairs])
+
+
+LADDER = T.ArrayType(fields("price double, quantity bigint, orders int"))
+BAR = fields("exchange string, symbol string, timeframe string, ts timestamp, open double, high double, low double, close double, volume bigint, oi bigint")
+TICK = fields(
     "instrument_key string, ts timestamp, seq bigint, last_price double, last_quantity bigint, volume_traded_today bigint, average_traded_price double, total_buy_quantity bigint, "
-    "total_sell_quantity bigint, open_interest bigint, bids array<struct<price:double,quantity:bigint,orders:int>>, asks array<struct<price:double,quantity:bigint,orders:int>>, received_at timestamp"
+    "total_sell_quantity bigint, open_interest bigint, bids ladder, asks ladder, received_at timestamp",
+    bids=LADDER,
+    asks=LADDER,
 )
-ACTION = T.StructType.fromDDL("symbol string, ex_date date, action_type string, ratio_new double, ratio_old double, value_per_share_inr double, rights_issue_price_inr double, price_factor_override double, note string, source string")
-HOLIDAY = T.StructType.fromDDL("date date, name string, confidence string, source string")
-SPECIAL = T.StructType.fromDDL("date date, label string, continuous_start string, continuous_end string, pre_open_start string, pre_open_end string, post_close_start string, post_close_end string, tradeable string, source string")
-INSTRUMENT = T.StructType.fromDDL("symbol string, exchange string, kind string, token bigint, lot_size int, tick_size double")
-WORD = T.StructType.fromDDL("doc_id bigint, page_index int, text string, x0 double, x1 double, top double, bottom double")
+ACTION = fields("symbol string, ex_date date, action_type string, ratio_new double, ratio_old double, value_per_share_inr double, rights_issue_price_inr double, price_factor_override double, note string, source string")
+HOLIDAY = fields("date date, name string, confidence string, source string")
+SPECIAL = fields("date date, label string, continuous_start string, continuous_end string, pre_open_start string, pre_open_end string, post_close_start string, post_close_end string, tradeable string, source string")
+INSTRUMENT = fields("symbol string, exchange string, kind string, token bigint, lot_size int, tick_size double")
+WORD = fields("doc_id bigint, page_index int, text string, x0 double, x1 double, top double, bottom double")
 
 #: Seconds of a bar; a daily bar has none.
 TIMEFRAMES = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600, "1d": None}
