@@ -77,6 +77,13 @@ def hinted(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, rows) else df
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join in which null keys are equal; the keys of left stay."""
+    own = right.select(*(F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(own, on, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def fold() -> "F.Column":
     """crc32 of the decimal doc_id mod 5; fold 0 is held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5

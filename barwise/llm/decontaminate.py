@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.llm.common import small_enough, table, written
+from barwise.llm.common import joined, small_enough, table, written
 
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,7 +77,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     texts = windows.where("at = 0").select("item", "item_id", "iw")
     per_row = found.join(_sized(texts), "item").groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "iw", "shift")).alias("found"))
     per_row = written(per_row, "decon-found")
-    read = docs.join(_sized(per_row), ["doc_id", "row"]).select("doc_id", "row", _words(F.col("text")).alias("dw"), "found")
+    read = joined(docs, _sized(per_row), ["doc_id", "row"]).select("doc_id", "row", _words(F.col("text")).alias("dw"), "found")
 
     def matched(x):
         size = F.least(F.size(x["iw"]), F.lit(window))
@@ -104,7 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
     found = hits.select("doc_id", "row", F.size(covered).cast("long").alias("n_hit"), names.alias("names"))
     counted = docs.select("doc_id", "row", F.size(_raw_words(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.join(found, ["doc_id", "row"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    out = joined(counted, found, ["doc_id", "row"], "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     return out.select(
         "doc_id",
         "n_words",

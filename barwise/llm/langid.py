@@ -190,14 +190,20 @@ def pooled(net: BiGRU, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[BiGRU | None, list[str]]:
     """A network from docs (doc_id, text, lang) with a language and letters outside fold 0, and its languages."""
     known = docs.where((fold() != 0) & F.col("lang").isNotNull() & (F.octet_length("text") >= 20)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    names = list(counts)
     if not names:
         return None, []
-    parts = None
-    for name in names:
-        some = known.where(F.col("lang") == name).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(per_language)
-        parts = some if parts is None else parts.unionByName(some)
-    rows = known.join(F.broadcast(parts), "doc_id").select("lang", F.substring(F.encode("text", "utf-8"), 1, TRAIN_BYTES).alias("text")).collect()
+    # a language's share by the order of a hash, with a margin; what is above the bound is cut here
+    steps = 1_000_000
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(steps * min(1.0, 1.3 * per_language / n)) + 1))))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(steps))
+    some = known.withColumn("place", place).where(F.col("place") < share[F.col("lang")])
+    rows, taken = [], dict.fromkeys(names, 0)
+    for r in sorted(some.select("lang", "place", F.substring(F.encode("text", "utf-8"), 1, TRAIN_BYTES).alias("text")).collect(), key=lambda r: (r["place"], r["text"])):
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= per_language:
+            rows.append(r)
     texts = pa.array([bytes(r["text"]) for r in rows], pa.binary())
     data, ends = flat(texts)
     x, doc, long = _segments(data, ends, 64)

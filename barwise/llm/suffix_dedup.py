@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import Rolling, U64, flat, mixed, pieces, signed, sliding_min, table, written
+from barwise.llm.common import Rolling, U64, flat, joined, mixed, pieces, signed, sliding_min, table, written
 
 LENGTH = 200
 GRAM = 48
@@ -253,7 +253,7 @@ def repeated_contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     contexts = written(contexts, "suffix-contexts")
     sizes = contexts.groupBy("h").agg(F.count("*").alias("members"))
     wanted = contexts.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", F.least("n", F.lit(2)).alias("n"))).alias("wanted"))
-    texts_of = texts.join(wanted, "doc_id").mapInArrow(_contexts(length, gram), "h long, c long, n long, back long, bytes binary").join(sizes, "h")
+    texts_of = joined(texts, wanted, ["doc_id"]).mapInArrow(_contexts(length, gram), "h long, c long, n long, back long, bytes binary").join(sizes, "h")
     texts_of = written(texts_of, "suffix-texts")
     small = texts_of.where(F.col("members") <= block).drop("members")
     masks = small.repartition("h").sortWithinPartitions("h").mapInArrow(_sort(length, gram), "h long, c long, mask binary")
@@ -276,7 +276,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block:
     character cut by a removed span goes with it.
     """
     found = repeated_contexts(docs, length, gram, block).groupBy("doc_id").agg(F.collect_set(F.struct("h", "c", "mask")).alias("found"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found, "doc_id", "left")
+    texts = joined(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), found, ["doc_id"], "left")
     kind = dict(docs.dtypes)["doc_id"]
     return texts.mapInArrow(_removed(length, gram, keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text)
 
@@ -285,7 +285,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, blo
     """docs with every repeated string cut out of text, n_chars following where it is a column; all rows and columns stay."""
     found = repeated_contexts(docs, length, gram, block).groupBy("doc_id").agg(F.collect_set(F.struct("h", "c", "mask")).alias("found"))
     whole = F.struct(*(F.lit(None).cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns)).alias("whole")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), whole).join(found, "doc_id", "left")
+    texts = joined(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), whole), found, ["doc_id"], "left")
     kept = texts.select("doc_id", "text", "whole", "found")
     kinds = dict(kept.dtypes)
     cut = kept.mapInArrow(_removed(length, gram, True), f"doc_id {kinds['doc_id']}, whole {kinds['whole']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
