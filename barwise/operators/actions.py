@@ -19,7 +19,7 @@ def read_actions(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(*((made[f.name] if f.name in made else F.col(f.name).try_cast("double") if f.name in numbers else blank(f.name)).alias(f.name) for f in ACTION))
 
 
-def with_factors(actions: DataFrame, adjust_dividends: bool = False) -> DataFrame:
+def with_factors(actions: DataFrame, adjust_dividends: bool = True) -> DataFrame:
     """actions (with cum_close) with price_factor, volume_factor, status (applied, skipped) and reason.
 
     An override wins for the price. Factors that lack what they need are null and the action is skipped with the reason.
@@ -36,7 +36,6 @@ def with_factors(actions: DataFrame, adjust_dividends: bool = False) -> DataFram
         .when(needs_value & (value.isNull() | (value <= 0)), "needs a positive value_per_share")
         .when((kind == "RIGHTS") & at.isNull(), "needs the rights issue price")
         .when((needs_value | (kind == "RIGHTS")) & (cum.isNull() | (cum <= 0)), "no cum-date close")
-        .when(needs_value & (value >= cum), "value is not below the cum-date close")
         .when(kind == "MERGER", "a merger needs a price factor override")
     )
     rights = F.try_divide(F.try_divide(old * cum + new * at, old + new), cum)
@@ -87,7 +86,7 @@ def deadjust(bars: DataFrame, ex_date, new: float, old: float, ts: str = "ts") -
     """A clean series made to look unadjusted: prices before ex_date times new / old, volume divided by it and cut to whole."""
     before = F.to_date(ts) < F.lit(ex_date).cast("date")
     f = new / old
-    prices = {c: F.when(before, F.round(F.col(c) * f, 2)).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
+    prices = {c: F.when(before, F.col(c) * f).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
     return bars.withColumns({**prices, "volume": F.when(before, (F.col("volume") / f).cast("long")).otherwise(F.col("volume"))})
 
 

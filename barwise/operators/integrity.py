@@ -111,11 +111,11 @@ def check_bars(bars: DataFrame, keys: list[str], grid: DataFrame, grid_with_spec
     n = F.col("n")
     parts = [
         finding(missing_bars(bars, grid, keys, ["day", "bar"]), keys, "missing_bars", F.when(n > max_missing * slots, "error").otherwise("warning"), "day", F.format_string("%d bar(s) missing", n)),
-        finding(unexpected_bars(bars, grid_with_specials, ["day", "bar"]), keys, "unexpected_bars", F.lit("error"), "day", F.format_string("%d bar(s) outside sessions", n)),
+        finding(unexpected_bars(bars, grid_with_specials, ["day", "bar"]), keys, "unexpected_bars", F.lit("warning"), "day", F.format_string("%d bar(s) outside sessions", n)),
         finding(duplicate_keys(bars, [*keys, "ts", "day"]).drop("n"), keys, "duplicate_bars", F.lit("error"), "day", F.format_string("%d duplicated timestamp(s)", n)),
         finding(out_of_order(bars, keys), keys, "out_of_order", F.lit("error"), "day", F.format_string("%d row(s) out of order", n)),
         finding(invalid_bars(bars), keys, "invalid_ohlc", F.lit("error"), "day", F.format_string("%d invalid bar(s)", n)),
-        finding(suspected_actions(bars, keys, threshold, known), keys, "suspected_action", F.lit("warning"), "day", F.format_string("%d suspected unadjusted action(s)", n)),
+        finding(suspected_actions(bars, keys, threshold, known), keys, "suspected_unadjusted_action", F.lit("error"), "day", F.format_string("%d suspected unadjusted action(s)", n)),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -270,7 +270,7 @@ _ACTIONS = f"""a AS (SELECT symbol, CAST(ex AS DATE) AS ex_date, kind, rn, ro, v
   (VALUES (3, '2024-01-10', 'SPLIT', 2.0, 1.0, NULL, NULL), (5, '2024-01-17', 'BONUS', 4.0, 3.0, NULL, NULL), (4, '2024-01-23', 'DEMERGER', NULL, NULL, 1.5, NULL), (7, '2024-01-24', 'RIGHTS', 1.0, 4.0, NULL, 2.0),
    (9, '2024-01-18', 'SPLIT', NULL, 1.0, NULL, NULL)) k(m, ex, kind, rn, ro, v, issue) WHERE symbol % m = 0),
 c AS (SELECT a.*, (SELECT arg_max(close, day) FROM daily x WHERE x.symbol = a.symbol AND x.day < a.ex_date) AS cum FROM a),
-f AS (SELECT *, CASE WHEN kind IN ('SPLIT', 'BONUS') THEN CAST(ro AS DOUBLE) / rn WHEN cum IS NULL OR cum <= 0 THEN NULL WHEN kind = 'DEMERGER' THEN CASE WHEN v < cum THEN (cum - v) / cum END
+f AS (SELECT *, CASE WHEN kind IN ('SPLIT', 'BONUS') THEN CAST(ro AS DOUBLE) / rn WHEN cum IS NULL OR cum <= 0 THEN NULL WHEN kind = 'DEMERGER' THEN (cum - v) / cum
   ELSE (CAST(ro AS DOUBLE) * cum + rn * issue) / (ro + rn) / cum END AS pf,
   CASE WHEN kind = 'RIGHTS' THEN (CAST(ro AS DOUBLE) + rn) / ro WHEN kind = 'DEMERGER' THEN 1.0 ELSE CAST(rn AS DOUBLE) / ro END AS vf FROM c)"""
 
@@ -321,7 +321,7 @@ def reconcile_fields(spark, d):
 @query(f"""WITH {_CTE}, {_MOVES}, x AS (
 SELECT symbol, 'missing_bars' AS c, CASE WHEN count(*) > 0.02 * (SELECT count(*) FROM trading) THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM (SELECT DISTINCT symbol FROM daily) u, trading t
   WHERE NOT EXISTS (SELECT 1 FROM daily x WHERE x.symbol = u.symbol AND x.day = t.day) GROUP BY symbol
-UNION ALL SELECT symbol, 'suspected_action', 'warning', count(*) FROM m WHERE abs(r) >= 1.5 GROUP BY symbol
+UNION ALL SELECT symbol, 'suspected_unadjusted_action', 'error', count(*) FROM m WHERE abs(r) >= 1.5 GROUP BY symbol
 UNION ALL SELECT symbol, 'invalid_ohlc', 'error', count(*) FROM daily WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 GROUP BY symbol)
 SELECT symbol AS user_id, count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count_if(severity = 'error') = 0 AS is_clean, string_agg(c || '=' || n, ';' ORDER BY c) AS counts FROM x GROUP BY symbol""")
 def integrity_summary(spark, d):

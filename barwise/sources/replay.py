@@ -12,8 +12,8 @@ from barwise.functions import calendar as cal
 from barwise.operators.bars import synthetic_ladder
 from barwise.schemas import BAR, INSTRUMENT, conform
 
-# Parts of names that a read-only source must not have.
-FORBIDDEN = ["place_order", "modify_order", "cancel_order", "exit_order", "place_gtt", "modify_gtt", "delete_gtt", "convert_position", "basket_order", "squareoff"]
+# Names that a read-only source must not have.
+FORBIDDEN = ["^place_", "^modify_", "^cancel_", "^exit_", "^square_off", ".*_order$", "^orders?$", "^place$", "^gtt", "^basket"]
 
 
 class ReadOnlyError(TypeError):
@@ -22,7 +22,7 @@ class ReadOnlyError(TypeError):
 
 def read_only(source: type) -> type:
     """The class itself if none of its public names looks like an order; for use as a decorator."""
-    bad = [n for n in dir(source) if not n.startswith("__") and any(re.search(p, n, re.I) for p in FORBIDDEN)]
+    bad = [n for n in dir(source) if not n.startswith("__") and any(re.match(p, n) for p in FORBIDDEN)]
     if bad:
         raise ReadOnlyError(f"{source.__name__} offers {', '.join(sorted(bad))}")
     return source
