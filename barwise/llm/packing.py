@@ -11,6 +11,7 @@ A block's last tokens fill sequences of descending powers of two, which need no
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -27,9 +28,22 @@ END_ID = 1
 BLOCK_TOKENS = 4_000_000
 #: Queues of their own, by tokens; smaller sources share one queue.
 MAX_QUEUES = 1024
+#: Words that an encoder keeps in each of two generations.
 _CACHE = 400_000
 # White space that other splitters see differently; a text with any of it is encoded whole.
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# Punctuation that may end a word; the pre-tokenizer cuts between the word's letters and it.
+_POINTS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
 
 
 def tokenizer_path() -> str:
@@ -39,7 +53,10 @@ def tokenizer_path() -> str:
 
 
 class _Encoder:
-    """Token ids of texts as bytes of little-endian 32-bit ids; words between white space are encoded once and kept."""
+    """Token ids of texts as bytes of little-endian 32-bit ids; words between white space are encoded once and kept.
+
+    A word of letters alone is one pre-token, so it goes straight to the tokenizer's model; others take the whole way.
+    """
 
     _made: dict = {}
 
@@ -47,7 +64,9 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "_Encoder":
@@ -55,30 +74,47 @@ class _Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that is not known yet: letters, perhaps with punctuation after them, or anything else."""
+        core = word.rstrip(_POINTS)
+        if core.isalpha():
+            if core.isascii():
+                low = core.lower()
+            else:
+                low = "".join(c.lower() for c in unicodedata.normalize("NFC", core))
+            if len(core) < len(word):
+                ids = self._get(core) + self._get(word[len(core) :])
+                self.known[word] = ids
+                return ids
+            if low.isalpha():
+                if not low.isascii():
+                    low = "".join([_LETTERS[b] for b in low.encode()])
+                ids = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
+                self.known[word] = ids
+                return ids
+        ids = self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return ids
+
+    def _get(self, word: str) -> bytes:
+        got = self.known.get(word)
+        if got is None:
+            got = self.older.get(word)
+            if got is None:
+                return self._word(word)
+            self.known[word] = got
+        return got
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _ODD.search(text) or "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known, out = text.split(), self.known, []
+        if len(self.known) > _CACHE:
+            self.known, self.older = {}, self.known
+        words = text.split()
+        found = list(map(self.known.get, words))
         try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            new = list({w for w in some if w not in known})
-            if new:
-                if len(known) + len(new) > _CACHE:
-                    known.clear()
-                    new = list(set(some))
-                self.learn(new)
-            out.append(b"".join([known[w] for w in some]))
-        return b"".join(out)
+            return b"".join(found)
+        except TypeError:  # some are not known
+            return b"".join([self._get(w) if f is None else f for w, f in zip(words, found, strict=True)])
 
 
 def _tokens(path: str, end_id: int):

@@ -9,10 +9,19 @@ from barwise.llm.packing import _Encoder, pack, shares, tokenizer_path
 
 def test_word_cache_equals_whole_texts():
     e = _Encoder(tokenizer_path())
-    for t in ["", " ", "It's  fine\n\nİstanbul ΣΑΣ é x y", "a\x1cb c", "<|endoftext|> it're!!?", "́ z", "don't've 123 $%^ Straße"]:
+    for t in ["", " ", "It's  fine\n\nİstanbul ΣΑΣ é x y", "a\x1cb c", "<|endoftext|> it're!!?", "́ z", "don't've 123 $%^ Straße", "It's. word%%% '' a'b' x_! ²!! e\u0301. NAÏVE!! ǅ ﬁ ªº º. İ. ΑΣ, 中文。中 word's!! <|endoftext|>!"]:
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_real_texts_encode_alike():
+    import pyarrow.parquet as pq
+
+    e = _Encoder(tokenizer_path())
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column("text").to_pylist()
+    for t, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == want.ids
+
+
 def test_shares_follow_targets_and_empty_the_queues():
     got = shares(np.array([5000, 3000, 200]), np.array([5000, 3000, 200]) / 8200, np.zeros(3), [2048] * 4 + [8])
     assert got.sum(0).tolist() == [5000, 3000, 200] and got.sum(1).tolist() == [2048] * 4 + [8]
