@@ -8,9 +8,12 @@ about 26,000.
 Documents with one shingle set are one class, named by the least doc_id. Within a table's group every class is compared
 with the group's most central class (the one that meets the most others over all tables) and PIVOTS more instead of with
 every other; groups whose members are then connected are finished. What stays apart is compared across components, all of
-it in groups of up to GROUP classes; the classes of larger groups are dealt anew by three collections (two classes at 0.85
-share three with a chance of 0.992) and compared likewise, groups that are still larger with their pivots alone. So the
-pairs compared grow with the classes, not with their square.
+it in groups of up to GROUP classes. The classes of larger groups are joined anew, exactly: each is listed under the rarest
+of its shingles, as many as it takes for two sets that reach the similarity to share one, and pairs meet only where what is
+left behind the shared shingle can still suffice. A rare shingle's list is short even where thousands of texts share a
+template. Lists of over GROUP classes are compared with pivots first; what is apart even then is compared in full, block by
+block. So no pair that a table brings together is given up: only a list that is long, similar enough by length and place,
+and yet falls into many components costs its square.
 """
 
 from __future__ import annotations
@@ -19,13 +22,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwise.llm.common import LOWER, U64, Rolling, checkpointed, flat, mixed, pieces, signed, table, written
 
 COLLECTIONS, ROWS = 8, 2
-#: Classes that a group compares across components at most, and pivots beside the most central one.
+#: Classes that a group compares across components in one block, and pivots beside the most central one.
 GROUP, PIVOTS = 64, 3
 _WORD = Rolling(21)
 _SPACE = np.zeros(256, bool)
@@ -87,6 +90,23 @@ def _signatures(width: int):
     return run
 
 
+def _shingle_rows(width: int):
+    """A row for each shingle of each text: the text's doc_id, the sum of its set (which tells texts of one doc_id apart), the set's size."""
+
+    def run(batches):
+        for batch in pieces(batches, "text", 500_000):
+            sets = shingle_sets(*flat(batch.column("text")), width)
+            size = np.array([len(s) for s in sets])
+            if not size.sum():
+                continue
+            row = np.repeat(np.arange(len(sets)), size)
+            every = np.concatenate(sets)
+            own = np.array([s.sum(dtype=U64) for s in sets], U64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), signed(own[row]), pa.array(size[row]), signed(every)], ["node", "own", "n", "shingle"])
+
+    return run
+
+
 def _overlaps(width: int, similarity_pct: int):
     """Keeps the pairs (a, b) whose sets reach the similarity; rows of one a follow each other, so its set is made once."""
 
@@ -172,6 +192,26 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         met = met.where(f"100 * least(n, n_p) >= {similarity_pct} * greatest(n, n_p)")
         return met.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
 
+    def listed(nodes: DataFrame) -> DataFrame:
+        """(shingle, node, n, after, weight): each class under its rarest shingles; after counts those from it on in order of rarity."""
+        rows = bodies.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text")
+        rows = written(rows.mapInArrow(_shingle_rows(width), f"node {kind}, own long, n long, shingle long"), "near-shingles")
+        often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+        place = F.row_number().over(Window.partitionBy("node", "own").orderBy("often", "shingle"))
+        # n - after shingles come before it; the first that two sets share has at least the needed overlap from it on in both
+        placed = rows.join(often, "shingle").select("shingle", "node", "n", "often", (F.col("n") - place + 1).alias("after"))
+        return placed.where(f"100 * after >= {similarity_pct} * n AND often > 1").drop("often").join(central, "node")
+
+    def across_listed(groups: DataFrame) -> DataFrame:
+        """As across() for lists of any length: blocks of about GROUP classes meet each other, so no task holds a whole list."""
+        blocks = F.ceil(F.col("members") / GROUP).cast("int")
+        dealt = groups.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        by = ["shingle", "low", "high"]
+        others = dealt.select(*by, as_pivot.alias("y"), F.col("after").alias("after_p"), F.col("block").alias("block_p")).select(*by, "y.*", "after_p", "block_p")
+        suffices = f"{100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)"
+        return pairs(dealt, others, by, f" AND p < node AND (low = high OR block != block_p) AND {suffices}")
+
     def still_apart(groups: DataFrame, by: list[str], parts: DataFrame) -> DataFrame:
         """The groups that hold several components yet, with those and the number of members."""
         named = groups.drop("component", "members").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -183,14 +223,19 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
     parts = written(_components(links), "near-components")
     open_ = still_apart(slots, by, parts)
     if open_.limit(1).count():
-        large = open_.where(F.col("members") > GROUP).select("node").distinct()
-        triples = F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(100 + t), *(keys[i] for i in c)).alias("key")) for t, c in enumerate(combinations(range(COLLECTIONS), 3))))
-        finer = classes.join(large, "node").select("node", F.col("n_shingles").alias("n"), F.inline(triples)).join(central, "node")
-        finer = still_apart(finer, by, parts)
         rest = across(open_.where(F.col("members") <= GROUP), by)
-        rest = rest.unionByName(across(finer.where(F.col("members") <= GROUP), by)).unionByName(with_pivots(finer.where(F.col("members") > GROUP), by, PIVOTS))
+        large = written(open_.where(F.col("members") > GROUP).select("node").distinct(), "near-large")
+        lists = None
+        if large.limit(1).count():
+            lists = still_apart(listed(large), ["shingle"], parts)
+            rest = rest.unionByName(across_listed(lists.where(F.col("members") <= GROUP))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), ["shingle"], PIVOTS))
         links = links.unionByName(verified(written(rest.distinct(), "near-candidates")))
         parts = written(_components(links), "near-components")
+        if lists is not None:
+            lists = still_apart(lists.where(F.col("members") > GROUP), ["shingle"], parts)
+            if lists.limit(1).count():
+                links = links.unionByName(verified(written(across_listed(lists), "near-candidates")))
+                parts = written(_components(links), "near-components")
     found = classes.select("s1", "s2", "n_shingles", "node").join(parts, "node", "left")
     found = found.select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     own = filled.select("doc_id", "s1", "s2", "n_shingles").join(found, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")

@@ -57,3 +57,25 @@ def test_empty_table_extra_columns_and_repeated_rows(spark):
     assert near_dedup(df).collect() == []
     df = spark.createDataFrame([(1, "a b c d e f", 1), (1, "a b c d e f", 1), (2, "a b c d e f", 2)], "doc_id long, text string, node long")
     assert near_dedup(df).count() == 2
+
+
+def test_families_inside_a_large_template_group(spark):
+    """Texts of one template, all of them just below the similarity, hold families of copies; no link between those is lost."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    for width, pct, own in ((3, 85, 50), (5, 80, 70)):
+        template, rows, families = [word() for _ in range(400)], [], []
+        for k in range(500):
+            tail = [word() for _ in range(own)]
+            family = range(len(rows), len(rows) + (2 if k % 10 == 0 else 1))
+            for _ in family:
+                t = template + tail
+                t[-r.randrange(1, own)] = word()
+                rows.append((len(rows), " ".join(t)))
+            if len(family) > 1:
+                families.append(tuple(family))
+        got = sorted(tuple(x) for x in near_classes(spark.createDataFrame(rows, "doc_id long, text string"), width, pct).collect())
+        component = {i: c for i, _, c in got}
+        recall = sum(component[a] == component[b] for a, b in families) / len(families)
+        assert recall == 1.0, f"recall {recall} at {pct} %"
+        assert got == brute(rows, width, pct)
