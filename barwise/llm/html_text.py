@@ -45,18 +45,24 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "around")
+    __slots__ = ("tag", "attrs", "children", "around", "named")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children = tag, []
         self.attrs = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs)] if attrs else []
-        self.around = tag in AROUND
+        self.around, self.named = tag in AROUND, False  # by element or role; by class or id
         for k, v in self.attrs:
             v = v.lower()
             if k == "role":
                 self.around |= v in ROLES
             elif tag not in ("body", "html", "main"):
-                self.around |= any(w in WORDS for w in _NAME.findall(v))
+                self.named |= any(_is_around(token) for token in v.split())
+
+
+def _is_around(token: str) -> bool:
+    """Whether a class is made of such words alone: cookie-notice is, has-sidebar and article-header are not."""
+    words = _NAME.findall(token)
+    return bool(words) and WORDS.issuperset(words)
 
 
 def parse(page: str) -> Node:
@@ -112,22 +118,35 @@ def _close(open_: list[Node], tags: set, stop: set) -> None:
 
 
 def mains(node: Node) -> list[Node]:
-    """Outermost article elements outside surroundings; else main elements; else none."""
-    for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or ("role", "main") in n.attrs):
-        found, open_ = [], [node]
-        while open_:
-            n = open_.pop()
-            if n.around:
-                continue
-            if wanted(n):
-                found.append(n)
-            else:
-                open_ += [c for c in reversed(n.children) if isinstance(c, Node)]
-        if found:
-            return found
+    """Outermost article elements outside surroundings; else main elements; else those that only a class hides; else none."""
+    for hidden in (False, True):
+        for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or ("role", "main") in n.attrs):
+            found, open_ = [], [node]
+            while open_:
+                n = open_.pop()
+                if n.around or n.named and not hidden:
+                    continue
+                if wanted(n):
+                    found.append(n)
+                else:
+                    open_ += [c for c in reversed(n.children) if isinstance(c, Node)]
+            if found:
+                return found
     return []
 
 
+def text_sizes(root: Node) -> dict[int, int]:
+    """Characters of text in every element, by its id(), without elements that are surroundings by themselves."""
+    out: dict[int, int] = {}
+
+    def walk(n: Node) -> int:
+        out[id(n)] = total = sum((0 if c.around else walk(c)) if isinstance(c, Node) else len(c.strip()) for c in n.children)
+        return total
+
+    walk(root)
+    return out
+
+
 def subtree_hashes(root: Node, skip: set[int]) -> dict[int, int]:
     """A 64-bit hash of every element with text, by the element's id(); those in skip (and what holds them) have none."""
     out: dict[int, int] = {}
@@ -162,6 +181,11 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
     root = parse(page)
     own = mains(root)
     hashes = subtree_hashes(root, set()) if template and not own else {}
+    tops = own or [root]
+    sizes: dict[int, int] = {}
+    for n in tops:
+        sizes |= text_sizes(n)
+    whole = sum(sizes[id(n)] for n in tops)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -172,7 +196,9 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
             blocks.append(text)
 
     def walk(n: Node, top: bool):
-        if n.around and not top or hashes.get(id(n)) in template or n.tag == "header" and not own:
+        # a class word does not take most of the text
+        hidden = n.around or n.named and 2 * sizes.get(id(n), 0) <= whole
+        if hidden and not top or hashes.get(id(n)) in template or n.tag == "header" and not own:
             return
         block = n.tag in BLOCK
         if block:
@@ -187,7 +213,7 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
         if block:
             flush()
 
-    for n in own or [root]:
+    for n in tops:
         walk(n, True)
         flush()
     return "\n".join(blocks)

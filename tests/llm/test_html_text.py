@@ -11,6 +11,13 @@ def test_parts_of_a_page():
     assert main_text("<body><div>keep</div><div class='cookie-notice'>no</div></body>") == "keep"
 
 
+def test_class_words_do_not_take_the_article():
+    page = "<body><div id='page' class='content has-sidebar with-footer'><nav>N</nav><article><header class='article-header'><h1>Title</h1></header><div class='side-by-side'><p>one</p></div><p class='social-history'>two</p><div class='ad'>buy</div></article></div></body>"
+    assert main_text(page) == "Title\none\ntwo"
+    assert main_text("<body><div class='sidebar'><article><p>story</p></article></div><p>more</p></body>") == "story"
+    assert main_text("<body><div class='menu'><p>the whole long story</p></div><div class='ads'>buy</div></body>") == "the whole long story"
+
+
 def test_templates(spark):
     rows = [(i, f"https://a.example/{i}", f"<body><div><p>Welcome to us</p></div><p>story {i}</p><p>end</p></body>") for i in range(8)]
     rows += [(100 + i, "https://b.example/x", "<body><p>same</p></body>") for i in range(9)]  # one page, copied
