@@ -1,9 +1,11 @@
 """Main text of web pages: site templates by recurring element subtrees, then the article without its surroundings.
 
-Every element outside the article is hashed with all it holds. Spark counts, for each host, on how many different pages a
-subtree occurs; those on many are the site's template and are deleted from its pages. What marks itself as surroundings
-(navigation, footers, forms, adverts, comments, by element, role or class) goes too, on a host with one page as well.
-Inside an article or main element nothing is deleted for recurring: pages may carry the same article.
+Every block element is hashed with all it holds. Spark counts, for each host, on how many different pages a subtree occurs;
+those on ``LEAST_PAGES`` are the site's template and are deleted from its pages. In a page with an article or main element
+only what that holds is counted, once for all pages with the very same article, so copies of an article do not make it
+template; and where over half of an article's text recurs, the pages are near copies and it stays whole. What marks itself
+as surroundings (navigation, footers, forms, adverts, comments, by element, role or class) goes too, on a host with one page
+as well.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import pieces, small_enough, table
+from barwise.llm.common import hinted, pieces, table, written
 
-#: A subtree is template from this many different pages of its host on, and from this share of them.
-LEAST_PAGES, SHARE = 5, 0.2
+#: A subtree is template from this many different pages of its host on.
+LEAST_PAGES = 5
 BROADCAST_ROWS = 20_000
 
 # Fixed sets of HTML: elements without content, elements whose content is not markup, elements that stand as blocks of
@@ -31,6 +33,8 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
 CLOSES_P = BLOCK - {"tbody", "tfoot", "thead", "tr", "caption", "li", "dd", "dt", "body", "html"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "td", "th", "body", "html", "select", "menu"}
+# Blocks that can be template by themselves; headings, items and cells only go with what holds them.
+TEMPLATE = BLOCK - set("h1 h2 h3 h4 h5 h6 hgroup li dd dt tr tbody tfoot thead caption legend summary body html".split())
 # Surroundings: elements, roles, and words of class or id.
 AROUND = set("nav footer aside form button select dialog menu search head".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -147,27 +151,21 @@ def text_sizes(root: Node) -> dict[int, int]:
     return out
 
 
-def subtree_hashes(root: Node, skip: set[int]) -> dict[int, int]:
-    """A 64-bit hash of every element with text, by the element's id(); those in skip (and what holds them) have none."""
+def subtree_hashes(root: Node) -> dict[int, int]:
+    """A 64-bit hash of every element with text, by the element's id()."""
     out: dict[int, int] = {}
 
-    def walk(n: Node):
-        h, whole, some = hashlib.blake2b(n.tag.encode(), digest_size=8), id(n) not in skip, False
-        if not whole:
-            return None
+    def walk(n: Node) -> int:
+        h, some = hashlib.blake2b(n.tag.encode(), digest_size=8), False
         for c in n.children:
             if isinstance(c, Node):
                 got = walk(c)
-                if got is None:
-                    whole = False
-                elif got:
+                if got:
                     h.update(got.to_bytes(8, "little", signed=True))
                     some = True
             elif c.strip():
                 h.update(b"\0" + " ".join(c.split()).encode("utf-8", "replace"))
                 some = True
-        if not whole:
-            return None
         if not some:
             return 0
         out[id(n)] = value = int.from_bytes(h.digest(), "little", signed=True)
@@ -177,15 +175,30 @@ def subtree_hashes(root: Node, skip: set[int]) -> dict[int, int]:
     return out
 
 
+def recurring(tops: list[Node], hashes: dict[int, int], template: frozenset) -> list[Node]:
+    """The outermost blocks below tops that are template."""
+    found, open_ = [], [c for n in tops for c in n.children if isinstance(c, Node)]
+    while open_:
+        n = open_.pop()
+        if n.tag in TEMPLATE and hashes.get(id(n)) in template:
+            found.append(n)
+        elif not n.around:
+            open_ += [c for c in n.children if isinstance(c, Node)]
+    return found
+
+
 def main_text(page: str, template: frozenset = frozenset()) -> str:
     root = parse(page)
     own = mains(root)
-    hashes = subtree_hashes(root, set()) if template and not own else {}
     tops = own or [root]
     sizes: dict[int, int] = {}
     for n in tops:
         sizes |= text_sizes(n)
     whole = sum(sizes[id(n)] for n in tops)
+    gone = recurring(tops, subtree_hashes(root), template) if template else []
+    if own and 2 * sum(sizes.get(id(n), 0) for n in gone) > whole:
+        gone = []
+    dropped = {id(n) for n in gone}
     blocks: list[str] = []
     line: list[str] = []
 
@@ -198,7 +211,7 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
     def walk(n: Node, top: bool):
         # a class word does not take most of the text
         hidden = n.around or n.named and 2 * sizes.get(id(n), 0) <= whole
-        if hidden and not top or hashes.get(id(n)) in template or n.tag == "header" and not own:
+        if hidden and not top or id(n) in dropped or n.tag == "header" and not own:
             return
         block = n.tag in BLOCK
         if block:
@@ -229,40 +242,55 @@ def _texts(kind: str):
     return run
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, template): hashes of the subtrees on at least least_pages and the share of the host's different pages.
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, h1, h2, template): for each different page that has some, the hashes of its subtrees that are the host's template.
 
-    pages has (host, html). Copies of a page count once. A page adds at most as many hashes as it has elements, and a hash needs
-    a share of the pages, so a host's list stays below 1 / share times the elements of its average page.
+    pages has (host, html); h1 and h2 name a page. A subtree is template if it occurs in at least least_pages different articles
+    or, on pages without one, pages of the host. A page's list holds no more hashes than the page has elements.
     """
-    different = pages.select("host", "html", F.xxhash64("html").alias("h1"), F.xxhash64(F.lit(4), "html").alias("h2"))
-    sizes = different.select("host", "h1", "h2").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    listed = different.mapInArrow(_page_hashes, "host string, h1 long, h2 long, subtrees array<long>").select("host", "h1", "h2", F.explode("subtrees").alias("subtree"))
-    counts = listed.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    kept = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    return kept.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    different = pages.select("host", "html", *_page_keys())
+    listed = different.mapInArrow(_page_hashes, "host string, h1 long, h2 long, whole long, subtrees array<long>").select("host", "h1", "h2", "whole", F.explode("subtrees").alias("subtree"))
+    listed = written(listed.distinct(), "html-subtrees")
+    counts = listed.select("host", "subtree", "whole").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    hits = listed.join(hinted(counts.select("host", "subtree"), BROADCAST_ROWS), ["host", "subtree"])
+    return hits.groupBy("host", "h1", "h2").agg(F.collect_set("subtree").alias("template"))
+
+
+def _page_keys() -> tuple:
+    return F.xxhash64("html").alias("h1"), F.xxhash64(F.lit(4), "html").alias("h2")
 
 
 def _page_hashes(batches):
     for batch in pieces(batches, "html"):
-        rows = []
-        for page in batch.column("html").to_pylist():
+        rows, wholes = [], []
+        for page, h in zip(batch.column("html").to_pylist(), batch.column("h1").to_pylist(), strict=True):
             root = parse(page or "")
-            rows.append(sorted(set(subtree_hashes(root, {id(n) for n in mains(root)}).values())))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("host", "h1", "h2")), pa.array(rows, pa.list_(pa.int64()))], ["host", "h1", "h2", "subtrees"])
+            own, hashes = mains(root), subtree_hashes(root)
+            found, open_ = set(), [c for n in own or [root] for c in n.children if isinstance(c, Node)]
+            while open_:
+                n = open_.pop()
+                if n.around:
+                    continue
+                if n.tag in TEMPLATE and id(n) in hashes:
+                    found.add(hashes[id(n)])
+                open_ += [c for c in n.children if isinstance(c, Node)]
+            rows.append(sorted(found))
+            whole = hashlib.blake2b(b"".join(hashes.get(id(n), 0).to_bytes(8, "little", signed=True) for n in own), digest_size=8)
+            wholes.append(int.from_bytes(whole.digest(), "little", signed=True) if own else h)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("host", "h1", "h2")), pa.array(wholes, pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["host", "h1", "h2", "whole", "subtrees"])
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
     Blocks of text in page order, one a line. A null html is empty; a null url belongs to a host of its own name; a page
     without article, main or other text has an empty text. Repeated rows have a row each. Other columns are left out.
     """
     own = pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))).alias("host"))
-    known = templates(own.select("host", "html"), least_pages, share)
-    known = F.broadcast(known) if small_enough(known, BROADCAST_ROWS) else known
+    known = written(templates(own.select("host", "html"), least_pages), "html-templates")
     kind = dict(pages.dtypes)["page_id"]
-    return own.join(known, "host", "left").select("page_id", "url", "html", "template").mapInArrow(_texts(kind), f"page_id {kind}, url string, text string, n_chars long")
+    rows = own.select("*", *_page_keys()).join(known.hint("merge"), ["host", "h1", "h2"], "left")
+    return rows.select("page_id", "url", "html", "template").mapInArrow(_texts(kind), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,16 @@ def test_templates(spark):
     assert all(got[200 + i].text == "same story" for i in range(9))
     assert (got[300].text, got[301].text, got[302].text, got[300].n_chars, got[301].n_chars) == ("", "x", "", 0, 1)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_templates_inside_articles(spark):
+    """Unmarked notices in different articles go; copied and nearly copied articles, and inline text, stay."""
+    page = lambda inner: f"<body><article>{inner}</article></body>"
+    rows = [(i, f"https://a.example/{i}", page(f"<p>story {i} is <b>not</b> short and has words of its own</p><div><p>Join our list</p></div>")) for i in range(8)]
+    rows += [(50 + i, f"https://a.example/x{i}", page(f"<p>another {i} tale with words of its own</p>")) for i in range(60)]  # 8 of 68: under a fifth
+    rows += [(200 + i, f"https://b.example/{i}", f"<body><p>n{i}</p>{page('<p>same story</p>')}</body>") for i in range(9)]
+    rows += [(300 + i, f"https://c.example/{i}", page(f"<p>one long story that was copied</p><p>edit {i}</p>")) for i in range(9)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"story {i} is not short and has words of its own" for i in range(8))
+    assert all(got[200 + i] == "same story" for i in range(9))
+    assert all(got[300 + i] == f"one long story that was copied\nedit {i}" for i in range(9))
