@@ -22,6 +22,8 @@ WIDTH, REACH, POPULAR = 64, 64, 16
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 _ROLL = Rolling(71)
 _POS = U64(0xFFFFFF)
+#: Windows ranked at once; a place counts from the chunk's start and with its neighbourhood stays below _POS.
+_CHUNK = 1 << 23
 
 
 def _pairs(batches):
@@ -48,6 +50,16 @@ def surprise(docs: DataFrame) -> np.ndarray:
     return -np.log2(grid / grid.sum(1, keepdims=True)).ravel()
 
 
+def _rarest(levels: np.ndarray) -> np.ndarray:
+    """For each REACH windows in turn the place of the rarest, the first of equal ones."""
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, len(levels) - REACH + 1, _CHUNK):
+        own = levels[at : at + _CHUNK + REACH - 1]
+        keys = ((U64(2**40 - 1) - own) << U64(24)) | np.arange(len(own), dtype=U64)
+        out.append((sliding_min(keys, REACH) & _POS).astype(np.int64) + at)
+    return np.concatenate(out)
+
+
 def _selected(data: np.ndarray, ends: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature hash) of the selected windows; a text shorter than a window is one feature, an empty one has none."""
     size = np.diff(ends)
@@ -56,21 +68,20 @@ def _selected(data: np.ndarray, ends: np.ndarray, bits: np.ndarray) -> tuple[np.
     short = np.flatnonzero((size > 0) & (size < WIDTH + REACH))
     # a text with fewer windows than a neighbourhood: its one rarest window, or all of it
     if len(data) > WIDTH:
-        info = np.zeros(len(data) + 1)
-        np.cumsum(bits[np.concatenate([[0], data[:-1].astype(np.int64) * 256 + data[1:]])], out=info[1:])
+        # whole numbers, so that a window's sum does not depend on its place
+        info = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((bits * 2**30).astype(np.int64)[np.concatenate([[0], data[:-1].astype(np.int64) * 256 + data[1:]])], out=info[1:])
         # the first byte of a window has no pair inside it
-        rarity = info[WIDTH:] - info[1 : len(info) - WIDTH + 1]
-        levels = np.clip(rarity * 1024, 0, 2**39).astype(U64)
-        keys = ((U64(2**40 - 1) - levels) << U64(24)) | np.arange(len(levels), dtype=U64)
+        levels = np.clip((info[WIDTH:] - info[1 : len(info) - WIDTH + 1]) >> 20, 0, 2**39).astype(U64)
     for i in short.tolist():
         a, b = int(ends[i]), int(ends[i + 1])
         at = a
         if b - a > WIDTH:
-            at = int(keys[a : b - WIDTH + 1].min() & _POS)
+            at = a + int(levels[a : b - WIDTH + 1].argmax())
         docs.append(np.array([i]))
         found.append(_ROLL.of(sums, np.array([at]), np.array([min(b, at + WIDTH)])))
     if len(data) >= WIDTH + REACH:
-        least = (sliding_min(keys, REACH) & _POS).astype(np.int64)
+        least = _rarest(levels)
         n = np.maximum(0, size - WIDTH - REACH + 2)
         n[size < WIDTH + REACH] = 0
         doc = np.repeat(np.arange(len(size)), n)

@@ -36,3 +36,12 @@ def test_follows_descending_ids(spark):
     plain = {x.doc_id: x.fingerprint for x in fp.fingerprints(df).collect()}
     assert all(plain[i] == got[i].fingerprint for i in plain)
     assert fp.fingerprints(df.limit(0)).count() == 0 and fp.with_next(df.limit(0)).count() == 0
+
+
+def test_equal_texts_beyond_the_places_of_a_key():
+    r = np.random.default_rng(3)
+    bits = r.random(65536) * 8
+    small, tiny, long = (r.integers(97, 123, n).astype(np.uint8).tobytes() for n in (3000, 100, 2**24 + 5000))
+    got = fp.digests([small, tiny, long, small, long, tiny], bits)
+    assert all(np.array_equal(got[a], got[b]) for a, b in ((0, 3), (1, 5), (2, 4)))
+    assert np.array_equal(got[3], fp.digests([small], bits)[0])
