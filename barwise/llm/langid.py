@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 
 from barwise.llm.common import flat, fold, pieces, table
 
-#: Bound of the training sample for each language, by the order of a hash of doc_id; and of a training text in bytes.
-PER_LANGUAGE, TRAIN_BYTES = 400, 1024
+#: Bound of the training sample for each language, by the order of a hash of doc_id; and of a training text in bytes,
+#: drawn from all of it in pieces of PIECE by a hash.
+PER_LANGUAGE, TRAIN_BYTES, PIECE = 400, 1024, 64
 HIDDEN = 6
 SEGMENT = 128
 #: Segments scored at once.
 BATCH = 1024
-#: Languages beyond the most frequent ones of the sample are not learned.
-MAX_LANGUAGES = 64
 PAD = 256
 
 
@@ -189,8 +188,8 @@ def pooled(net: BiGRU, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[BiGRU | None, list[str]]:
     """A network from docs (doc_id, text, lang) with a language and letters outside fold 0, and its languages."""
-    known = docs.where((fold() != 0) & F.col("lang").isNotNull() & (F.octet_length("text") >= 20)).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    known = docs.where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     names = list(counts)
     if not names:
         return None, []
@@ -199,15 +198,20 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[BiGRU | No
     share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(steps * min(1.0, 1.3 * per_language / n)) + 1))))
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(steps))
     some = known.withColumn("place", place).where(F.col("place") < share[F.col("lang")])
+    whole = F.encode("text", "utf-8")
+    order = F.sort_array(F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length("text") / PIECE).cast("int") - 1), lambda i: F.struct(F.xxhash64("doc_id", i).alias("h"), i.alias("i"))))
+    # in their order, so that a short last piece stays last
+    drawn = F.sort_array(F.transform(F.slice(order, 1, TRAIN_BYTES // PIECE), lambda x: x["i"]))
+    drawn = F.transform(drawn, lambda i: F.substring(whole, i * PIECE + 1, F.lit(PIECE)))
     rows, taken = [], dict.fromkeys(names, 0)
-    for r in sorted(some.select("lang", "place", F.substring(F.encode("text", "utf-8"), 1, TRAIN_BYTES).alias("text")).collect(), key=lambda r: (r["place"], r["text"])):
+    for r in sorted(some.select("lang", "place", drawn.alias("pieces")).collect(), key=lambda r: (r["place"], r["pieces"])):
         taken[r["lang"]] += 1
         if taken[r["lang"]] <= per_language:
             rows.append(r)
-    texts = pa.array([bytes(r["text"]) for r in rows], pa.binary())
+    texts = pa.array([b"".join(r["pieces"]) for r in rows], pa.binary())
     data, ends = flat(texts)
-    x, doc, long = _segments(data, ends, 64)
-    own = long >= 16
+    x, doc, long = _segments(data, ends, PIECE)
+    own = (long >= 16) | (np.diff(ends)[doc] < 16)  # a short tail is left out, a short text is not
     y = np.array([names.index(r["lang"]) for r in rows])[doc[own]]
     x = x[own]
     # languages count alike
@@ -215,14 +219,14 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[BiGRU | No
     most = int(np.bincount(y).max())
     pick = np.concatenate([r.choice(np.flatnonzero(y == k), most) for k in range(len(names)) if (y == k).any()])
     net = BiGRU(len(names))
-    net.train(x[pick], y[pick])
+    net.train(x[pick], y[pick], steps=max(250, 16 * len(names)))
     return net, names
 
 
 def language(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs (doc_id, text, lang).
 
-    Trained on at most per_language documents of each language outside fold 0 (their first TRAIN_BYTES bytes); scored on whole
+    Trained on at most per_language documents of each language outside fold 0 (TRAIN_BYTES bytes of each, in pieces from all of it); scored on whole
     texts. lang_pred is ``und`` and score 0 for a null text, one without a letter, and where no language is known. Other
     columns are left out.
     """

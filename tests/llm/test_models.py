@@ -97,3 +97,20 @@ def test_gradients_and_pooling_agree_with_plain_forms():
     x[np.arange(6)[:, None] >= long] = langid.PAD
     plain = (net.states(x) * (x != langid.PAD)[None, :, :, None]).sum(1)
     assert np.allclose(net.sums(x, long).transpose(0, 2, 1), plain, atol=1e-4)
+
+
+def test_every_language_is_learned_from_whole_texts(spark):
+    """Seventy labels, one of them with short texts only; texts open with bytes that all labels share."""
+    docs = [(i, "x" * 3000 + " " + chr(0x4E00 + 16 * k) * 1500, f"l{k:02d}") for i in range(210) for k in [i % 70]]
+    docs += [(1000 + i, "ЖЩ" * 3, "short") for i in range(5)]
+    net, names = langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), per_language=2)
+    assert len(names) == net.k == 71 and "short" in names
+    seen = []
+    net_train, langid.BiGRU.train = langid.BiGRU.train, lambda self, x, y, **more: seen.append((x, y))
+    try:
+        langid.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"), per_language=2)
+    finally:
+        langid.BiGRU.train = net_train
+    x, y = seen[0]
+    assert set(y.tolist()) == set(range(71))
+    assert all((x[y == k] > 127).any() for k in range(71))
