@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from barwise.llm.common import LOWER, U64, Rolling, checkpointed, flat, mixed, pieces, signed, table, written
 
 COLLECTIONS, ROWS = 8, 2
+#: A key with over 1/DEALT of all rows, and over LEAST_HOT, is dealt over several tasks.
+DEALT, LEAST_HOT = 10_000, 1_000
 #: Classes that a group compares across components in one block, and pivots beside the most central one.
 GROUP, PIVOTS = 64, 3
 _WORD = Rolling(21)
@@ -91,7 +93,7 @@ def _signatures(width: int):
 
 
 def _shingle_rows(width: int):
-    """A row for each shingle of each text: the text's doc_id, the sum of its set (which tells texts of one doc_id apart), the set's size."""
+    """A row for each shingle of each text: the text's doc_id, the sum of its set (which tells texts of one doc_id apart), the set's size, the class's weight."""
 
     def run(batches):
         for batch in pieces(batches, "text", 500_000):
@@ -102,7 +104,8 @@ def _shingle_rows(width: int):
             row = np.repeat(np.arange(len(sets)), size)
             every = np.concatenate(sets)
             own = np.array([s.sum(dtype=U64) for s in sets], U64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), signed(own[row]), pa.array(size[row]), signed(every)], ["node", "own", "n", "shingle"])
+            node, weight = (batch.column(k).take(pa.array(row)) for k in ("doc_id", "weight"))
+            yield pa.RecordBatch.from_arrays([node, signed(own[row]), pa.array(size[row]), weight, signed(every)], ["node", "own", "n", "weight", "shingle"])
 
     return run
 
@@ -129,22 +132,40 @@ def _overlaps(width: int, similarity_pct: int):
     return run
 
 
+def _hot(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """(key, parts) of the keys that hold over 1/DEALT of all rows and over LEAST_HOT rows: DEALT at most, so they are broadcast."""
+    limit = max(LEAST_HOT, total // DEALT)
+    return F.broadcast(counts.where(F.col(count) > limit).select(key, F.ceil(F.col(count) / limit).cast("int").alias("parts")))
+
+
+def _dealt(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """left joined with right on key. The left rows of a hot key go to its parts by a hash of ``spread``, right's to all of them."""
+    parts = F.coalesce("parts", F.lit(1))
+    one = left.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts")
+    every = right.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return one.join(every, [key, "part"]).drop("part")
+
+
 def _components(links: DataFrame) -> DataFrame:
     """(node, component): least node reachable over links (a, b). Large-star and small-star rounds, checkpointed each."""
+
+    def toward_least(rows: DataFrame, total: int) -> DataFrame:
+        """rows (u, v) with m, the least v of u; the rows of a node with very many links are dealt over tasks."""
+        low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links"))
+        return _dealt(rows, low.drop("links"), "u", "v", _hot(low, "u", "links", total))
+
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.where("u != v").distinct())
         # a round that leaves the edges as they were is the last; equal count and sum of hashes stand for equal edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
         before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = toward_least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
+        small = toward_least(large, now[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = checkpointed(small.where("u != v").distinct())
 
 
 def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> DataFrame:
@@ -160,81 +181,92 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
     signatures = written(texts.mapInArrow(_signatures(width), f"doc_id {kind}, n_shingles long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in keys)), "near-signatures")
     filled = signatures.where("n_shingles > 0")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in keys))
-    tables = F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), keys[i], keys[j]).alias("key")) for t, (i, j) in enumerate(combinations(range(COLLECTIONS), 2))))
-    slots = classes.select("node", F.col("n_shingles").alias("n"), F.inline(tables))
-    sizes = slots.groupBy("t", "key").agg(F.count("*").alias("members")).where("members > 1")
-    slots = written(slots.join(sizes, ["t", "key"]), "near-slots")
-    central = written(slots.groupBy("node").agg(F.sum("members").alias("weight")), "near-nodes")
-    slots = written(slots.drop("members").join(central, "node"), "near-groups")
+    tables = F.array(*(F.xxhash64(F.lit(t), keys[i], keys[j]) for t, (i, j) in enumerate(combinations(range(COLLECTIONS), 2))))
+    slots = classes.select("node", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
+    sizes = written(slots.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes")
+    crowded = _hot(sizes, "key", "members", sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+    # from here a class is one row, with the keys of its groups; rows by key are made of it where groups are formed
+    met = _dealt(slots, sizes, "key", "node", crowded)
+    central = written(met.groupBy("node").agg(F.min("n").alias("n"), F.sum("members").alias("weight"), F.collect_list("key").alias("keys")), "near-nodes")
     # the texts that any table brings together, once for all rounds
-    bodies = written(texts.join(central.select(F.col("node").alias("doc_id")), "doc_id"), "near-texts")
+    bodies = written(texts.join(central.select(F.col("node").alias("doc_id"), "weight"), "doc_id"), "near-texts")
 
     def verified(candidates: DataFrame) -> DataFrame:
+        candidates = written(candidates, "near-candidates")
+        often = candidates.groupBy("a").agg(F.count("*").alias("pairs"))
         right = candidates.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = right.join(bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+        left = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+        both = _dealt(right, left.join(often.select("a"), "a", "left_semi"), "a", "b", _hot(often, "a", "pairs", candidates.count()))
         return written(both.select("a", "text_a", "b", "text_b").mapInArrow(_overlaps(width, similarity_pct), f"a {kind}, b {kind}"), "near-links")
 
     most = F.struct("weight", F.xxhash64("node"))
     as_pivot = F.struct(F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"))
 
-    def with_pivots(groups: DataFrame, by: list[str], spread: int) -> DataFrame:
+    def with_pivots(groups: DataFrame, by: str, spread: int, hot: DataFrame) -> DataFrame:
         """Every member against the group's most central one and ``spread`` arbitrary ones."""
         chosen = [F.max_by(as_pivot, most), *(F.max_by(as_pivot, F.xxhash64("node", F.lit(i))) for i in range(spread))]
-        pivots = groups.groupBy(*by).agg(F.array(*chosen).alias("x")).select(*by, F.inline(F.array_distinct("x")))
-        return pairs(groups, pivots, by, "")
-
-    def across(groups: DataFrame, by: list[str]) -> DataFrame:
-        """The members of each group of GROUP at most against those of other components."""
-        return pairs(groups, groups.select(*by, as_pivot.alias("x")).select(*by, "x.*"), by, " AND p < node")
+        pivots = groups.groupBy(by).agg(F.array_distinct(F.array(*chosen)).alias("x"))
+        met = _dealt(groups.select(by, "node", "n", "component"), pivots, by, "node", hot)
+        return close(met.select("node", "n", "component", F.inline("x")))
 
-    def pairs(groups: DataFrame, others: DataFrame, by: list[str], more: str) -> DataFrame:
-        met = groups.join(others, by).where("component != c_p" + more)
-        met = met.where(f"100 * least(n, n_p) >= {similarity_pct} * greatest(n, n_p)")
+    def close(met: DataFrame, more: str = "") -> DataFrame:
+        met = met.where("component != c_p" + more).where(f"100 * least(n, n_p) >= {similarity_pct} * greatest(n, n_p)")
         return met.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
 
+    def across(groups: DataFrame, by: str) -> DataFrame:
+        """The members of each group of GROUP at most against those of other components."""
+        return close(groups.join(groups.select(by, as_pivot.alias("x")).select(by, "x.*"), by), " AND p < node")
+
     def listed(nodes: DataFrame) -> DataFrame:
-        """(shingle, node, n, after, weight): each class under its rarest shingles; after counts those from it on in order of rarity."""
-        rows = bodies.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "text")
-        rows = written(rows.mapInArrow(_shingle_rows(width), f"node {kind}, own long, n long, shingle long"), "near-shingles")
-        often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+        """Each class with the rarest of its shingles (key); after counts its shingles from that one on in order of rarity."""
+        rows = written(bodies.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_rows(width), f"node {kind}, own long, n long, weight long, shingle long"), "near-shingles")
+        often = written(rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "near-often")
+        common = _hot(often, "shingle", "often", rows.count())
+        known = _dealt(rows, often, "shingle", "node", common)
+        # shingles of one class only have no partner but come first in order of rarity; the others stand behind them
         place = F.row_number().over(Window.partitionBy("node", "own").orderBy("often", "shingle"))
+        several = F.count("*").over(Window.partitionBy("node", "own"))
         # n - after shingles come before it; the first that two sets share has at least the needed overlap from it on in both
-        placed = rows.join(often, "shingle").select("shingle", "node", "n", "often", (F.col("n") - place + 1).alias("after"))
-        return placed.where(f"100 * after >= {similarity_pct} * n AND often > 1").drop("often").join(central, "node")
+        placed = known.withColumn("after", several - place + 1).where(f"100 * after >= {similarity_pct} * n")
+        return placed.groupBy("node").agg(F.min("n").alias("n"), F.max("weight").alias("weight"), F.collect_list(F.struct(F.col("shingle").alias("key"), "after")).alias("keys"))
 
     def across_listed(groups: DataFrame) -> DataFrame:
         """As across() for lists of any length: blocks of about GROUP classes meet each other, so no task holds a whole list."""
         blocks = F.ceil(F.col("members") / GROUP).cast("int")
         dealt = groups.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        by = ["shingle", "low", "high"]
+        by = ["key", "low", "high"]
         others = dealt.select(*by, as_pivot.alias("y"), F.col("after").alias("after_p"), F.col("block").alias("block_p")).select(*by, "y.*", "after_p", "block_p")
         suffices = f"{100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)"
-        return pairs(dealt, others, by, f" AND p < node AND (low = high OR block != block_p) AND {suffices}")
-
-    def still_apart(groups: DataFrame, by: list[str], parts: DataFrame) -> DataFrame:
-        """The groups that hold several components yet, with those and the number of members."""
-        named = groups.drop("component", "members").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_ = named.groupBy(*by).agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 != c1")
-        return written(named.join(open_.select(*by, "members"), by), "near-open")
-
-    by = ["t", "key"]
-    links = verified(written(with_pivots(slots.withColumn("component", F.col("node")), by, PIVOTS), "near-candidates"))
+        return close(dealt.join(others, by), f" AND p < node AND (low = high OR block != block_p) AND {suffices}")
+
+    def still_apart(nodes: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of the groups that hold several components yet, with those and the number of members; and the hot keys."""
+        named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = named.select("node", "n", "weight", "component", F.inline("keys") if "array<struct" in dict(nodes.dtypes)["keys"] else F.explode("keys").alias("key"))
+        open_ = written(rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 != c1").drop("c0", "c1"), "near-open")
+        hot = _hot(open_, "key", "members", open_.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+        return written(_dealt(rows, open_, "key", "node", hot), "near-apart"), hot
+
+    alone = central.select("node", "n", "weight", F.col("node").alias("component"), F.explode("keys").alias("key"))
+    links = verified(with_pivots(alone, "key", PIVOTS, crowded))
     parts = written(_components(links), "near-components")
-    open_ = still_apart(slots, by, parts)
-    if open_.limit(1).count():
-        rest = across(open_.where(F.col("members") <= GROUP), by)
-        large = written(open_.where(F.col("members") > GROUP).select("node").distinct(), "near-large")
+    apart, _ = still_apart(central, parts)
+    if apart.limit(1).count():
+        rest = across(apart.where(F.col("members") <= GROUP), "key")
+        large = written(apart.where(F.col("members") > GROUP).select("node").distinct(), "near-large")
         lists = None
         if large.limit(1).count():
-            lists = still_apart(listed(large), ["shingle"], parts)
-            rest = rest.unionByName(across_listed(lists.where(F.col("members") <= GROUP))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), ["shingle"], PIVOTS))
-        links = links.unionByName(verified(written(rest.distinct(), "near-candidates")))
+            listings = written(listed(large), "near-lists")
+            lists, hot = still_apart(listings, parts)
+            rest = rest.unionByName(across_listed(lists.where(F.col("members") <= GROUP))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), "key", PIVOTS, hot))
+        links = links.unionByName(verified(rest.distinct()))
         parts = written(_components(links), "near-components")
         if lists is not None:
-            lists = still_apart(lists.where(F.col("members") > GROUP), ["shingle"], parts)
+            lists, _ = still_apart(listings, parts)
+            lists = lists.where(F.col("members") > GROUP)
             if lists.limit(1).count():
-                links = links.unionByName(verified(written(across_listed(lists), "near-candidates")))
+                links = links.unionByName(verified(across_listed(lists)))
                 parts = written(_components(links), "near-components")
     found = classes.select("s1", "s2", "n_shingles", "node").join(parts, "node", "left")
     found = found.select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
