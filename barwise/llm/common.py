@@ -16,12 +16,24 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
+#: Rows that go to a Python worker at once; rows hold whole texts.
+ARROW_ROWS = 500
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set here only where the session names none (tests)."""
+    _small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -89,7 +101,7 @@ def fold() -> "F.Column":
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 400_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of ``column``, one row at least, so that work arrays stay small."""
     for batch in batches:
         if not batch.num_rows:
@@ -149,7 +161,7 @@ class Rolling:
     def _power(self, base: int, n: int) -> np.ndarray:
         got = Rolling._powers.get(base)
         if got is None or len(got) < n:
-            grown = np.full(max(n, 1 << 20), base, U64)
+            grown = np.full(max(n + n // 4, 1 << 19), base, U64)
             grown[0] = 1
             got = Rolling._powers[base] = np.multiply.accumulate(grown)
         return got[:n]

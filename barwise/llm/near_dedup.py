@@ -61,10 +61,10 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndar
         if b - a >= width:
             out.append(np.unique(wide[a : b - width + 1]))
         elif b > a:
-            short = U64(b - a)
+            short = np.array([b - a], U64)
             for k in range(b - a):
                 short = short * _STEP[15] + words[a + k]
-            out.append(mixed(np.array([short], U64)))
+            out.append(mixed(short))
         else:
             out.append(np.zeros(0, U64))
     return out
@@ -72,7 +72,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndar
 
 def _signatures(width: int):
     def run(batches):
-        for batch in pieces(batches, "text", 2_000_000):
+        for batch in pieces(batches, "text"):
             sets = shingle_sets(*flat(batch.column("text")), width)
             size = np.array([len(s) for s in sets])
             full = np.flatnonzero(size)
@@ -96,7 +96,7 @@ def _shingle_rows(width: int):
     """A row for each shingle of each text: the text's doc_id, the sum of its set (which tells texts of one doc_id apart), the set's size, the class's weight."""
 
     def run(batches):
-        for batch in pieces(batches, "text", 500_000):
+        for batch in pieces(batches, "text"):
             sets = shingle_sets(*flat(batch.column("text")), width)
             size = np.array([len(s) for s in sets])
             if not size.sum():
@@ -116,7 +116,7 @@ def _overlaps(width: int, similarity_pct: int):
     def run(batches):
         last, left = None, None
         for big in batches:
-            for batch in pieces(iter([big]), "text_b", 2_000_000):
+            for batch in pieces(iter([big]), "text_b"):
                 right = shingle_sets(*flat(batch.column("text_b")), width)
                 ids = batch.column("a").to_pylist()
                 keep = []
