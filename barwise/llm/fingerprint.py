@@ -10,9 +10,11 @@ most that could be shared; the likeness is the mean over the filters of the shor
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from barwise.llm.common import Rolling, U64, flat, mixed, pieces, sliding_min, t
 
 WIDTH, REACH, POPULAR = 64, 64, 16
 BITS, HASHES, PER_FILTER = 2048, 5, 160
+#: Ranges of doc_id at most.
+MAX_RANGES = 10_000
 _ROLL = Rolling(71)
 _POS = U64(0xFFFFFF)
 #: Windows ranked at once; a place counts from the chunk's start and with its neighbourhood stays below _POS.
@@ -166,20 +170,20 @@ def fingerprints(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
 def with_next(docs: DataFrame, per_range: int = 4000) -> DataFrame:
     """Rows (part, ghost, doc_id, text) in which each document is followed, within its part, by the next one in descending doc_id.
 
-    Parts are ranges of doc_id. The first document of the range below (of the highest range, for the lowest) stands at the end
-    of each as a ghost, so no part looks into another. Only range bounds and first ids come to the driver, one for
-    about per_range documents.
+    Parts are ranges of the integer doc_id, of about per_range documents, MAX_RANGES parts at most; rows stream through a part
+    in order, so its size is no bound. The first document of the range below (of the highest range, for the lowest) stands at
+    the end of each as a ghost, so no part looks into another. Only range bounds and first ids come to the driver, one a part.
+    A null text is empty; null ids come last; of rows that repeat an id the order is that of a hash of their text.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
-    ids = own.select("doc_id")
-    parts = max(1, ids.count() // per_range)
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = [int(b) for b in bounds]
-    part = F.lit(0)
-    if bounds:
-        edges = F.array(*(F.lit(b).cast("long") for b in bounds))
-        part = F.size(F.filter(edges, lambda e: e < F.col("doc_id")))
-    placed = own.withColumn("part", part)
+    ids = own.select(F.col("doc_id").cast("double").alias("id"))
+    parts = min(MAX_RANGES, max(1, ids.count() // per_range))
+    bounds = sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    # found by bisection; ids too long for a double fall to the same side of a bound as their double
+    ranged = Bucketizer(splits=[-math.inf, *(bounds or [0.0]), math.inf], inputCol="id", outputCol="range", handleInvalid="keep")
+    own = ranged.transform(own.withColumn("id", F.col("doc_id").cast("double")))
+    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("range").cast("int"))
+    placed = own.withColumn("part", part).drop("id", "range")
     firsts = {r["part"]: r["x"] for r in placed.groupBy("part").agg(F.max(F.struct("doc_id", "tie")).alias("x")).collect()}
     order = sorted(firsts)
     ghosts = [(firsts[p]["doc_id"], firsts[p]["tie"], order[(i + 1) % len(order)]) for i, p in enumerate(order)]
