@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
 Each direction is a GRU; every position gets a distribution over the languages from both states, and a document's
-distribution is the softmax of its mean log-odds. Training is backpropagation through time over segments of the sample.
+distribution is the mean over its positions. Training is backpropagation through time over segments of the sample.
 Whole texts are scored, in segments of ``SEGMENT`` bytes side by side, each direction starting its segment afresh.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwise.llm.common import flat, fold, pieces, table
@@ -20,7 +20,7 @@ PER_LANGUAGE, TRAIN_BYTES, PIECE = 400, 1024, 64
 HIDDEN = 6
 SEGMENT = 128
 #: Segments scored at once.
-BATCH = 1024
+BATCH = 512
 PAD = 256
 
 
@@ -117,16 +117,20 @@ class BiGRU:
             dh = dh * (1 - z) + drh * r + np.matmul(dzr, uzr_t)
         return g
 
-    def sums(self, x: np.ndarray, long: np.ndarray) -> np.ndarray:
-        """Sum over the first ``long`` positions of states(); rows come longest first. Buffers are used again at each step."""
+    def fast_states(self, x: np.ndarray) -> np.ndarray:
+        """states() without a record for training, as (2, time, hidden, batch); buffers are used again at each step.
+
+        The backward state is zero up to the last byte before the padding, so that a text's states do not depend on its batch.
+        """
         t, b = x.shape
         n = self.h
         tables = np.ascontiguousarray(self.p["table"].transpose(0, 2, 1))
         uzr, un = (np.ascontiguousarray(self.p[k].transpose(0, 2, 1)) for k in ("uzr", "un"))
         at = x.astype(np.intp)
-        live = np.searchsorted(-long, -np.arange(t))  # rows with more than i bytes
+        real = (x != PAD).astype(np.float32)
+        padded = (x == PAD).any(1)
         gates, zr, c, room = (np.empty((2, k * n, b), np.float32) for k in (3, 2, 1, 2))
-        h, acc = np.zeros((2, n, b), np.float32), np.zeros((2, n, b), np.float32)
+        h, out = np.zeros((2, n, b), np.float32), np.empty((2, t, n, b), np.float32)
         for i in range(t):
             np.take(tables[0], at[i], axis=1, out=gates[0], mode="clip")
             np.take(tables[1], at[t - 1 - i], axis=1, out=gates[1], mode="clip")
@@ -146,13 +150,21 @@ class BiGRU:
             c -= h
             c *= zr[:, :n]
             h += c
-            acc[0, :, : live[i]] += h[0, :, : live[i]]
-            acc[1, :, : live[t - 1 - i]] += h[1, :, : live[t - 1 - i]]
-        return acc
+            if padded[t - 1 - i]:
+                h[1] *= real[t - 1 - i]
+            out[0, i], out[1, t - 1 - i] = h
+        return out
 
     def positions(self, x: np.ndarray) -> np.ndarray:
-        """Log-odds (time, batch, classes) of every position."""
-        return self.logits(self.states(x))
+        """Distribution over the classes at every position: (time, classes, batch)."""
+        states = self.fast_states(x)
+        z = np.matmul(self.p["out"][0].T, states[0])
+        z += np.matmul(self.p["out"][1].T, states[1])
+        z += self.p["bias"][:, None]
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        return z
 
 
 def _segments(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +181,7 @@ def _segments(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def pooled(net: BiGRU, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Distribution over the classes for each document: softmax of mean log-odds over its positions."""
+    """Distribution over the classes for each document: the mean of those of all its positions."""
     count = len(ends) - 1
     rows, doc, long = _segments(data, ends, SEGMENT)
     total = np.zeros((count, net.k))
@@ -178,12 +190,10 @@ def pooled(net: BiGRU, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         own = order[at : at + BATCH]
         t = int(long[own].max())
         x = np.ascontiguousarray(rows[own, :t].T)
-        sums = net.sums(x, long[own])
-        z = sums[0].T @ net.p["out"][0] + sums[1].T @ net.p["out"][1] + long[own][:, None] * net.p["bias"]
-        np.add.at(total, doc[own], z)
-    z = total / np.maximum(1, np.diff(ends))[:, None]
-    e = np.exp(z - z.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+        p = net.positions(x)
+        p *= (np.arange(t)[:, None] < long[own])[:, None, :]
+        np.add.at(total, doc[own], p.sum(0).T)
+    return total / np.maximum(1, np.diff(ends))[:, None]
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[BiGRU | None, list[str]]:
@@ -203,11 +213,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[BiGRU | No
     # in their order, so that a short last piece stays last
     drawn = F.sort_array(F.transform(F.slice(order, 1, TRAIN_BYTES // PIECE), lambda x: x["i"]))
     drawn = F.transform(drawn, lambda i: F.substring(whole, i * PIECE + 1, F.lit(PIECE)))
-    rows, taken = [], dict.fromkeys(names, 0)
-    for r in sorted(some.select("lang", "place", drawn.alias("pieces")).collect(), key=lambda r: (r["place"], r["pieces"])):
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= per_language:
-            rows.append(r)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "pieces"))
+    rows = some.select("lang", "place", drawn.alias("pieces")).where("pieces is not null").withColumn("first", first).where(F.col("first") <= per_language).collect()
+    rows.sort(key=lambda r: (r["place"], r["lang"], r["first"]))
     texts = pa.array([b"".join(r["pieces"]) for r in rows], pa.binary())
     data, ends = flat(texts)
     x, doc, long = _segments(data, ends, PIECE)

@@ -92,11 +92,20 @@ def test_gradients_and_pooling_agree_with_plain_forms():
         net.p[k][at] = old
         assert abs((up - down) / 2e-2 - g[k][at]) < 0.02 * abs(g[k][at]) + 1e-3
     net = langid.BiGRU(3, seed=2)
-    long = np.array([6, 5, 2])
     x = r.integers(0, 255, (6, 3)).astype(np.int16)
-    x[np.arange(6)[:, None] >= long] = langid.PAD
-    plain = (net.states(x) * (x != langid.PAD)[None, :, :, None]).sum(1)
-    assert np.allclose(net.sums(x, long).transpose(0, 2, 1), plain, atol=1e-4)
+    x[np.arange(6)[:, None] >= [6, 5, 2]] = langid.PAD
+    states = np.stack([np.concatenate([net.states(x[:m, [k]]), np.zeros((2, 6 - m, 1, net.h))], 1)[:, :, 0] for k, m in enumerate([6, 5, 2])], 2)
+    z = np.exp(net.logits(states))
+    plain = z / z.sum(-1, keepdims=True)
+    assert np.allclose(net.positions(x).transpose(0, 2, 1)[x != langid.PAD], plain[x != langid.PAD], atol=1e-5)
+    # a document's distribution is the mean over its bytes, segment by segment
+    texts = [b"abc", b"", bytes(r.integers(0, 255, 300).astype(np.uint8))]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.array([0, 3, 3, 303])
+    got = langid.pooled(net, data, ends)
+    for t, p in zip(texts, got, strict=True):
+        parts = [np.frombuffer(t[i : i + langid.SEGMENT], np.uint8) for i in range(0, len(t), langid.SEGMENT)]
+        want = sum((net.positions(b[:, None].astype(np.int16)).sum((0, 2)) for b in parts), np.zeros(3)) / max(1, len(t))
+        assert np.allclose(p, want, atol=1e-4)
 
 
 def test_every_language_is_learned_from_whole_texts(spark):
