@@ -176,7 +176,8 @@ def _segments(data: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray
     start = ends[:-1][doc] + (np.arange(len(doc)) - first[doc]) * size
     long = np.minimum(size, ends[1:][doc] - start)
     at = start[:, None] + np.arange(size)
-    out = np.where(np.arange(size) < long[:, None], data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 0, PAD).astype(np.int16)
+    known = data.astype(np.int16)[np.minimum(at, max(0, len(data) - 1))] if len(data) else np.zeros(at.shape, np.int16)
+    out = np.where(np.arange(size) < long[:, None], known, np.int16(PAD))
     return out, doc, long
 
 
