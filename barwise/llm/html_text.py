@@ -43,8 +43,11 @@ WORDS = set(
     "overlay newsletter subscribe signup login comment comments commentlist respond disqus sidebar side rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar share sharing social related recommended recommendations pagination pager skip toolbar tags tagcloud".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# A quote opens a value only behind an equals sign, as HTML has it.
+_VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{_VALUE})*)>?", re.S)
+_ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_EMPTY = re.compile(r"(?:^|[\s\"'])/$")
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -53,7 +56,7 @@ class Node:
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children = tag, []
-        self.attrs = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs)] if attrs else []
+        self.attrs = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs) if k.lower() in ("class", "id", "role")] if attrs else []
         self.around, self.named = tag in AROUND, False  # by element or role; by class or id
         for k, v in self.attrs:
             v = v.lower()
@@ -94,7 +97,7 @@ def parse(page: str) -> Node:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             # one that never ends holds the rest, but for a title
-            at = end.end() if end else at if tag == "title" or m[0].rstrip("> ").endswith("/") else len(page)
+            at = end.end() if end else at if tag == "title" or _EMPTY.search(m[3]) else len(page)
             continue
         if tag in CLOSES_P or tag == "p":
             _close(open_, {"p"}, {"body", "html", "td", "th", "button"})
@@ -104,7 +107,7 @@ def parse(page: str) -> Node:
             _close(open_, {"head"}, set())
         node = Node(tag, m[3])
         open_[-1].children.append(node)
-        if tag not in VOID and not m[0].endswith("/>"):
+        if tag not in VOID and not _EMPTY.search(m[3]):
             open_.append(node)
     return root
 
@@ -139,39 +142,37 @@ def mains(node: Node) -> list[Node]:
     return []
 
 
+def _downward(root: Node, around: bool = True) -> list[Node]:
+    """root and all elements in it, each before what it holds; without around none that is surroundings by itself."""
+    out, open_ = [], [root]
+    while open_:
+        n = open_.pop()
+        out.append(n)
+        open_ += [c for c in n.children if isinstance(c, Node) and (around or not c.around)]
+    return out
+
+
 def text_sizes(root: Node) -> dict[int, int]:
     """Characters of text in every element, by its id(), without elements that are surroundings by themselves."""
     out: dict[int, int] = {}
-
-    def walk(n: Node) -> int:
-        out[id(n)] = total = sum((0 if c.around else walk(c)) if isinstance(c, Node) else len(c.strip()) for c in n.children)
-        return total
-
-    walk(root)
+    for n in reversed(_downward(root, around=False)):
+        out[id(n)] = sum(out.get(id(c), 0) if isinstance(c, Node) else len(c.strip()) for c in n.children)
     return out
 
 
 def subtree_hashes(root: Node) -> dict[int, int]:
     """A 64-bit hash of every element with text, by the element's id()."""
     out: dict[int, int] = {}
-
-    def walk(n: Node) -> int:
-        h, some = hashlib.blake2b(n.tag.encode(), digest_size=8), False
+    for n in reversed(_downward(root)):
+        parts = [n.tag.encode()]
         for c in n.children:
             if isinstance(c, Node):
-                got = walk(c)
-                if got:
-                    h.update(got.to_bytes(8, "little", signed=True))
-                    some = True
+                if id(c) in out:
+                    parts.append(out[id(c)].to_bytes(8, "little", signed=True))
             elif c.strip():
-                h.update(b"\0" + " ".join(c.split()).encode("utf-8", "replace"))
-                some = True
-        if not some:
-            return 0
-        out[id(n)] = value = int.from_bytes(h.digest(), "little", signed=True)
-        return value
-
-    walk(root)
+                parts.append(b"\0" + " ".join(c.split()).encode("utf-8", "replace"))
+        if len(parts) > 1:
+            out[id(n)] = int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
     return out
 
 
@@ -208,26 +209,26 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    def walk(n: Node, top: bool):
+    def gone_from(n: Node) -> bool:
         # a class word does not take most of the text
-        hidden = n.around or n.named and 2 * sizes.get(id(n), 0) <= whole
-        if hidden and not top or id(n) in dropped or n.tag == "header" and not own:
-            return
-        block = n.tag in BLOCK
-        if block:
-            flush()
-        elif n.tag in ("br", "td", "th"):
-            line.append(" ")
-        for c in n.children:
-            if isinstance(c, Node):
-                walk(c, False)
-            else:
-                line.append(c)
-        if block:
-            flush()
-
-    for n in tops:
-        walk(n, True)
+        return n.around or n.named and 2 * sizes.get(id(n), 0) <= whole or id(n) in dropped or n.tag == "header" and not own
+
+    for top in tops:
+        # a block that ends leaves None behind it
+        ahead: list = [top]
+        while ahead:
+            n = ahead.pop()
+            if n is None:
+                flush()
+            elif isinstance(n, str):
+                line.append(n)
+            elif n is top or not gone_from(n):
+                if n.tag in BLOCK:
+                    flush()
+                    ahead.append(None)
+                elif n.tag in ("br", "td", "th"):
+                    line.append(" ")
+                ahead += reversed(n.children)
         flush()
     return "\n".join(blocks)
 

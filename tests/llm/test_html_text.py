@@ -1,3 +1,5 @@
+import random
+
 from barwise.llm.html_text import extract, main_text
 
 
@@ -43,3 +45,28 @@ def test_templates_inside_articles(spark):
     assert all(got[i] == f"story {i} is not short and has words of its own" for i in range(8))
     assert all(got[200 + i] == "same story" for i in range(9))
     assert all(got[300 + i] == f"one long story that was copied\nedit {i}" for i in range(9))
+
+
+def test_depth_and_attributes():
+    assert main_text("<div>" * 20000 + "deep" + "</div>" * 20000) == "deep"
+    assert main_text("<p title=don't>one</p><p>two</p><p title=isn't>three</p>") == "one\ntwo\nthree"
+    assert main_text("<p title=\"a > b\" data-class='ad'>one</p><br/><a href=/x/>two</a>") == "one\ntwo"
+    assert main_text("<article><section id='social-sciences'><p>abc</p></section><div class='my-share-price'>def</div><p>a longer text</p></article>") == "abc\ndef\na longer text"
+
+
+def test_templates_by_brute_force(spark):
+    """Blocks of random pages stay exactly if fewer than five different pages of the host hold them; without counts all stay."""
+    r = random.Random(3)
+    rows, blocks = [], {}
+    for i in range(60):
+        host = f"h{i % 3}"
+        own = [f"own words of page {i} part {k} and some more of them" for k in range(4)] + [f"{host} shared {r.randrange(12)}" for _ in range(3)]
+        r.shuffle(own)
+        blocks[i] = (host, own)
+        rows.append((i, f"https://{host}/p{i}", "<body><article>" + "".join(f"<section><p>{b}</p></section>" for b in own) + "</article></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got, plain = ({x.page_id: x.text for x in extract(df, least).collect()} for least in (5, 10**6))
+    for i, (host, own) in blocks.items():
+        kept = [b for b in own if sum(b in o for h, o in blocks.values() if h == host) < 5]
+        assert got[i] == "\n".join(kept) and plain[i] == "\n".join(own)
+    assert got != plain
