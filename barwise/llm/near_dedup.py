@@ -9,11 +9,11 @@ Documents with one shingle set are one class, named by the least doc_id. Within
 with the group's most central class (the one that meets the most others over all tables) and PIVOTS more instead of with
 every other; groups whose members are then connected are finished. What stays apart is compared across components, all of
 it in groups of up to GROUP classes. The classes of larger groups are joined anew, exactly: each is listed under the rarest
-of its shingles, as many as it takes for two sets that reach the similarity to share one, and pairs meet only where what is
-left behind the shared shingle can still suffice. A rare shingle's list is short even where thousands of texts share a
-template. Lists of over GROUP classes are compared with pivots first; what is apart even then is compared in full, block by
-block. So no pair that a table brings together is given up: only a list that is long, similar enough by length and place,
-and yet falls into many components costs its square.
+of its shingles (by counts in buckets, a bounded table), as many as it takes for two sets that reach the similarity to share
+one, and pairs meet only where what is left behind the shared shingle can still suffice. A rare shingle's list is short even
+where thousands of texts share a template. Lists of over GROUP classes are compared with pivots first; what is apart even
+then is compared in full, block by block. So no pair that a table brings together is given up: only a list that is long,
+similar enough by length and place, and yet falls into many components costs its square.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwise.llm.common import LOWER, U64, Rolling, checkpointed, flat, mixed, pieces, signed, table, written
@@ -32,6 +32,9 @@ COLLECTIONS, ROWS = 8, 2
 DEALT, LEAST_HOT = 10_000, 1_000
 #: Classes that a group compares across components in one block, and pivots beside the most central one.
 GROUP, PIVOTS = 64, 3
+#: Buckets by which the rarity of shingles is known, as a power of two; their counts come to the driver.
+RARITY_BITS = 18
+_RARITY_SHIFT = U64(64 - RARITY_BITS)
 _WORD = Rolling(21)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -92,20 +95,36 @@ def _signatures(width: int):
     return run
 
 
-def _shingle_rows(width: int):
-    """A row for each shingle of each text: the text's doc_id, the sum of its set (which tells texts of one doc_id apart), the set's size, the class's weight."""
+def _seen(width: int):
+    """How often the shingles of a bucket occur, for buckets by hash."""
 
     def run(batches):
+        total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in pieces(batches, "text"):
             sets = shingle_sets(*flat(batch.column("text")), width)
-            size = np.array([len(s) for s in sets])
-            if not size.sum():
-                continue
-            row = np.repeat(np.arange(len(sets)), size)
-            every = np.concatenate(sets)
-            own = np.array([s.sum(dtype=U64) for s in sets], U64)
-            node, weight = (batch.column(k).take(pa.array(row)) for k in ("doc_id", "weight"))
-            yield pa.RecordBatch.from_arrays([node, signed(own[row]), pa.array(size[row]), weight, signed(every)], ["node", "own", "n", "weight", "shingle"])
+            if sets:
+                np.add.at(total, (np.concatenate(sets) >> _RARITY_SHIFT).astype(np.int64), 1)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["bucket", "n"])
+
+    return run
+
+
+def _rarest(width: int, similarity_pct: int, often: np.ndarray):
+    """Of each class the shingles that come first in one order for all, rare ones first: as many as two sets that reach the
+    similarity need to share one. after counts a shingle and those behind it; what occurs once has no partner and is left out."""
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            keys = []
+            for s in shingle_sets(*flat(batch.column("text")), width):
+                count = often[(s >> _RARITY_SHIFT).astype(np.int64)]
+                order = np.lexsort((s, count))
+                after = len(s) - np.arange(len(s))
+                own = (100 * after >= similarity_pct * len(s)) & (count[order] > 1)
+                keys.append([{"key": k, "after": a, "n": len(s)} for k, a in zip(s[order][own].view(np.int64).tolist(), after[own].tolist(), strict=True)])
+            kind = pa.list_(pa.struct([("key", pa.int64()), ("after", pa.int64()), ("n", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("weight"), pa.array(keys, kind)], ["node", "weight", "keys"])
 
     return run
 
@@ -187,7 +206,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
     crowded = _hot(sizes, "key", "members", sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
     # from here a class is one row, with the keys of its groups; rows by key are made of it where groups are formed
     met = _dealt(slots, sizes, "key", "node", crowded)
-    central = written(met.groupBy("node").agg(F.min("n").alias("n"), F.sum("members").alias("weight"), F.collect_list("key").alias("keys")), "near-nodes")
+    central = written(met.groupBy("node").agg(F.sum("members").alias("weight"), F.collect_list(F.struct("key", "n")).alias("keys")), "near-nodes")
     # the texts that any table brings together, once for all rounds
     bodies = written(texts.join(central.select(F.col("node").alias("doc_id"), "weight"), "doc_id"), "near-texts")
 
@@ -218,17 +237,12 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         return close(groups.join(groups.select(by, as_pivot.alias("x")).select(by, "x.*"), by), " AND p < node")
 
     def listed(nodes: DataFrame) -> DataFrame:
-        """Each class with the rarest of its shingles (key); after counts its shingles from that one on in order of rarity."""
-        rows = written(bodies.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_shingle_rows(width), f"node {kind}, own long, n long, weight long, shingle long"), "near-shingles")
-        often = written(rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "near-often")
-        common = _hot(often, "shingle", "often", rows.count())
-        known = _dealt(rows, often, "shingle", "node", common)
-        # shingles of one class only have no partner but come first in order of rarity; the others stand behind them
-        place = F.row_number().over(Window.partitionBy("node", "own").orderBy("often", "shingle"))
-        several = F.count("*").over(Window.partitionBy("node", "own"))
-        # n - after shingles come before it; the first that two sets share has at least the needed overlap from it on in both
-        placed = known.withColumn("after", several - place + 1).where(f"100 * after >= {similarity_pct} * n")
-        return placed.groupBy("node").agg(F.min("n").alias("n"), F.max("weight").alias("weight"), F.collect_list(F.struct(F.col("shingle").alias("key"), "after")).alias("keys"))
+        """Each class (node, weight) with its rarest shingles (key, after, n)."""
+        rows = written(bodies.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "near-large-texts")
+        often = np.zeros(1 << RARITY_BITS, np.int64)
+        for r in rows.mapInArrow(_seen(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+            often[r["bucket"]] = r["n"]
+        return rows.mapInArrow(_rarest(width, similarity_pct, often), f"node {kind}, weight long, keys array<struct<key:long,after:long,n:long>>")
 
     def across_listed(groups: DataFrame) -> DataFrame:
         """As across() for lists of any length: blocks of about GROUP classes meet each other, so no task holds a whole list."""
@@ -243,12 +257,12 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
     def still_apart(nodes: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The members of the groups that hold several components yet, with those and the number of members; and the hot keys."""
         named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = named.select("node", "n", "weight", "component", F.inline("keys") if "array<struct" in dict(nodes.dtypes)["keys"] else F.explode("keys").alias("key"))
+        rows = named.select("node", "weight", "component", F.inline("keys"))
         open_ = written(rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 != c1").drop("c0", "c1"), "near-open")
         hot = _hot(open_, "key", "members", open_.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
         return written(_dealt(rows, open_, "key", "node", hot), "near-apart"), hot
 
-    alone = central.select("node", "n", "weight", F.col("node").alias("component"), F.explode("keys").alias("key"))
+    alone = central.select("node", "weight", F.col("node").alias("component"), F.inline("keys"))
     links = verified(with_pivots(alone, "key", PIVOTS, crowded))
     parts = written(_components(links), "near-components")
     apart, _ = still_apart(central, parts)
