@@ -212,3 +212,30 @@ def sessions_between(spans: DataFrame, calendar: DataFrame, start: str = "start"
     a = F.broadcast(seen.select(F.col("day").alias(start), F.col("upto").alias("_a")))
     b = F.broadcast(seen.select(F.col("day").alias(end), F.col("upto").alias("_b")))
     return spans.join(a, start, "left").join(b, end, "left").withColumn("sessions", F.col("_b") - F.col("_a")).drop("_a", "_b")
+
+
+def holidays_between(calendar: DataFrame, start, end) -> DataFrame:
+    """(day, holiday) from start to end, both included."""
+    return calendar.where(F.col("is_holiday") & F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("day", "holiday")
+
+
+def first_session(days: DataFrame, calendar: DataFrame) -> DataFrame:
+    """days (day) with the first trading day on or after it as session; null beyond the calendar."""
+    ahead = F.min(F.when(F.col("is_trading_day"), F.col("day"))).over(W.orderBy("day").rowsBetween(0, W.unboundedFollowing))
+    return days.join(F.broadcast(calendar.select("day", ahead.alias("session"))), "day", "left")
+
+
+def next_expiry(now: Column, second: int = 6 * 3600) -> Column:
+    """The next moment, after now, at which a token that lapses daily at that second of the day does so."""
+    today = F.date_trunc("day", now) + F.make_dt_interval(secs=F.lit(second).cast("decimal(18,6)"))
+    return F.when(today <= now, today + F.make_dt_interval(F.lit(1))).otherwise(today)
+
+
+def seconds_until(moment: Column, now: Column) -> Column:
+    """Seconds from now to moment, not below 0."""
+    return F.greatest(F.lit(0.0), (F.unix_micros(moment.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 1_000_000)
+
+
+def data_age(last: Column, now: Column) -> Column:
+    """Seconds since last; null if nothing came yet."""
+    return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1_000_000

@@ -21,22 +21,26 @@ def _strip(c: Column, inner: str = _BLANK) -> Column:
     return F.regexp_replace(c, rf"^{inner}+|{inner}+$", "")
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with value worked out once; Spark repeats what stands in branches otherwise."""
+    return F.transform(F.array(value), use)[0]
+
+
 def parse_number(raw: Column) -> Column:
     """Value of a financial token as double; null if it is none or a percentage, 0 for nil."""
-    s = _strip(raw)
-    wrapped = s.startswith("(") & s.endswith(")") & (F.length(s) >= 2)
-    body = F.when(wrapped, _strip(F.regexp_replace(s, r"^\(|\)$", ""))).otherwise(s)
-    signed = body.rlike(rf"^[^0-9]*[-{DASHES}][^0-9]*[0-9]")
-    bare = _strip(_strip(F.regexp_replace(body, CODES, ""), rf"[{CURRENCY}{DASHES} \t]"))
-    bare = F.regexp_replace(bare, rf"^[-+{DASHES} ]+", "")
-    compact = F.regexp_replace(F.regexp_replace(bare, ",", ""), r"(?<=[0-9])[  ](?=[0-9])", "")
-    value = F.when(compact.rlike(r"^[0-9]+(\.[0-9]+)?$"), compact.try_cast("double"))
-    return (
-        F.when(raw.isNull() | (s == ""), None)
-        .when(F.lower(s).isin(NIL), 0.0)
-        .when(s.contains("%"), None)
-        .otherwise(F.when(wrapped | signed, -value).otherwise(value))
-    )
+
+    def amount(s: Column) -> Column:
+        wrapped = s.startswith("(") & s.endswith(")") & (F.length(s) >= 2)
+        body = F.when(wrapped, _strip(F.regexp_replace(s, r"^\(|\)$", ""))).otherwise(s)
+        return _let(body, lambda b: F.when(wrapped | b.rlike(rf"^[^0-9]*[-{DASHES}][^0-9]*[0-9]"), -magnitude(b)).otherwise(magnitude(b)))
+
+    def magnitude(body: Column) -> Column:
+        bare = _strip(_strip(F.regexp_replace(body, CODES, ""), rf"[{CURRENCY}{DASHES} \t]"))
+        bare = F.regexp_replace(bare, rf"^[-+{DASHES} ]+", "")
+        compact = F.regexp_replace(F.regexp_replace(bare, ",", ""), r"(?<=[0-9])[  ](?=[0-9])", "")
+        return _let(compact, lambda c: F.when(c.rlike(r"^[0-9]+(\.[0-9]+)?$"), c.try_cast("double")))
+
+    return _let(_strip(raw), lambda s: F.when(F.lower(s).isin(NIL), 0.0).when(s.rlike("[0-9]") & ~s.contains("%"), amount(s)))
 
 
 def is_numberish(token: Column) -> Column:

@@ -1,16 +1,28 @@
 """Whether totals equal the sum of their items.
 
-A column of a page is a sequence of figures. Walking down, each total is matched with the nearest run of figures above it
-that adds up to it; the run then counts as one figure, the total. The walk needs state, so rows are dealt by (doc, page,
-column) and stream through it in order. Everything around it is plain DataFrame work.
+A column of a page is a sequence of figures, read downwards. What stands open is an array of entries: figures, and groups that
+were already added up and count as one figure since. A row of the column turns that array into the next one, so a column is one
+F.aggregate over its rows; a page's column is as long as its page, which bounds the arrays.
+
+=========  ==========================================  ===================  =====================================
+row        what it is measured against                 outcome              what stands open afterwards
+=========  ==========================================  ===================  =====================================
+total      shortest end of the entries that adds up,   ok                   the end gives way to one closed entry
+           not beyond a derived figure
+total      else the plain figures at the end, or the   error                they give way to the sum they had
+           last two closed groups
+total      neither                                     unverified           a closed entry is added
+derived    -                                           -                    a closed entry that nothing reaches over
+plain      two or more plain figures at the end, if    ok, implicit         they give way to one closed entry
+           they add up to it; else nothing             -                    a plain entry is added
+=========  ==========================================  ===================  =====================================
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,125 +30,92 @@ from barwise.functions import numbers as num
 
 #: Figures that a total looks back over.
 LOOK_BACK = 80
-CHECKS = "doc_id bigint, page_index int, column int, row_no int, label string, kind string, status string, stated double, expected double, x0 double, top double, components array<struct<row_no:int,label:string,value:double,x0:double,top:double>>"
-
-
-def tolerance(value: float, n: int, base: float) -> float:
-    return base + 0.5 * n + 1e-9 * abs(value)
-
-
-@dataclass
-class _Open:
-    """A figure, or a group already added up, that a later total may contain."""
-
-    row: dict
-    value: float
-    closed: bool = False  # a subtotal: plain runs end here
-    wall: bool = False  # a derived figure: nothing is added up across it
-
-
-class _Column:
-    def __init__(self, base: float):
-        self.base, self.open, self.checks = base, [], []
-
-    def note(self, row: dict, kind: str, status: str, expected: float, parts: list[_Open]) -> None:
-        comps = [{"row_no": e.row["row_no"], "label": e.row["label"], "value": e.value, "x0": e.row["x0"], "top": e.row["top"]} for e in parts]
-        self.checks.append({**{k: row[k] for k in ("doc_id", "page_index", "column", "row_no", "x0", "top")}, "label": row["label"] or ("(implicit subtotal)" if kind == "implicit" else ""), "kind": kind, "status": status, "stated": row["value"], "expected": expected, "components": comps})
-
-    def tail(self) -> int:
-        """How many plain figures stand at the end."""
-        n = 0
-        while n < len(self.open) and not self.open[-1 - n].closed:
-            n += 1
-        return n
-
-    def close(self, row: dict, count: int, value: float) -> None:
-        del self.open[len(self.open) - count :]
-        self.open.append(_Open(row, value, closed=True))
-
-    def plain(self, row: dict) -> None:
-        n = self.tail()
-        parts = self.open[len(self.open) - n :]
-        total = sum(e.value for e in parts)
-        if n >= 2 and abs(total - row["value"]) <= tolerance(row["value"], n, self.base):
-            self.note(row, "implicit", "ok", total, parts)
-            self.close({**row, "label": row["label"] or "(implicit subtotal)"}, n, row["value"])
-        else:
-            self.open.append(_Open(row, row["value"]))
-
-    def matching(self, goal: float) -> int:
-        """Length of the shortest end of the open figures that adds up to goal, 0 if there is none."""
-        total = 0.0
-        for n, e in enumerate(reversed(self.open[-LOOK_BACK:]), 1):
-            total += e.value
-            if abs(total - goal) <= tolerance(goal, n, self.base):
-                return n
-            if e.wall:
-                break
-        return 0
-
-    def total(self, row: dict) -> None:
-        n = self.matching(row["value"])
-        if n:
-            parts = self.open[-n:]
-            self.note(row, "total", "ok", sum(e.value for e in parts), parts)
-            self.close(row, n, row["value"])
-            return
-        n = self.tail()
-        parts = self.open[-n:] if n else [e for e in self.open if e.closed and not e.wall][-2:]
-        if len(parts) < 2:
-            self.note(row, "total", "unverified", row["value"], [])
-            self.open.append(_Open(row, row["value"], closed=True))
-            return
-        expected = sum(e.value for e in parts)
-        self.note(row, "total", "error", expected, parts)
-        # totals above are measured against what this one should have been
-        self.open = [e for e in self.open if not any(e is p for p in parts)] + [_Open(row, expected, closed=True)]
-
-    def add(self, row: dict) -> None:
-        if row["is_total"]:
-            self.total(row)
-        elif row["is_derived"]:
-            self.open.append(_Open(row, row["value"], closed=True, wall=True))
-        else:
-            self.plain(row)
-
-
-def _walk(base: float):
-    """Rows arrive sorted by column and row; one column's open figures are held at a time."""
-
-    def run(batches):
-        current, column = None, None
-        for batch in batches:
-            done: list[dict] = []
-            for row in batch.to_pylist():
-                key = (row["doc_id"], row["page_index"], row["column"])
-                if key != current:
-                    done += column.checks if column else []
-                    current, column = key, _Column(base)
-                column.add(row)
-            yield from pa.Table.from_pylist(done, schema=_ARROW).to_batches()
-        if column:
-            yield from pa.Table.from_pylist(column.checks, schema=_ARROW).to_batches()
-
-    return run
-
-
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("page_index", pa.int32()), ("column", pa.int32()), ("row_no", pa.int32()), ("label", pa.string()), ("kind", pa.string()), ("status", pa.string()), ("stated", pa.float64()), ("expected", pa.float64()), ("x0", pa.float64()), ("top", pa.float64())]
-    + [("components", pa.list_(pa.struct([("row_no", pa.int32()), ("label", pa.string()), ("value", pa.float64()), ("x0", pa.float64()), ("top", pa.float64())])))]
-)
+IMPLICIT = "(implicit subtotal)"
+_PLACE = "row_no:int,label:string,value:double,x0:double,top:double"
+_ENTRY = f"struct<i:int,{_PLACE},closed:boolean,wall:boolean>"
+_CHECK = f"struct<row_no:int,label:string,kind:string,status:string,stated:double,expected:double,x0:double,top:double,components:array<struct<{_PLACE}>>>"
+_KEY = ["doc_id", "page_index", "column"]
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sum(entries: Column) -> Column:
+    return F.aggregate(entries, F.lit(0.0), lambda total, e: total + e["value"])
+
+
+def _last(entries: Column, n: Column) -> Column:
+    return F.slice(entries, F.size(entries) - n + 1, n)
+
+
+def _before_first(flags: Column) -> Column:
+    """How many flags come before the first that is set; all if none is."""
+    at = F.array_position(flags, True).cast("int")
+    return F.when(at > 0, at - 1).otherwise(F.size(flags))
+
+
+def _measured(state: Column, row: Column, base: float) -> Column:
+    """What a row is measured against: struct(parts, kind, status), the last two null where nothing is checked."""
+    entries, value = state["entries"], row["value"]
+    adds_up = lambda total, n: F.abs(total - value) <= base + 0.5 * n + 1e-9 * F.abs(value)
+    plain = _last(entries, _before_first(F.reverse(F.transform(entries, lambda e: e["closed"]))))
+    groups = F.filter(entries, lambda e: e["closed"] & ~e["wall"])
+    none = F.array().cast(f"array<{_ENTRY}>")
+    outcome = lambda parts, kind, status: F.struct(parts.alias("parts"), F.lit(kind).cast("string").alias("kind"), F.lit(status).cast("string").alias("status"))
+
+    def ends() -> Column:
+        upward = F.reverse(_last(entries, F.least(F.size(entries), F.lit(LOOK_BACK))))
+        reach = F.least(F.size(upward), _before_first(F.transform(upward, lambda e: e["wall"])) + 1)
+        lengths = F.when(reach > 0, F.sequence(F.lit(1), reach)).otherwise(F.array().cast("array<int>"))
+        return F.filter(lengths, lambda n: adds_up(_sum(F.slice(upward, 1, n)), n))
+
+    def of_total(found: Column) -> Column:
+        rest = F.when(F.size(plain) > 0, plain).otherwise(_last(groups, F.least(F.size(groups), F.lit(2))))
+        apart = _let(rest, lambda r: F.when(F.size(r) >= 2, outcome(r, "total", "error")).otherwise(outcome(none, "total", "unverified")))
+        return F.when(F.size(found) > 0, outcome(_last(entries, found[0]), "total", "ok")).otherwise(apart)
+
+    of_plain = _let(plain, lambda r: F.when((F.size(r) >= 2) & adds_up(_sum(r), F.size(r)), outcome(r, "implicit", "ok")).otherwise(outcome(none, None, None)))
+    return F.when(row["is_total"], _let(ends(), of_total)).when(row["is_derived"], outcome(none, None, None)).otherwise(of_plain)
+
+
+def _next(state: Column, row: Column, base: float) -> Column:
+    """The entries and checks after a row."""
+
+    def after(m: Column) -> Column:
+        expected = F.when(m["status"] == "unverified", row["value"]).otherwise(_sum(m["parts"]))
+        label = F.when((m["kind"] == "implicit") & (row["label"] == ""), F.lit(IMPLICIT)).otherwise(row["label"])
+        stands = F.when(m["status"] == "error", expected).otherwise(row["value"])
+        closed = m["kind"].isNotNull() | row["is_derived"]
+        entry = F.struct(row["i"].alias("i"), row["row_no"].alias("row_no"), label.alias("label"), stands.alias("value"), row["x0"].alias("x0"), row["top"].alias("top"), closed.alias("closed"), (row["is_derived"] & ~row["is_total"]).alias("wall"))
+        left = F.filter(state["entries"], lambda e: ~F.exists(m["parts"], lambda p: p["i"] == e["i"]))
+        places = F.transform(m["parts"], lambda p: F.struct(*(p[k].alias(k) for k in ("row_no", "label", "value", "x0", "top"))))
+        check = F.struct(row["row_no"].alias("row_no"), label.alias("label"), m["kind"].alias("kind"), m["status"].alias("status"), row["value"].alias("stated"), expected.alias("expected"), row["x0"].alias("x0"), row["top"].alias("top"), places.alias("components"))
+        checks = F.when(m["kind"].isNull(), state["checks"]).otherwise(F.concat(state["checks"], F.array(check)))
+        return F.struct(F.concat(left, F.array(entry)).alias("entries"), checks.alias("checks"))
+
+    return _let(_measured(state, row, base), after)
 
 
 def column_checks(cells: DataFrame, base_tolerance: float = 1.0) -> DataFrame:
-    """Every total checked, over cells (doc_id, page_index, column, row_no, label, value, x0, top)."""
+    """Every total checked, over cells (doc_id, page_index, column, row_no, label, value, x0, top).
+
+    Rows: the key of the column, row_no, label, kind (total, implicit), status (ok, error, unverified), stated, expected, x0,
+    top, components. Cells without a value count for nothing.
+    """
     rows = cells.where("value is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("page_index").cast("int").alias("page_index"), F.col("column").cast("int").alias("column"), F.col("row_no").cast("int").alias("row_no"),
-        F.coalesce("label", F.lit("")).alias("label"), F.col("value").cast("double").alias("value"), F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"),
-        num.is_total(F.col("label")).alias("is_total"), num.is_derived(F.col("label")).alias("is_derived"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("page_index").cast("int").alias("page_index"), F.col("column").cast("int").alias("column"),
+        F.struct(
+            F.col("row_no").cast("int").alias("row_no"), F.coalesce("label", F.lit("")).alias("label"), F.col("value").cast("double").alias("value"), F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"),
+            F.coalesce(num.is_total(F.col("label")), F.lit(False)).alias("is_total"), F.coalesce(num.is_derived(F.col("label")), F.lit(False)).alias("is_derived"),
+        ).alias("row"),
     )
-    key = ["doc_id", "page_index", "column"]
-    return rows.repartition(*key).sortWithinPartitions(*key, "row_no").mapInArrow(_walk(base_tolerance), CHECKS)
+    columns = rows.groupBy(*_KEY).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    numbered = F.transform("rows", lambda r, i: r.withField("i", i.cast("int")))
+    start = F.struct(F.array().cast(f"array<{_ENTRY}>").alias("entries"), F.array().cast(f"array<{_CHECK}>").alias("checks"))
+    folded = F.aggregate(numbered, start, lambda state, row: _next(state, row, base_tolerance), lambda state: state["checks"])
+    return columns.select(*_KEY, F.inline(folded))
 
 
 def without_split_columns(checks: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def suspected_actions(days: DataFrame, keys: list[str], threshold: float, known:
     order = W.partitionBy(*keys).orderBy("day")
     real = days.where((F.col("close") > 0) & ~F.isnan("close"))
     moves = real.withColumn("log_return", F.ln("close") - F.lag(F.ln("close")).over(order)).where(F.abs("log_return") >= threshold)
-    return moves if known is None else moves.join(F.broadcast(known), [*keys, "day"], "left_anti")
+    return moves if known is None else moves.join(known, [*keys, "day"], "left_anti")
 
 
 def missing_holidays(days: DataFrame, calendar: DataFrame, min_symbols: int = 5, symbol: str = "symbol") -> DataFrame:
@@ -100,9 +100,12 @@ def reconcile(live: DataFrame, rest: DataFrame, keys: list[str], price_tolerance
 
 
 def finding(rows: DataFrame, keys: list[str], check: str, severity: Column, at: str, message: Column) -> DataFrame:
-    """One finding a series: count and the first ten places; keeps ten per task on the way, not all."""
-    firsts = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(at)), 1, 10).alias("places"))
-    return firsts.select(*keys, F.lit(check).alias("check"), severity.alias("severity"), "n", message.alias("message"), "places")
+    """One finding a series: count, and the first ten different places; the others are dropped as soon as they are ranked."""
+    places = rows.groupBy(*keys, at).agg(F.count("*").alias("c"))
+    counts = places.groupBy(*keys).agg(F.sum("c").alias("n"))
+    first = places.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(at))).where("_r <= 10")
+    firsts = first.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("places"))
+    return counts.join(firsts, keys).select(*keys, F.lit(check).alias("check"), severity.alias("severity"), "n", message.alias("message"), "places")
 
 
 def check_bars(bars: DataFrame, keys: list[str], grid: DataFrame, grid_with_specials: DataFrame, calendar: DataFrame, max_missing: float = 0.02, threshold: float = 0.2, known: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Replayed market data: bars as ticks with faults, synthetic bars, instruments, and the guard against order-like sources."""
+"""Replayed market data: bars as ticks with faults, instruments, and the guard against order-like sources."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.functions import calendar as cal
 from barwise.operators.bars import synthetic_ladder
 from barwise.schemas import BAR, INSTRUMENT, conform
 
@@ -70,30 +69,6 @@ def ticks_from_bars(bars: DataFrame, drop_after: int | None = None, duplicate_ev
     return own.select("instrument_key", "ts", "seq", F.col("close").alias("last_price"), "volume_traded_today", synthetic_ladder(F.col("close"), -1).alias("bids"), synthetic_ladder(F.col("close"), 1).alias("asks"))
 
 
-def synthetic_bars(spark: SparkSession, symbols: DataFrame, start, end, timeframe: str, start_price: float = 1000.0, annual_vol: float = 0.25, drift: float = 0.0, seed: int = 7) -> DataFrame:
-    """Deterministic bars of symbols (exchange, symbol): a geometric walk whose shocks come from hashes, heavier volume at both ends.
-
-    The walk is cumulative, so a symbol is one window; symbols spread over tasks.
-    """
-    calendar = cal.calendar_days(spark, start, end)
-    grid = cal.bar_grid(calendar, timeframe)
-    slots = grid.groupBy("day").agg(F.array_sort(F.collect_list("bar")).alias("bars"))
-    days = F.broadcast(slots.select(F.collect_list(F.struct("day", "bars")).alias("days")))
-    rows = symbols.join(days).select("exchange", "symbol", F.inline("days")).select("exchange", "symbol", "day", F.size("bars").alias("per_day"), F.posexplode("bars").alias("slot", "bar"))
-    uniform = lambda k: (F.pmod(F.xxhash64("symbol", "day", "bar", F.lit(seed * 10 + k)), F.lit(2**31 - 1)) + 0.5) / (2**31 - 1)
-    normal = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * 3.141592653589793 * uniform(2))
-    step = 1.0 / (252 * F.col("per_day"))
-    order = W.partitionBy("exchange", "symbol").orderBy("day", "bar")
-    rows = rows.withColumn("r", (drift - annual_vol**2 / 2) * step + annual_vol * F.sqrt(step) * normal)
-    rows = rows.withColumn("close", F.round(start_price * F.exp(F.sum("r").over(order)), 2)).withColumn("open", F.lag("close", 1, start_price).over(order))
-    spread = F.col("close") * annual_vol * F.sqrt(step) * uniform(3)
-    rows = rows.withColumn("high", F.round(F.greatest("open", "close") + spread, 2)).withColumn("low", F.round(F.least("open", "close") - spread, 2))
-    middle = (F.col("per_day") - 1) / 2.0
-    shape = 1 + 1.5 * F.pow(F.when(middle > 0, (F.col("slot") - middle) / middle).otherwise(0.0), 2)
-    rows = rows.withColumn("volume", (50_000 * shape * (0.5 + uniform(4))).cast("long")).withColumn("timeframe", F.lit(timeframe))
-    return conform(rows.withColumn("ts", cal.at_second(F.col("day"), F.col("bar"), "timestamp")), BAR)
-
-
 @register("replay")
 class Replay:
     """Bars and instruments from files under a folder: <exchange>_<symbol>_<timeframe> as Parquet, else CSV, else nothing."""
@@ -111,7 +86,10 @@ class Replay:
             rows = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         elif self._there(f"{name}.csv"):
             rows = self.spark.read.schema("ts string, open double, high double, low double, close double, volume bigint").option("header", True).csv(f"{self.root}/{name}.csv")
-            rows = rows.withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp_ntz").cast("timestamp"), "UTC"))
+            # times without an offset are UTC
+            zoned = F.regexp_replace(F.trim("ts"), r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+            offset = zoned.rlike(r"[0-9]{2}:[0-9]{2}.*(Z|[+-][0-9]{2}:[0-9]{2})$")
+            rows = rows.withColumn("ts", F.when(offset, zoned).otherwise(F.concat(zoned, F.lit("Z"))).cast("timestamp"))
         else:
             rows = self.spark.createDataFrame([], BAR)
         rows = conform(rows.withColumns({"exchange": F.lit(exchange), "symbol": F.lit(symbol), "timeframe": F.lit(timeframe)}), BAR)
@@ -121,6 +99,11 @@ class Replay:
         return rows
 
     def instruments(self) -> DataFrame:
-        if not self._there("instruments.csv"):
-            return self.spark.createDataFrame([], INSTRUMENT)
-        return self.spark.read.schema(INSTRUMENT).option("header", True).csv(f"{self.root}/instruments.csv")
+        """instruments.csv; without it one instrument for each file of bars, tokens numbered in the order of their names."""
+        if self._there("instruments.csv"):
+            return self.spark.read.schema(INSTRUMENT).option("header", True).csv(f"{self.root}/instruments.csv")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted({m.groups() for f in (fs.listStatus(path) if fs.exists(path) else []) if (m := re.fullmatch(r"([^_]+)_(.+)_[0-9]+[mhd]\.(?:parquet|csv)", f.getPath().getName()))})
+        rows = [(symbol, exchange, "equity", n, None, None) for n, (exchange, symbol) in enumerate(names, 1)]
+        return self.spark.createDataFrame(rows, INSTRUMENT)

@@ -27,12 +27,14 @@ class BarStore:
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BAR if f.name not in ("exchange", "timeframe"))
         return self.spark.read.schema(f"{ddl}, exchange string, symbol_key string, timeframe string, ym int").parquet(self.root)
 
-    def read(self, exchange: str, symbol: str, timeframe: str, start=None, end=None) -> DataFrame:
-        """Bars from start to end, both included, by time; an unknown symbol has none."""
+    def read(self, exchange: str, symbol: str | None, timeframe: str, start=None, end=None) -> DataFrame:
+        """Bars from start to end, both included, by time; an unknown symbol has none, no symbol stands for all."""
         table = self._table()
         if table is None:
             return self.spark.createDataFrame([], BAR)
-        rows = table.where((F.col("exchange") == exchange) & (F.col("symbol_key") == safe_name(F.lit(symbol))) & (F.col("timeframe") == timeframe) & (F.col("symbol") == symbol))
+        rows = table.where((F.col("exchange") == exchange) & (F.col("timeframe") == timeframe))
+        if symbol is not None:
+            rows = rows.where((F.col("symbol_key") == safe_name(F.lit(symbol))) & (F.col("symbol") == symbol))
         for bound, op in ((start, ">="), (end, "<=")):
             if bound is not None:
                 at = F.lit(bound).cast("timestamp")
@@ -44,19 +46,22 @@ class BarStore:
     def write(self, bars: DataFrame, order: str | None = None) -> int:
         """Upserts bars (exchange, symbol, timeframe, ts, open..volume); of rows with one key the greatest order stays.
 
+        Without an order the greatest (close, volume, open, high, low, oi) stays, which no repeated task can change.
+
         Returns the number of different incoming bars.
         """
         require_zoned(require(bars, ["exchange", "symbol", "timeframe", "ts", "open", "high", "low", "close", "volume"]))
-        own = conform(bars, BAR).withColumn("_order", F.col(order).cast("long") if order else F.monotonically_increasing_id())
+        own = conform(bars, BAR).withColumn("_order", F.col(order).cast("long") if order else F.lit(0).cast("long"))
         own = own.withColumn("symbol_key", safe_name(F.col("symbol"))).withColumn("ym", F.date_format("ts", "yyyyMM").cast("int")).withColumn("_new", F.lit(1))
         key = ["exchange", "symbol", "timeframe", "ts"]
-        own = keep_last(own, key, [F.col("_order")]).cache()
+        values = ["close", "volume", "open", "high", "low", "oi"]
+        own = keep_last(own, key, [F.col("_order"), *values]).cache()
         try:
             count = own.count()
             rows, table = own, self._table()
             if table is not None and count:
                 months = own.select(*PARTITIONS).distinct()
-                held = table.join(F.broadcast(months), PARTITIONS, "left_semi").withColumn("_order", F.lit(0).cast("long")).withColumn("_new", F.lit(0))
+                held = table.join(months, PARTITIONS, "left_semi").withColumn("_order", F.lit(0).cast("long")).withColumn("_new", F.lit(0))
                 rows = keep_last(held.unionByName(own), key, [F.col("_new"), F.col("_order")])
             if count:
                 out = rows.drop("_order", "_new").repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "ts")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwise.schemas import BAR, TICK, conform
@@ -44,7 +44,7 @@ def ticks_from_payload(raw: DataFrame, instruments: DataFrame, payload: str = "p
     """Ticks of raw (payload JSON, seq, received_at); tokens that instruments (token, exchange, symbol) lacks are dropped."""
     rows = raw.withColumn("r", F.from_json(payload, RAW_TICK))
     known = instruments.select(F.col("token").alias("_token"), F.concat_ws(":", "exchange", "symbol").alias("instrument_key"))
-    return _ticks(rows.join(F.broadcast(known), F.col("r.instrument_token") == F.col("_token")), _TICK_NAMES, "exchange_timestamp")
+    return _ticks(rows.join(known, F.col("r.instrument_token") == F.col("_token")), _TICK_NAMES, "exchange_timestamp")
 
 
 def ticks_from_quotes(raw: DataFrame, payload: str = "payload") -> DataFrame:
@@ -52,6 +52,30 @@ def ticks_from_quotes(raw: DataFrame, payload: str = "payload") -> DataFrame:
     return _ticks(raw.withColumn("r", F.from_json(payload, RAW_QUOTE)), _QUOTE_NAMES, "timestamp")
 
 
+def tick_stream(spark: SparkSession, folder: str, instruments: DataFrame, files_per_batch: int = 100) -> DataFrame:
+    """A stream of ticks from JSON lines that arrive as files (payload a line); unknown tokens are dropped."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
+    raw = lines.select(F.col("value").alias("payload"), F.current_timestamp().alias("received_at"), F.get_json_object("value", "$.seq").cast("long").alias("seq"))
+    return ticks_from_payload(raw, instruments)
+
+
+def with_polls(ticks: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Ticks of a feed and of polled quotes (as for ticks_from_quotes) as one table or stream."""
+    return ticks.unionByName(ticks_from_quotes(quotes))
+
+
+def subscribe(held: DataFrame, more: DataFrame, cap: int, key: str = "instrument_key") -> DataFrame:
+    """The different keys of both; refused if they are more than cap."""
+    both = held.select(key).unionByName(more.select(key)).distinct()
+    if (n := both.count()) > cap:
+        raise ValueError(f"{n} subscriptions, {cap} at most")
+    return both
+
+
+def unsubscribe(held: DataFrame, gone: DataFrame, key: str = "instrument_key") -> DataFrame:
+    return held.select(key).distinct().join(gone, key, "left_anti")
+
+
 def instruments_from_master(rows: DataFrame) -> DataFrame:
     """Instruments of a vendor's master (instrument_token, tradingsymbol, exchange, instrument_type, segment, name, lot_size, tick_size)."""
     kinds = F.create_map(*(x for k, v in KINDS.items() for x in (F.lit(k), F.lit(v))))

@@ -1,7 +1,7 @@
 """Candles from a tick stream: a stateful processor with the rules of operators.bars, and the health of the stream.
 
-State is one open bar a key in RocksDB. A timer at the session's close emits what is open; the watermark only bounds state,
-lateness follows the order of arrival.
+State is one open bar for each key and timeframe in RocksDB. A timer at the session's close emits what is open; the watermark
+only bounds state, lateness follows the order of arrival.
 """
 
 from __future__ import annotations
@@ -11,86 +11,122 @@ from datetime import UTC
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from barwise.functions import calendar as cal
-
-#: Columns that ticks need, from with_calendar() and bar_second(): close_ms is the session's close in epoch milliseconds.
-INPUT = ["key", "ts", "seq", "price", "qty", "cum", "day", "bar", "cont_s", "close_ms", "has_any_session"]
-OUTPUT = "key string, day date, bar int, open double, high double, low double, close double, volume bigint, volume_estimated boolean, kind string, reason string"
-_STATE = "day date, bar int, open double, high double, low double, close double, last_us bigint, printed bigint, last_cum bigint, base bigint, estimated boolean, known bigint"
+from barwise.sources.store import BarStore
+
+#: Columns that ticks need; close_ms is the session's close in epoch milliseconds.
+INPUT = ["key", "timeframe", "ts", "seq", "price", "qty", "cum", "oi", "day", "bar", "cont_s", "close_ms", "partial", "attach", "has_any_session"]
+OUTPUT = (
+    "key string, timeframe string, day date, bar int, open double, high double, low double, close double, volume bigint, volume_estimated boolean, open_interest bigint, partial boolean, kind string, reason string"
+)
+_STATE = "day date, bar int, open double, high double, low double, close double, last_us bigint, printed bigint, last_cum bigint, base bigint, estimated boolean, known bigint, oi bigint, partial boolean, close_ms bigint"
+_FIELDS = [f.split(" ")[0] for f in _STATE.split(", ")]
 
 
 class CandleProcessor(StatefulProcessor):
-    """Rows of kind 'candle' (closed bars) and 'reject' (with the reason), for groups by key."""
+    """Rows of kind 'candle' (closed bars), 'reject' (with the reason) and, with peek, 'open' (the bar so far, after each batch)."""
+
+    def __init__(self, peek: bool = False):
+        self._peek = peek
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("bar", _STATE)
 
-    def _closed(self, key: str, s: dict) -> Row:
+    def _bar(self, key, s: dict, kind: str = "candle") -> Row:
         volume = s["printed"] if s["last_cum"] is None else max(0, s["last_cum"] - s["base"])
-        return Row(key=key, day=s["day"], bar=s["bar"], open=s["open"], high=s["high"], low=s["low"], close=s["close"], volume=volume, volume_estimated=s["estimated"], kind="candle", reason=None)
+        values = {k: s[k] for k in ("day", "bar", "open", "high", "low", "close", "partial")}
+        return Row(**_row(key, kind, volume=volume, volume_estimated=s["estimated"], open_interest=s["oi"], **values))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        name = key[0]
         s = dict(zip(_FIELDS, self._state.get(), strict=True)) if self._state.exists() else None
         for t in sorted(rows, key=lambda r: r.seq):
+            if t.attach:
+                # whoever attaches in mid-session does not know what was traded before
+                if s is not None:
+                    s["known"] = None
+                continue
             if not t.has_any_session or t.bar is None:
-                yield _rejected(name, t, "outside_session" if t.has_any_session else "non_trading_day")
+                yield _rejected(key, t, "outside_session" if t.has_any_session else "non_trading_day")
                 continue
             us = int(t.ts.astimezone(UTC).timestamp() * 1_000_000)
-            known = s["known"] if s else None
             if s and s["day"] != t.day:
                 if s["bar"] is not None:
-                    yield self._closed(name, s)
-                s, known = None, None
-            if s and s["last_us"] is not None and us < s["last_us"]:
-                yield _rejected(name, t, "late_tick")
+                    yield self._bar(key, s)
+                # the old day's timer must not close a bar of the new one
+                self._handle.deleteTimer(s["close_ms"])
+                s = None
+            if s and us < s["last_us"]:
+                yield _rejected(key, t, "late_tick")
                 continue
             if s and s["bar"] is not None and t.bar > s["bar"]:
-                yield self._closed(name, s)
-                known = s["last_cum"] if s["last_cum"] is not None else known
-                s = {**s, "bar": None}
+                yield self._bar(key, s)
+                s = {**s, "bar": None, "known": s["last_cum"] if s["last_cum"] is not None else s["known"]}
             if s is None or s["bar"] is None:
-                at_open = t.bar == t.cont_s
+                known, at_open = s["known"] if s else None, t.bar == t.cont_s
                 base = known if known is not None else 0 if at_open else (t.cum or 0)
-                estimated = known is None and s is None and not at_open and t.cum is not None
-                s = {"day": t.day, "bar": t.bar, "open": t.price, "high": t.price, "low": t.price, "close": t.price, "last_us": us, "printed": t.qty or 0, "last_cum": t.cum, "base": base, "estimated": estimated, "known": base}
-                self._handle.registerTimer(int(t.close_ms))
+                s = {"day": t.day, "bar": t.bar, "open": t.price, "high": t.price, "low": t.price, "close": t.price, "last_us": us, "printed": t.qty or 0, "last_cum": t.cum, "base": base}
+                s |= {"estimated": known is None and not at_open and t.cum is not None, "known": base, "oi": t.oi, "partial": t.partial, "close_ms": int(t.close_ms)}
+                self._handle.registerTimer(s["close_ms"])
             else:
                 s["high"], s["low"], s["close"], s["last_us"] = max(s["high"], t.price), min(s["low"], t.price), t.price, us
+                s["oi"] = s["oi"] if t.oi is None else t.oi
                 if t.cum is None:
                     s["printed"] += t.qty or 0
                 else:
                     s["last_cum"] = t.cum
         if s is not None:
             self._state.update(tuple(s[f] for f in _FIELDS))
+            if self._peek and s["bar"] is not None:
+                yield self._bar(key, s, "open")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         if self._state.exists():
             s = dict(zip(_FIELDS, self._state.get(), strict=True))
-            if s["bar"] is not None:
-                yield self._closed(key[0], s)
-            self._state.clear()
+            if expiredTimerInfo.getExpiryTimeInMs() == s["close_ms"]:
+                if s["bar"] is not None:
+                    yield self._bar(key, s)
+                self._state.clear()
 
     def close(self) -> None:
         pass
 
 
-_FIELDS = [f.split(" ")[0] for f in _STATE.split(", ")]
+def _row(key, kind: str, **values) -> dict:
+    names = [f.split(" ")[0] for f in OUTPUT.split(", ")]
+    return dict.fromkeys(names) | {"key": key[0], "timeframe": key[1], "kind": kind} | values
 
 
-def _rejected(key: str, t: Row, reason: str) -> Row:
-    return Row(key=key, day=t.day, bar=t.bar, open=None, high=None, low=None, close=t.price, volume=None, volume_estimated=None, kind="reject", reason=reason)
+def _rejected(key, t: Row, reason: str) -> Row:
+    return Row(**_row(key, "reject", day=t.day, bar=t.bar, close=t.price, reason=reason))
 
 
-def candle_stream(ticks: DataFrame, calendar: DataFrame, timeframe: str, delay: str = "1 minute") -> DataFrame:
-    """A stream of OUTPUT rows from a stream of ticks (key, ts timestamp, seq, price, qty, cum); several timeframes: one call each."""
-    rows = cal.with_calendar(ticks.withWatermark("ts", delay), calendar).withColumn("bar", cal.bar_second(timeframe))
+def candle_stream(ticks: DataFrame, calendar: DataFrame, timeframes: str | list[str], delay: str = "1 minute", peek: bool = False) -> DataFrame:
+    """A stream of OUTPUT rows from a stream of ticks (key, ts timestamp, seq, price, qty, cum; perhaps oi and attach).
+
+    The stream is read once for all timeframes. A tick with attach true carries no trade: it says that what its key traded
+    before in the session is unknown from here on. With peek the unclosed bars come too, as kind 'open'.
+    """
+    frames = [timeframes] if isinstance(timeframes, str) else timeframes
+    rows = cal.with_calendar(ticks.withWatermark("ts", delay), calendar)
+    each = [F.struct(F.lit(f).alias("timeframe"), cal.bar_second(f).alias("bar"), F.coalesce(cal.is_partial(cal.bar_second(f), f), F.lit(False)).alias("partial")) for f in frames]
     close = F.unix_millis(cal.at_second(F.col("day"), F.col("cont_e"), "timestamp"))
-    rows = rows.withColumn("close_ms", close).select(*INPUT)
-    return rows.groupBy("key").transformWithState(statefulProcessor=CandleProcessor(), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    rows = rows.withColumn("oi", F.col("oi").cast("long") if "oi" in ticks.columns else F.lit(None).cast("long"))
+    rows = rows.withColumn("attach", F.col("attach") if "attach" in ticks.columns else F.lit(False)).withColumn("close_ms", close)
+    rows = rows.select("*", F.inline(F.array(*each))).select(*INPUT)
+    return rows.groupBy("key", "timeframe").transformWithState(statefulProcessor=CandleProcessor(peek), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+
+
+def store_candles(stream: DataFrame, store: BarStore, exchange: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Writes the closed bars of candle_stream() to a bar store, a batch at a time; a batch that is repeated changes nothing."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        bars = batch.where("kind = 'candle'").withColumn("ts", cal.at_second(F.col("day"), F.col("bar"), "timestamp"))
+        store.write(bars.select(F.lit(exchange).alias("exchange"), F.col("key").alias("symbol"), "timeframe", "ts", "open", "high", "low", "close", "volume", F.col("open_interest").alias("oi")))
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
 # The state of a live feed as expressions over (phase, connected, data_age_s, disconnected_s, attempts).

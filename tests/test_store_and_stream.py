@@ -1,11 +1,13 @@
-import datetime as dt
+import glob
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from barwise.functions import calendar as cal
 from barwise.operators import bars as ops
-from barwise.sources import replay
+from barwise.sources import replay, vendor
 from barwise.sources.store import BarStore
 from barwise.streaming import candles
 
@@ -50,11 +52,60 @@ def test_replay_faults_and_guard(spark, tmp_path):
     assert replay.source("replay", spark, str(tmp_path)).candles("NSE", "B", "15m").count() == 0
 
 
-def test_synthetic_bars(spark):
-    symbols = spark.createDataFrame([("NSE", "A"), ("NSE", "B")], "exchange string, symbol string")
-    got = replay.synthetic_bars(spark, symbols, "2025-08-04", "2025-08-08", "15m")
-    assert got.count() == 250 and got.where("high < low or open > high or close < low or volume < 0").count() == 0
-    assert got.collect() == replay.synthetic_bars(spark, symbols, "2025-08-04", "2025-08-08", "15m").collect()
+def test_csv_times_are_utc(spark, tmp_path):
+    (tmp_path / "NSE_A_15m.csv").write_text("ts,open,high,low,close,volume\n2025-08-04 03:45:00,1,1,1,1,5\n2025-08-04T09:30:00+05:30,1,1,1,1,5\n2025-08-04 09:45:00+0530,1,1,1,1,5\n2025-08-04T04:30:00Z,1,1,1,1,5\n")
+    rows = replay.source("replay", spark, str(tmp_path))
+    assert [r.s for r in rows.candles("NSE", "A", "15m").selectExpr("unix_seconds(ts) AS s").orderBy("s").collect()] == [1754279100 + 900 * k for k in range(4)]
+    (tmp_path / "NSE_M_M_1d.csv").write_text("ts\n")
+    assert [tuple(r)[:4] for r in rows.instruments().orderBy("token").collect()] == [("A", "NSE", "equity", 1), ("M_M", "NSE", "equity", 2)]
+
+
+def test_subscriptions(spark):
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "instrument_key string")
+    both = vendor.subscribe(keys("a", "b"), keys("b", "c", "c"), 3)
+    assert sorted(r[0] for r in both.collect()) == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        vendor.subscribe(both, keys("d"), 3)
+    assert sorted(r[0] for r in vendor.unsubscribe(both, keys("a", "x")).collect()) == ["b", "c"]
+
+
+def _run(spark, tmp_path, days, ticks, timeframes, name, **options):
+    """ticks (seq first) go through the stream one file, and so one batch, each list."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "key string, t string, seq long, price double, qty long, cum long, oi long, attach boolean"
+    for i, part in enumerate(ticks):
+        spark.createDataFrame(part, schema).withColumn("ts", F.col("t").cast("timestamp")).drop("t").coalesce(1).write.parquet(f"{tmp_path}/in/{i:03d}")
+        stamp = time.time() - 1000 + i
+        for f in glob.glob(f"{tmp_path}/in/{i:03d}/*.parquet"):
+            os.utime(f, (stamp, stamp))
+    plain = spark.read.parquet(f"{tmp_path}/in/*")
+    stream = candles.candle_stream(spark.readStream.schema(plain.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), days, timeframes, **options)
+    return plain, stream
+
+
+def test_one_batch_a_tick_over_days(spark, tmp_path):
+    days = cal.calendar_days(spark, "2025-08-01", "2025-08-31")
+    at = [("04 15:20:00", 100.0, 10), ("05 09:15:10", 101.0, 20), ("05 09:16:00", 105.0, 30), ("05 09:17:00", 99.0, 45), ("05 10:20:00", 98.0, 60), ("06 09:40:00", 97.0, 5), ("06 09:55:00", 96.0, 9), ("07 17:00:00", 1.0, 9)]
+    ticks = [[("A", f"2025-08-{t}", n, p, 5, c, 7 * n, False)] for n, (t, p, c) in enumerate(at)]
+    plain, stream = _run(spark, tmp_path, days, ticks, ["15m", "1h"], "daily")
+    store = BarStore(spark, f"{tmp_path}/bars")
+    candles.store_candles(stream, store, "NSE", f"{tmp_path}/ck").awaitTermination(400)
+    for frame in ("15m", "1h"):
+        want = ops.bars_from_ticks(cal.with_calendar(plain.drop("attach"), days), frame)
+        want = sorted(tuple(r) for r in want.select(cal.at_second(F.col("day"), F.col("bar"), "timestamp").alias("ts"), "open", "high", "low", "close", "volume", "open_interest").collect())
+        got = [tuple(r) for r in store.read("NSE", "A", frame).select("ts", "open", "high", "low", "close", "volume", "oi").collect()]
+        assert got == want
+
+
+def test_attach_and_peek(spark, tmp_path):
+    days = cal.calendar_days(spark, "2025-08-01", "2025-08-31")
+    ticks = [[("A", "2025-08-05 09:15:10", 0, 10.0, 5, None, None, False)], [("A", "2025-08-05 09:20:00", 1, None, None, None, None, True), ("A", "2025-08-05 09:31:00", 2, 11.0, 5, 500, 3, False)]]
+    ticks.append([("A", "2025-08-05 15:25:00", 3, 12.0, 1, 520, None, False)])
+    _, stream = _run(spark, tmp_path, days, ticks, "1h", "attach", peek=True)
+    stream.writeStream.format("memory").queryName("peeked").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).outputMode("append").start().awaitTermination(240)
+    got = [(r.kind, r.bar, r.close, r.volume, r.volume_estimated, r.partial) for r in spark.table("peeked").where("kind <> 'reject'").collect()]
+    assert ("open", 33300, 10.0, 5, False, False) in got and ("open", 54900, 12.0, 20, False, True) in got
+    assert ("candle", 33300, 11.0, 500, False, False) in got
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
@@ -89,4 +140,3 @@ def test_feed_state(spark):
     df = spark.createDataFrame(rows, "phase string, connected boolean, age double, gone double, attempts int, want string")
     got = df.select(candles.feed_state(F.col("phase"), F.col("connected"), F.col("age"), F.col("gone"), F.col("attempts")).alias("s"), "want").collect()
     assert all(r.s == r.want for r in got)
-    assert dt.timedelta(seconds=1)
