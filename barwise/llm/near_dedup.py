@@ -245,22 +245,34 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         return rows.mapInArrow(_rarest(width, similarity_pct, often), f"node {kind}, weight long, keys array<struct<key:long,after:long,n:long>>")
 
     def across_listed(groups: DataFrame) -> DataFrame:
-        """As across() for lists of any length: blocks of about GROUP classes meet each other, so no task holds a whole list."""
-        blocks = F.ceil(F.col("members") / GROUP).cast("int")
-        dealt = groups.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        by = ["key", "low", "high"]
-        others = dealt.select(*by, as_pivot.alias("y"), F.col("after").alias("after_p"), F.col("block").alias("block_p")).select(*by, "y.*", "after_p", "block_p")
-        suffices = f"{100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)"
-        return close(dealt.join(others, by), f" AND p < node AND (low = high OR block != block_p) AND {suffices}")
-
-    def still_apart(nodes: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The members of the groups that hold several components yet, with those and the number of members; and the hot keys."""
+        """As across() for lists of any length. Those outside a list's largest component meet all of it, a part of about GROUP at a time."""
+        parts = F.ceil(F.col("members") / GROUP).cast("int")
+        held = groups.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+        dealt = groups.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        dealt = dealt.select("key", "part", as_pivot.alias("y"), F.col("after").alias("after_p")).select("key", "part", "y.*", "after_p")
+        outside = groups.join(held, "key").where("component != main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        return close(outside.join(dealt, ["key", "part"]), f" AND {100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)")
+
+    def still_apart(nodes: DataFrame, parts: DataFrame, listed: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The members of the groups that hold several components yet, with those and the number of members; and the hot keys.
+
+        In a list a member needs a partner of at most (100 + pct) / pct * after - n shingles; one for whom even the smallest set
+        of the list is too large is not among its members.
+        """
         named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = named.select("node", "weight", "component", F.inline("keys"))
-        open_ = written(rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 != c1").drop("c0", "c1"), "near-open")
+        whole = [F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")]
+        fits = F.lit(True)
+        if listed:
+            fits = F.expr(f"{100 + similarity_pct} * after >= {similarity_pct} * (n + least)")
+            whole.append(F.min("n").alias("least"))
+        open_ = written(rows.groupBy("key").agg(*whole).where("c0 != c1").drop("c0", "c1"), "near-open")
         hot = _hot(open_, "key", "members", open_.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
-        return written(_dealt(rows, open_, "key", "node", hot), "near-apart"), hot
+        apart = written(_dealt(rows, open_, "key", "node", hot).where(fits).drop("least"), "near-apart")
+        if listed:
+            left = apart.drop("members").groupBy("key").agg(*whole[:3]).where("c0 != c1").drop("c0", "c1")
+            apart = written(_dealt(apart.drop("members"), left, "key", "node", hot), "near-apart")
+        return apart, hot
 
     alone = central.select("node", "weight", F.col("node").alias("component"), F.inline("keys"))
     links = verified(with_pivots(alone, "key", PIVOTS, crowded))
@@ -272,12 +284,12 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         lists = None
         if large.limit(1).count():
             listings = written(listed(large), "near-lists")
-            lists, hot = still_apart(listings, parts)
+            lists, hot = still_apart(listings, parts, True)
             rest = rest.unionByName(across_listed(lists.where(F.col("members") <= GROUP))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), "key", PIVOTS, hot))
         links = links.unionByName(verified(rest.distinct()))
         parts = written(_components(links), "near-components")
         if lists is not None:
-            lists, _ = still_apart(listings, parts)
+            lists, _ = still_apart(listings, parts, True)
             lists = lists.where(F.col("members") > GROUP)
             if lists.limit(1).count():
                 links = links.unionByName(verified(across_listed(lists)))
