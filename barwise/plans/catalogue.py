@@ -6,6 +6,9 @@ tables' timestamps have no zone and are read as the exchange's wall clock.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from barwise.functions import numbers as num
 from barwise.operators import actions as act
 from barwise.operators import bars as ops
 from barwise.operators import footing, ingest, integrity, layout
+from barwise.sources import replay, vendor
+from barwise.sources.store import BarStore
 from barwise.streaming import candles
 
 QUERIES: dict = {}
@@ -460,7 +465,15 @@ def footing_fold(spark, d):
     return got.select("doc_id", "row_no", "label", "kind", "status", "stated", F.round("expected", 4).alias("expected"), F.size("components").alias("components"), "message")
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS doc, CAST(round_even(l_extendedprice, 0) AS DOUBLE) AS value, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, round_even(l_extendedprice, 0)) AS n FROM lineitem),
+r AS (SELECT doc, n, value, false AS total FROM i UNION ALL SELECT doc, count(*) + 1, sum(value) + CASE WHEN doc % 5 = 0 THEN 1000.0 ELSE 0.0 END, true FROM i GROUP BY doc),
+w AS (SELECT doc, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS v, CAST([] AS BOOLEAN[]) AS closed, 0 AS checks, 0 AS figures, 0 AS unverified, 0 AS errors FROM (SELECT DISTINCT doc FROM r)
+UNION ALL SELECT doc, n, v[: len(v) - take] || [CASE WHEN total AND k IS NULL AND take >= 2 THEN list_sum(v[-take :]) ELSE value END], closed[: len(v) - take] || [total OR take > 0],
+  checks + CAST(total OR take > 0 AS INTEGER), figures + CASE WHEN total AND k IS NULL AND take < 2 THEN 0 ELSE take END, unverified + CAST(total AND k IS NULL AND take < 2 AS INTEGER), errors + CAST(total AND k IS NULL AND take >= 2 AS INTEGER)
+FROM (SELECT *, CAST(CASE WHEN total THEN coalesce(k, CASE WHEN tail > 0 THEN tail ELSE least(2, len(v)) END) WHEN tail >= 2 AND abs(list_sum(v[-tail :]) - value) <= 1 + 0.5 * tail + 1e-9 * abs(value) THEN tail ELSE 0 END AS INTEGER) AS take
+  FROM (SELECT r.doc, r.n, value, total, v, closed, checks, figures, unverified, errors, coalesce(nullif(list_position(list_reverse(closed), true), 0) - 1, len(v)) AS tail,
+    CASE WHEN total THEN list_filter(range(1, least(len(v), 80) + 1), lambda q: abs(list_sum(v[-q :]) - value) <= 1 + 0.5 * q + 1e-9 * abs(value))[1] END AS k FROM w JOIN r ON r.doc = w.doc AND r.n = w.n + 1)))
+SELECT doc AS doc_id, checks AS totals_checked, figures AS figures_checked, unverified, errors, errors = 0 AS consistent FROM w QUALIFY n = max(n) OVER (PARTITION BY doc)""")
 def footing_report(spark, d):
     return footing.report(footing.column_checks(_statements(spark, d)))
 
@@ -520,3 +533,54 @@ def depth_ladder_spread(spark, d):
 def pages_table_symbols(spark, d):
     cells = _read(spark, d, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, '<li><a href=\"/([A-Za-z]+)\">', 1)")).alias("cell"))
     return cells.withColumn("ticker", F.when(F.col("cell").rlike(r"\.(NS|BO)$"), F.col("cell")).otherwise(F.concat("cell", F.lit(".NS"))))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; a local one where the session names none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-barwise-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {_CTE}, b AS (SELECT key, day + to_seconds(33300 + (s - 33300) // 900 * 900) AS begins, price, seq, qty FROM ticks WHERE open_day AND s >= 33300 AND s < 55800)
+SELECT key AS user_id, strftime(begins, '%Y-%m-%d %H:%M:%S') AS ts, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, CAST(sum(qty) AS BIGINT) AS volume
+FROM b WHERE begins >= TIMESTAMP '2024-01-08 09:15:00' AND begins <= TIMESTAMP '2024-01-12 15:15:00' GROUP BY key, begins""")
+def store_range_read(spark, d):
+    """All 15-minute bars are written to a store, then a range of them is read back."""
+    rows = ops.session_bars(ticks(spark, d), "15m").withColumn("ts", cal.at_second(F.col("day"), F.col("bar"), "timestamp"))
+    rows = rows.select(F.lit("NSE").alias("exchange"), F.col("key").cast("string").alias("symbol"), F.lit("15m").alias("timeframe"), "ts", "open", "high", "low", "close", "volume")
+    bars = BarStore(spark, _scratch(spark, "bars"))
+    bars.write(rows)
+    got = bars.read("NSE", None, "15m", "2024-01-08 09:15:00", "2024-01-12 15:15:00")
+    return got.select(F.col("symbol").cast("long").alias("user_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+@query("SELECT p_partkey % 50 AS page_id, p_brand AS symbol, p_brand || '.NS' AS ticker FROM part")
+def html_table_symbols(spark, d):
+    """Symbols out of HTML tables that are made of the parts."""
+    cells = F.concat(F.lit("<tr><td>"), F.col("p_name"), F.lit("</td><td>"), F.col("p_brand"), F.lit("</td></tr>"))
+    pages = _read(spark, d, "part").groupBy((F.col("p_partkey") % 50).alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(cells)), "").alias("rows"))
+    return vendor.symbols_from_tables(pages.select("page_id", F.concat(F.lit("<table><tr><th>Name</th><th>Symbol</th></tr>"), "rows", F.lit("</table>")).alias("html")))
+
+
+@query("SELECT event_id, 'NSE:U' || user_id AS instrument_key, value AS last_price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS last_quantity FROM events WHERE user_id % 5 <> 0")
+def payload_ticks(spark, d):
+    """Events as a vendor's payloads; tokens that divide by five are unknown."""
+    e = _read(spark, d, "events")
+    payload = F.to_json(F.struct(F.col("user_id").alias("instrument_token"), F.col("value").alias("last_price"), F.get_json_object("props", "$.k").cast("long").alias("last_traded_quantity")))
+    known = e.select(F.col("user_id").alias("token")).distinct().where("token % 5 <> 0").select("token", F.lit("NSE").alias("exchange"), F.concat(F.lit("U"), "token").alias("symbol"))
+    raw = e.select(payload.alias("payload"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("received_at"))
+    return vendor.ticks_from_payload(raw, known).select(F.col("seq").alias("event_id"), "instrument_key", "last_price", "last_quantity")
+
+
+@query(f"""WITH {_CTE}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM daily), c AS (SELECT *, unnest(range(CASE WHEN n % 3 = 0 THEN 2 ELSE 1 END)) AS copy FROM b)
+SELECT 'NSE:' || symbol AS instrument_key, row_number() OVER (PARTITION BY symbol ORDER BY n, copy) AS seq, close AS last_price, volume AS volume_traded_today FROM c""")
+def replayed_ticks(spark, d):
+    """Daily bars as ticks, every third one twice."""
+    got = replay.ticks_from_bars(daily(spark, d).withColumn("exchange", F.lit("NSE")), duplicate_every=3)
+    return got.select("instrument_key", "seq", "last_price", "volume_traded_today")
+
+
+@query(f"WITH {_CTE} SELECT day, (SELECT min(t.day) FROM trading t WHERE t.day >= days.day) AS session FROM days")
+def first_session_on_or_after(spark, d):
+    days = cal.days_of(_read(spark, d, "events"))
+    return cal.first_session(days.select("day"), days)
