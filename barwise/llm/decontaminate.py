@@ -2,7 +2,8 @@
 
 The index stores (term, document, position) for the terms that the benchmark is looked up by: of each window of an item its
 two rarest terms, by counts over the whole corpus. A lookup shifts each posting by the term's place in the item; where both
-rare terms of a window fall on one shift, the alignment is read against the document itself, word for word.
+rare terms of a window fall on one shift, the alignment is read against the document itself, word for word. Proximity matches
+(near_hits) come from the same index: shifts may differ by the words put in or left out, and what is met is read by edits.
 
 Words are runs of digits, letters a-z (A-Z lower-cased) and everything outside ASCII. The index keys terms by Spark's
 lower(), which joins a few more words; the reading at the end is exact.
@@ -59,19 +60,24 @@ def alignments(postings: DataFrame, windows: DataFrame, rare: DataFrame) -> Data
     return met.where(F.exists("pairs", lambda p: F.size(F.array_except(p, "places")) == 0)).select("doc_id", "row", "item", "shift")
 
 
-def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, hits) for each row of docs (doc_id, row, text) with an occurring window; hits hold item_id, first word, words.
-
-    Proximity: hits of one item and shift are its matched windows in the order of the item.
-    """
-    windows = written(item_windows(items, window), "decon-windows")
+def rarest_terms(docs: DataFrame, windows: DataFrame, window: int, places: int | F.Column) -> DataFrame:
+    """(item, at, pos, term): of each window the ``places`` terms that are rarest over all docs."""
     placed = windows.select("item", "at", F.posexplode(F.slice("iw", F.col("at") + 1, window)).alias("k", "word"))
     placed = placed.select("item", "at", (F.col("at") + F.col("k")).alias("pos"), F.lower("word").alias("term"))
     vocabulary = placed.select("term").distinct()
     counts = docs.select(F.explode(_raw_words(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
     counts = written(counts.join(_sized(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "decon-counts")
-    ranked = placed.join(counts, "term", "left").withColumn("rank", F.row_number().over(W.partitionBy("item", "at").orderBy(F.coalesce("n", F.lit(0)), "pos")))
-    rare = written(ranked.where("rank <= 2").select("item", "at", "pos", "term"), "decon-rare")
+    own = W.partitionBy("item", "at")
+    ranked = placed.join(counts, "term", "left").withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("n", F.lit(0)), "pos")))
+    if not isinstance(places, int):
+        ranked = ranked.withColumn("words", F.count("*").over(own))
+    return written(ranked.where(F.col("rank") <= places).select("item", "at", "pos", "term"), "decon-rare")
+
+
+def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, row, hits) for each row of docs (doc_id, row, text) with an occurring window; hits hold item_id, first word, words."""
+    windows = written(item_windows(items, window), "decon-windows")
+    rare = rarest_terms(docs, windows, window, 2)
     postings = written(index(docs, rare.select("term").distinct()), "decon-postings")
     found = written(alignments(postings, windows, rare), "decon-alignments")
     texts = windows.where("at = 0").select("item", "item_id", "iw")
@@ -91,6 +97,61 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     return hits.where(F.size("hits") > 0)
 
 
+def _edits(words, part) -> F.Column:
+    """(edits, last): the least number of words put in, left out or changed between ``words`` and a stretch of the array ``part``,
+    and where in part the first such stretch ends (its last word's place, -1 if it is empty)."""
+    zero = F.transform(F.sequence(F.lit(0), F.size(part)), lambda _: F.lit(0))
+
+    def row(before, word):
+        def cell(done, j):
+            change = F.element_at(before, j) + (F.element_at(part, j) != word).cast("int")
+            return F.concat(done, F.array(F.least(change, F.element_at(before, j + 1) + 1, F.element_at(done, j) + 1)))
+
+        places = F.filter(F.sequence(F.lit(0), F.size(part)), lambda j: j > 0)
+        return F.aggregate(places, F.array(F.element_at(before, 1) + 1), cell)
+
+    ends = F.aggregate(words, zero, row)
+    return F.struct(F.array_min(ends).alias("edits"), (F.array_position(ends, F.array_min(ends)) - 2).cast("int").alias("last"))
+
+
+def near_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = 2) -> DataFrame:
+    """Proximity matches: (doc_id, row, item_id, at, edits, last) for each window of items that stands in a row of docs (doc_id,
+    row, text) but for a few words put in, left out or changed: one for every five words of the window, ``slack`` at most.
+
+    at is the window's first word in its item, edits the least that any stretch of the text needs (0: the exact phrase), last
+    the place of that stretch's last word in the text, the first of several. Texts and items without words have no match.
+
+    e edits leave all but e words of a window, shifted by e at most among themselves. So of its e + 2 rarest terms two are
+    found within e of one shift; each posting is listed under the e + 1 shifts that it may be counted to.
+    """
+    allowed = F.least(F.lit(slack), F.floor(F.least(F.size("iw"), F.lit(window)) / 5)).cast("int")
+    windows = written(item_windows(items, window).withColumn("allowed", allowed), "decon-windows")
+    rare = rarest_terms(docs, windows, window, F.least(F.lit(slack), F.floor(F.col("words") / 5)) + 2)
+    postings = written(index(docs, rare.select("term").distinct()), "decon-postings")
+    places = rare.select("item", "term", F.col("pos").alias("place")).distinct()
+    places = places.join(windows.select("item", "allowed").distinct(), "item")
+    met = postings.join(_sized(places), "term").withColumn("shift", F.explode(F.sequence(F.col("pos") - F.col("place") - F.col("allowed"), F.col("pos") - F.col("place"))))
+    met = met.groupBy("doc_id", "row", "item", "shift").agg(F.collect_set("place").alias("places"))
+    wanted = rare.groupBy("item", "at").agg(F.collect_set("pos").alias("pos"))
+    wanted = wanted.groupBy("item").agg(F.collect_list(F.struct("at", "pos")).alias("wanted")).join(windows.where("at = 0").select("item", "item_id", "iw", "allowed"), "item")
+    met = met.join(_sized(wanted), "item")
+    enough = F.filter("wanted", lambda x: F.size(F.array_intersect(x["pos"], "places")) >= F.least(F.size(x["pos"]), F.lit(2)))
+    found = met.select("doc_id", "row", "item_id", "iw", "allowed", "shift", F.explode(enough).alias("x"))
+    found = found.select("doc_id", "row", F.struct("item_id", F.col("x.at").alias("at"), F.slice("iw", F.col("x.at") + 1, window).alias("words"), "allowed", "shift").alias("x"))
+    per_row = written(found.groupBy("doc_id", "row").agg(F.collect_list("x").alias("found")), "decon-found")
+    read = joined(docs, _sized(per_row), ["doc_id", "row"]).select("doc_id", "row", _words(F.col("text")).alias("dw"), "found")
+
+    def stretch(x):
+        first = F.greatest(x["shift"] + x["at"] - x["allowed"], F.lit(0))
+        stop = F.greatest(x["shift"] + x["at"] + F.size(x["words"]) + 2 * x["allowed"], first)
+        return F.struct(*(x[k].alias(k) for k in ("item_id", "at", "words", "allowed")), first.alias("first"), F.slice("dw", first + 1, stop - first).alias("part"))
+
+    tried = read.select("doc_id", "row", F.explode(F.transform("found", stretch)).alias("x")).select("doc_id", "row", "x.*").distinct()
+    tried = tried.withColumn("best", _edits(F.col("words"), F.col("part"))).where("best.edits <= allowed")
+    best = tried.groupBy("doc_id", "row", "item_id", "at", "words").agg(F.min(F.struct("best.edits", (F.col("first") + F.col("best.last")).alias("last"))).alias("best"))
+    return best.select("doc_id", "row", "item_id", "at", "best.edits", "best.last")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each row of docs (doc_id, text) against items (item_id, text).
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from barwise.llm.decontaminate import contamination, decontaminate
+from barwise.llm.decontaminate import contamination, decontaminate, near_hits
 
 
 def words(t):
@@ -55,3 +55,44 @@ def test_empty_tables(spark):
     assert contamination(d, i).collect() == []
     one = spark.createDataFrame([(None, "a b c")], "doc_id long, text string")
     assert decontaminate(one, i).count() == 1
+
+
+def nearest(window, text):
+    """Least edits between the window and any stretch of the text, and the place of the first such stretch's last word."""
+    row = [0] * (len(text) + 1)
+    for w in window:
+        new = [row[0] + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (w != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row), row.index(min(row)) - 1
+
+
+def test_proximity_agrees_with_brute_force(spark):
+    r = random.Random(5)
+    vocab = ["the", "of", "É"] * 4 + [f"w{k}" for k in range(60)]
+    line = lambda n: [r.choice(vocab) for _ in range(n)]
+    items = [(k, " ".join(line(r.choice([1, 3, 4, 5, 7, 9, 10, 12, 18])))) for k in range(14)] + [(20, None), (21, "..."), (22, "of of of of of of of")]
+    docs = [(0, None), (1, ""), (2, "of " * 12), (3, "The of")]
+    for i in range(4, 70):
+        v = words(r.choice(items[:14])[1])
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(v) + 1)
+            v = r.choice([v[:k] + line(1) + v[k:], v[:k] + v[k + 1 :], v[:k] + line(1) + v[k + 1 :]])
+        docs.append((i, " ".join(line(r.randint(0, 15)) + v + line(r.randint(0, 15))).upper()))
+    docs += [docs[9], (None, items[8][1])]
+    want, edited = set(), 0
+    for i, t in docs:
+        for k, u in items:
+            v = words(u)
+            for s in range(max(1, len(v) - 9) if v else 0):
+                window = v[s : s + 10]
+                edits, last = nearest(window, words(t))
+                if words(t) and edits <= min(2, len(window) // 5):
+                    want.add((i, str(k), s, edits, last))
+                    edited += edits > 0
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS row", "text", "'x' AS item")
+    got = [(x.doc_id, x.item_id, x["at"], x.edits, x.last) for x in near_hits(d.select("doc_id", "row", "text"), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and edited > 50
+    empty = spark.createDataFrame([], "doc_id long, row long, text string")
+    assert near_hits(empty, spark.createDataFrame(items, "item_id long, text string")).collect() == []
