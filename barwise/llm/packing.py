@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.llm.common import table, written
+from barwise.llm.common import joined, table, written
 
 WINDOW = 2048
 END_ID = 1
@@ -217,7 +217,8 @@ def _pack(targets: dict[str, float], window: int):
 def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | None = None, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS, max_queues: int = MAX_QUEUES) -> DataFrame:
     """One row for each piece of docs (doc_id, text, source): where it starts in its document's ids, how long it is, and where it lies.
 
-    targets weighs sources (null: corpus shares of tokens); a source without weight comes last. A null text is empty and
+    targets weighs sources (null: corpus shares of tokens); each that it names has a queue of its own beside the max_queues
+    largest, and a source without weight comes last. A null text is empty and
     gives the end id alone; a null source is a queue of its own. Rows that repeat a doc_id are packed each. Other columns of
     docs are left out.
     """
@@ -227,7 +228,11 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
     tokens = written(rows.mapInArrow(_tokens(path or tokenizer_path(), END_ID), f"doc_id {kind}, source string, ids binary, n long"), "pack-tokens")
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_tokens))
-    own = {r["source"]: r["n"] for r in tokens.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(max_queues).collect()}
+    by_source = written(tokens.groupBy("source").agg(F.sum("n").alias("n")), "pack-sources")
+    own = {r["source"]: r["n"] for r in by_source.orderBy(F.desc("n"), "source").limit(max_queues).collect()}
+    if targets is not None:  # a source that targets names has a queue however small it is
+        named = tokens.sparkSession.createDataFrame([(k,) for k in targets], "source string")
+        own |= {r["source"]: r["n"] for r in joined(by_source, named, ["source"], "left_semi").collect()}
     # queue names: the source behind a mark, so that null and the shared queue cannot clash with a source
     weight = {f"={k}" if k is not None else "null": float(v if targets is None else targets.get(k, 0.0)) for k, v in own.items()}
     weight["rest"] = float(total - sum(own.values())) if targets is None else 0.0
@@ -237,8 +242,8 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
     names = tokens.sparkSession.createDataFrame([(k,) for k in weight], "queue string")
     order = F.xxhash64("doc_id")
     dealt = tokens.withColumn("queue", queue).withColumn("order", order).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)))
-    if len(own) == max_queues:
-        dealt = dealt.join(F.broadcast(names.select("queue", F.lit(True).alias("named"))), "queue", "left").withColumn("queue", F.when("named", F.col("queue")).otherwise("rest")).drop("named")
+    if len(own) >= max_queues:
+        dealt = dealt.join(F.broadcast(names.select("queue", F.lit(True).alias("named"))), "queue", "left").withColumn("queue", F.when(F.col("named"), F.col("queue")).otherwise("rest")).drop("named")
     sums = dealt.groupBy("block", "queue").agg(F.sum("n").alias("n"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     all_before = sums.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("all_before"))

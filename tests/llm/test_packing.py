@@ -63,3 +63,12 @@ def test_empty_table_and_targets(spark):
     df = spark.createDataFrame([(i, "the " * 500, "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
     got = pack(df, targets={"a": 3, "b": 1}, block_tokens=10**9).where("sequence_id < 3").groupBy("source").sum("length").collect()
     assert dict((r[0], r[1]) for r in got) == {"a": 4608, "b": 1536}
+
+
+def test_a_small_source_named_in_targets_has_its_share(spark):
+    rows = [(i, "the " * 500, ["big", "mid"][i % 2]) for i in range(60)] + [(100 + i, "the " * 500, "small") for i in range(20)] + [(200 + i, "the " * 500, None) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pack(df, targets={"small": 2, None: 1, "big": 1, "none": 5}, block_tokens=10**9, max_queues=1).where("sequence_id < 4").groupBy("source").sum("length").collect()
+    assert dict((r[0], r[1]) for r in got) == {"small": 4096, "big": 2048, None: 2048}
+    rest = pack(df, max_queues=1, block_tokens=5000)
+    assert rest.groupBy("doc_id").sum("length").count() == len(rows)
