@@ -96,6 +96,26 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(own, on, how).drop(*(f"_r_{k}" for k in keys))
 
 
+#: A key with over 1/DEALT of all rows, and over LEAST_HOT, is dealt over several tasks.
+DEALT, LEAST_HOT = 10_000, 1_000
+
+
+def hot_keys(counts: DataFrame, keys: str | list[str], count: str, total: int) -> DataFrame:
+    """(keys, parts) of those that hold over 1/DEALT of all rows and over LEAST_HOT rows: DEALT at most, so they are broadcast."""
+    limit = max(LEAST_HOT, total // DEALT)
+    keys = [keys] if isinstance(keys, str) else keys
+    return F.broadcast(counts.where(F.col(count) > limit).select(*keys, F.ceil(F.col(count) / limit).cast("int").alias("parts")))
+
+
+def dealt(left: DataFrame, right: DataFrame, keys: str | list[str], spread: str, hot: DataFrame) -> DataFrame:
+    """left joined with right on keys. The left rows of a hot key go to its parts by a hash of ``spread``, right's to all of them."""
+    keys = [keys] if isinstance(keys, str) else keys
+    parts = F.coalesce("parts", F.lit(1))
+    one = left.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts")
+    every = right.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return one.join(every, [*keys, "part"]).drop("part")
+
+
 def fold() -> "F.Column":
     """crc32 of the decimal doc_id mod 5; fold 0 is held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5

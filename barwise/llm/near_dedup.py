@@ -25,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import LOWER, U64, Rolling, checkpointed, flat, mixed, pieces, signed, table, written
+from barwise.llm.common import LOWER, U64, Rolling, checkpointed, dealt, flat, hot_keys, mixed, pieces, signed, table, written
 
 COLLECTIONS, ROWS = 8, 2
-#: A key with over 1/DEALT of all rows, and over LEAST_HOT, is dealt over several tasks.
-DEALT, LEAST_HOT = 10_000, 1_000
 #: Classes that a group compares across components in one block, and pivots beside the most central one.
 GROUP, PIVOTS = 64, 3
 #: Buckets by which the rarity of shingles is known, as a power of two; their counts come to the driver.
@@ -151,27 +149,13 @@ def _overlaps(width: int, similarity_pct: int):
     return run
 
 
-def _hot(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
-    """(key, parts) of the keys that hold over 1/DEALT of all rows and over LEAST_HOT rows: DEALT at most, so they are broadcast."""
-    limit = max(LEAST_HOT, total // DEALT)
-    return F.broadcast(counts.where(F.col(count) > limit).select(key, F.ceil(F.col(count) / limit).cast("int").alias("parts")))
-
-
-def _dealt(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
-    """left joined with right on key. The left rows of a hot key go to its parts by a hash of ``spread``, right's to all of them."""
-    parts = F.coalesce("parts", F.lit(1))
-    one = left.join(hot, key, "left").withColumn("part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("parts")
-    every = right.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return one.join(every, [key, "part"]).drop("part")
-
-
 def _components(links: DataFrame) -> DataFrame:
     """(node, component): least node reachable over links (a, b). Large-star and small-star rounds, checkpointed each."""
 
     def toward_least(rows: DataFrame, total: int) -> DataFrame:
         """rows (u, v) with m, the least v of u; the rows of a node with very many links are dealt over tasks."""
         low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links"))
-        return _dealt(rows, low.drop("links"), "u", "v", _hot(low, "u", "links", total))
+        return dealt(rows, low.drop("links"), "u", "v", hot_keys(low, "u", "links", total))
 
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
@@ -203,9 +187,9 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
     tables = F.array(*(F.xxhash64(F.lit(t), keys[i], keys[j]) for t, (i, j) in enumerate(combinations(range(COLLECTIONS), 2))))
     slots = classes.select("node", F.col("n_shingles").alias("n"), F.explode(tables).alias("key"))
     sizes = written(slots.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-sizes")
-    crowded = _hot(sizes, "key", "members", sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+    crowded = hot_keys(sizes, "key", "members", sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
     # from here a class is one row, with the keys of its groups; rows by key are made of it where groups are formed
-    met = _dealt(slots, sizes, "key", "node", crowded)
+    met = dealt(slots, sizes, "key", "node", crowded)
     central = written(met.groupBy("node").agg(F.sum("members").alias("weight"), F.collect_list(F.struct("key", "n")).alias("keys")), "near-nodes")
     # the texts that any table brings together, once for all rounds
     bodies = written(texts.join(central.select(F.col("node").alias("doc_id"), "weight"), "doc_id"), "near-texts")
@@ -215,7 +199,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         often = candidates.groupBy("a").agg(F.count("*").alias("pairs"))
         right = candidates.join(bodies.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         left = bodies.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        both = _dealt(right, left.join(often.select("a"), "a", "left_semi"), "a", "b", _hot(often, "a", "pairs", candidates.count()))
+        both = dealt(right, left.join(often.select("a"), "a", "left_semi"), "a", "b", hot_keys(often, "a", "pairs", candidates.count()))
         return written(both.select("a", "text_a", "b", "text_b").mapInArrow(_overlaps(width, similarity_pct), f"a {kind}, b {kind}"), "near-links")
 
     most = F.struct("weight", F.xxhash64("node"))
@@ -225,7 +209,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         """Every member against the group's most central one and ``spread`` arbitrary ones."""
         chosen = [F.max_by(as_pivot, most), *(F.max_by(as_pivot, F.xxhash64("node", F.lit(i))) for i in range(spread))]
         pivots = groups.groupBy(by).agg(F.array_distinct(F.array(*chosen)).alias("x"))
-        met = _dealt(groups.select(by, "node", "n", "component"), pivots, by, "node", hot)
+        met = dealt(groups.select(by, "node", "n", "component"), pivots, by, "node", hot)
         return close(met.select("node", "n", "component", F.inline("x")))
 
     def close(met: DataFrame, more: str = "") -> DataFrame:
@@ -248,10 +232,10 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         """As across() for lists of any length. Those outside a list's largest component meet all of it, a part of about GROUP at a time."""
         parts = F.ceil(F.col("members") / GROUP).cast("int")
         held = groups.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-        dealt = groups.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        dealt = dealt.select("key", "part", as_pivot.alias("y"), F.col("after").alias("after_p")).select("key", "part", "y.*", "after_p")
+        shares = groups.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+        shares = shares.select("key", "part", as_pivot.alias("y"), F.col("after").alias("after_p")).select("key", "part", "y.*", "after_p")
         outside = groups.join(held, "key").where("component != main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        return close(outside.join(dealt, ["key", "part"]), f" AND {100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)")
+        return close(outside.join(shares, ["key", "part"]), f" AND {100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)")
 
     def still_apart(nodes: DataFrame, parts: DataFrame, listed: bool = False) -> tuple[DataFrame, DataFrame]:
         """The members of the groups that hold several components yet, with those and the number of members; and the hot keys.
@@ -267,11 +251,11 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
             fits = F.expr(f"{100 + similarity_pct} * after >= {similarity_pct} * (n + least)")
             whole.append(F.min("n").alias("least"))
         open_ = written(rows.groupBy("key").agg(*whole).where("c0 != c1").drop("c0", "c1"), "near-open")
-        hot = _hot(open_, "key", "members", open_.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
-        apart = written(_dealt(rows, open_, "key", "node", hot).where(fits).drop("least"), "near-apart")
+        hot = hot_keys(open_, "key", "members", open_.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+        apart = written(dealt(rows, open_, "key", "node", hot).where(fits).drop("least"), "near-apart")
         if listed:
             left = apart.drop("members").groupBy("key").agg(*whole[:3]).where("c0 != c1").drop("c0", "c1")
-            apart = written(_dealt(apart.drop("members"), left, "key", "node", hot), "near-apart")
+            apart = written(dealt(apart.drop("members"), left, "key", "node", hot), "near-apart")
         return apart, hot
 
     alone = central.select("node", "weight", F.col("node").alias("component"), F.inline("keys"))

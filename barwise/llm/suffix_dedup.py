@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.llm.common import Rolling, U64, flat, joined, mixed, pieces, signed, sliding_min, table, written
+from barwise.llm.common import Rolling, U64, dealt, flat, hot_keys, joined, mixed, pieces, signed, sliding_min, table, written
 
 LENGTH = 200
 GRAM = 48
@@ -242,13 +242,12 @@ def repeated_contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     found = texts.where(F.octet_length("text") >= length).mapInArrow(_candidates(length, gram), f"h long, c long, doc_id {kind}")
-    buckets = (
-        found.groupBy("h")
-        .agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-        .where("n > 1")
-        .select("h", (F.col("c0") != F.col("c1")).alias("varied"))
-    )
-    candidates = written(found.join(buckets, "h"), "suffix-candidates")
+    found = written(found, "suffix-found")
+    buckets = found.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1")
+    buckets = written(buckets.select("h", "n", (F.col("c0") != F.col("c1")).alias("varied")), "suffix-buckets")
+    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a passage that very many documents share is one bucket; its rows are dealt over tasks
+    candidates = written(dealt(found, buckets.drop("n"), "h", "doc_id", hot_keys(buckets, "h", "n", total)), "suffix-candidates")
     contexts = candidates.where("varied").groupBy("h", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     contexts = written(contexts, "suffix-contexts")
     sizes = contexts.groupBy("h").agg(F.count("*").alias("members"))
@@ -265,7 +264,8 @@ def repeated_contexts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit((length - gram) // 8)), lambda i: F.lpad(F.conv(F.substring("bits", i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), "")
     masks = masks.unionByName(packed.select("h", "c", F.unhex(hexed).alias("mask")))
     settled = candidates.where("not varied").select("doc_id", "h", "c", F.lit(None).cast("binary").alias("mask"))
-    return settled.unionByName(candidates.where("varied").join(masks, ["h", "c"]).select("doc_id", "h", "c", "mask"))
+    sorted_ = dealt(candidates.where("varied"), masks, ["h", "c"], "doc_id", hot_keys(contexts, ["h", "c"], "n", total))
+    return settled.unionByName(sorted_.select("doc_id", "h", "c", "mask"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK_CONTEXTS, keep_text: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from barwise.llm import common
 from barwise.llm.suffix_dedup import suffix_dedup
 
 
@@ -50,6 +51,14 @@ def test_agrees_with_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_hot_buckets_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    monkeypatch.setattr(common, "DEALT", 200)
+    rows = corpus(7)
+    got = sorted((tuple(x) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, h long, c long, n int, found string")
     assert suffix_dedup(df).collect() == []
