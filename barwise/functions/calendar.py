@@ -16,24 +16,112 @@ from barwise.schemas import HOLIDAY, SPECIAL, TIMEFRAMES
 
 # Exchange holidays (day, name) and evening sessions (day, label, continuous and pre-open windows).
 HOLIDAYS = """
-2019-03-04 Mahashivratri|2019-03-21 Holi|2019-04-17 Mahavir Jayanti|2019-04-19 Good Friday|2019-04-29 Parliamentary Elections (Mumbai)|2019-05-01 Maharashtra Day
-2019-06-05 Id-ul-Fitr|2019-08-12 Bakri Id|2019-08-15 Independence Day|2019-09-02 Ganesh Chaturthi|2019-09-10 Moharram|2019-10-02 Gandhi Jayanti|2019-10-08 Dussehra
-2019-10-28 Diwali Balipratipada|2019-11-12 Guru Nanak Jayanti|2019-12-25 Christmas|2020-02-21 Mahashivratri|2020-03-10 Holi|2020-04-02 Ram Navami
-2020-04-06 Mahavir Jayanti|2020-04-10 Good Friday|2020-04-14 Dr Baba Saheb Ambedkar Jayanti|2020-05-01 Maharashtra Day|2020-05-25 Id-ul-Fitr|2020-10-02 Gandhi Jayanti
-2020-11-16 Diwali Balipratipada|2020-11-30 Guru Nanak Jayanti|2020-12-25 Christmas|2021-01-26 Republic Day|2021-03-11 Mahashivratri|2021-03-29 Holi|2021-04-02 Good Friday
-2021-04-14 Dr Baba Saheb Ambedkar Jayanti|2021-04-21 Ram Navami|2021-05-13 Id-ul-Fitr|2021-07-21 Bakri Id|2021-08-19 Moharram|2021-09-10 Ganesh Chaturthi
-2021-10-15 Dussehra|2021-11-04 Diwali Laxmi Pujan|2021-11-05 Diwali Balipratipada|2021-11-19 Guru Nanak Jayanti|2022-01-26 Republic Day|2022-03-01 Mahashivratri
-2022-03-18 Holi|2022-04-14 Dr Baba Saheb Ambedkar Jayanti / Mahavir Jayanti|2022-04-15 Good Friday|2022-05-03 Id-ul-Fitr|2022-08-09 Moharram|2022-08-15 Independence Day
-2022-08-31 Ganesh Chaturthi|2022-10-05 Dussehra|2022-10-24 Diwali Laxmi Pujan|2022-10-26 Diwali Balipratipada|2022-11-08 Guru Nanak Jayanti|2023-01-26 Republic Day
-2023-03-07 Holi|2023-03-30 Ram Navami|2023-04-04 Mahavir Jayanti|2023-04-07 Good Friday|2023-04-14 Dr Baba Saheb Ambedkar Jayanti|2023-05-01 Maharashtra Day
-2023-06-29 Bakri Id|2023-08-15 Independence Day|2023-09-19 Ganesh Chaturthi|2023-10-02 Gandhi Jayanti|2023-10-24 Dussehra|2023-11-14 Diwali Balipratipada
-2023-11-27 Guru Nanak Jayanti|2023-12-25 Christmas|2024-01-22 Special holiday (Ayodhya Pran Pratishtha)|2024-01-26 Republic Day|2024-03-08 Mahashivratri|2024-03-25 Holi
-2024-03-29 Good Friday|2024-04-11 Id-ul-Fitr|2024-04-17 Ram Navami|2024-05-01 Maharashtra Day|2024-05-20 Lok Sabha Elections (Mumbai)|2024-06-17 Bakri Id|2024-07-17 Moharram
-2024-08-15 Independence Day|2024-10-02 Gandhi Jayanti|2024-11-01 Diwali Laxmi Pujan|2024-11-15 Guru Nanak Jayanti|2024-11-20 Maharashtra Assembly Elections
-2024-12-25 Christmas|2025-02-26 Mahashivratri|2025-03-14 Holi|2025-03-31 Id-ul-Fitr|2025-04-10 Shri Mahavir Jayanti|2025-04-14 Dr Baba Saheb Ambedkar Jayanti
-2025-04-18 Good Friday|2025-05-01 Maharashtra Day|2025-08-15 Independence Day|2025-08-27 Ganesh Chaturthi|2025-10-02 Gandhi Jayanti / Dussehra|2025-10-21 Diwali Laxmi Pujan
-2025-10-22 Diwali Balipratipada|2025-11-05 Guru Nanak Jayanti|2025-12-25 Christmas|2026-01-26 Republic Day|2026-04-03 Good Friday|2026-05-01 Maharashtra Day
-2026-10-02 Gandhi Jayanti|2026-12-25 Christmas
+2019-03-04 Mahashivratri
+2019-03-21 Holi
+2019-04-17 Mahavir Jayanti
+2019-04-19 Good Friday
+2019-04-29 Parliamentary Elections (Mumbai)
+2019-05-01 Maharashtra Day
+2019-06-05 Id-ul-Fitr
+2019-08-12 Bakri Id
+2019-08-15 Independence Day
+2019-09-02 Ganesh Chaturthi
+2019-09-10 Moharram
+2019-10-02 Gandhi Jayanti
+2019-10-08 Dussehra
+2019-10-28 Diwali Balipratipada
+2019-11-12 Guru Nanak Jayanti
+2019-12-25 Christmas
+2020-02-21 Mahashivratri
+2020-03-10 Holi
+2020-04-02 Ram Navami
+2020-04-06 Mahavir Jayanti
+2020-04-10 Good Friday
+2020-04-14 Dr Baba Saheb Ambedkar Jayanti
+2020-05-01 Maharashtra Day
+2020-05-25 Id-ul-Fitr
+2020-10-02 Gandhi Jayanti
+2020-11-16 Diwali Balipratipada
+2020-11-30 Guru Nanak Jayanti
+2020-12-25 Christmas
+2021-01-26 Republic Day
+2021-03-11 Mahashivratri
+2021-03-29 Holi
+2021-04-02 Good Friday
+2021-04-14 Dr Baba Saheb Ambedkar Jayanti
+2021-04-21 Ram Navami
+2021-05-13 Id-ul-Fitr
+2021-07-21 Bakri Id
+2021-08-19 Moharram
+2021-09-10 Ganesh Chaturthi
+2021-10-15 Dussehra
+2021-11-04 Diwali Laxmi Pujan
+2021-11-05 Diwali Balipratipada
+2021-11-19 Guru Nanak Jayanti
+2022-01-26 Republic Day
+2022-03-01 Mahashivratri
+2022-03-18 Holi
+2022-04-14 Dr Baba Saheb Ambedkar Jayanti / Mahavir Jayanti
+2022-04-15 Good Friday
+2022-05-03 Id-ul-Fitr
+2022-08-09 Moharram
+2022-08-15 Independence Day
+2022-08-31 Ganesh Chaturthi
+2022-10-05 Dussehra
+2022-10-24 Diwali Laxmi Pujan
+2022-10-26 Diwali Balipratipada
+2022-11-08 Guru Nanak Jayanti
+2023-01-26 Republic Day
+2023-03-07 Holi
+2023-03-30 Ram Navami
+2023-04-04 Mahavir Jayanti
+2023-04-07 Good Friday
+2023-04-14 Dr Baba Saheb Ambedkar Jayanti
+2023-05-01 Maharashtra Day
+2023-06-29 Bakri Id
+2023-08-15 Independence Day
+2023-09-19 Ganesh Chaturthi
+2023-10-02 Gandhi Jayanti
+2023-10-24 Dussehra
+2023-11-14 Diwali Balipratipada
+2023-11-27 Guru Nanak Jayanti
+2023-12-25 Christmas
+2024-01-22 Special holiday (Ayodhya Pran Pratishtha)
+2024-01-26 Republic Day
+2024-03-08 Mahashivratri
+2024-03-25 Holi
+2024-03-29 Good Friday
+2024-04-11 Id-ul-Fitr
+2024-04-17 Ram Navami
+2024-05-01 Maharashtra Day
+2024-05-20 Lok Sabha Elections (Mumbai)
+2024-06-17 Bakri Id
+2024-07-17 Moharram
+2024-08-15 Independence Day
+2024-10-02 Gandhi Jayanti
+2024-11-01 Diwali Laxmi Pujan
+2024-11-15 Guru Nanak Jayanti
+2024-11-20 Maharashtra Assembly Elections
+2024-12-25 Christmas
+2025-02-26 Mahashivratri
+2025-03-14 Holi
+2025-03-31 Id-ul-Fitr
+2025-04-10 Shri Mahavir Jayanti
+2025-04-14 Dr Baba Saheb Ambedkar Jayanti
+2025-04-18 Good Friday
+2025-05-01 Maharashtra Day
+2025-08-15 Independence Day
+2025-08-27 Ganesh Chaturthi
+2025-10-02 Gandhi Jayanti / Dussehra
+2025-10-21 Diwali Laxmi Pujan
+2025-10-22 Diwali Balipratipada
+2025-11-05 Guru Nanak Jayanti
+2025-12-25 Christmas
+2026-01-26 Republic Day
+2026-04-03 Good Friday
+2026-05-01 Maharashtra Day
+2026-10-02 Gandhi Jayanti
+2026-12-25 Christmas
 """
 SPECIALS = """
 2019-10-27,Muhurat Trading (Samvat 2076),18:15,19:15,18:00,18:08
@@ -47,7 +135,7 @@ SPECIALS = """
 
 
 def holiday_list() -> list[tuple[str, str]]:
-    return [tuple(x.split(" ", 1)) for x in HOLIDAYS.replace("\n", "|").split("|") if x]
+    return [tuple(x.split(" ", 1)) for x in HOLIDAYS.strip().splitlines()]
 
 
 @dataclass(frozen=True)

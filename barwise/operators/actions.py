@@ -53,13 +53,13 @@ def with_factors(actions: DataFrame, adjust_dividends: bool = True) -> DataFrame
 def with_cum_close(actions: DataFrame, bars: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """actions with cum_close: the last raw close of their symbol before ex_date (as-of, strictly earlier).
 
-    The actions are few and broadcast; every bar meets the actions of its symbol only, and the newest is kept by an
-    aggregate that combines before its shuffle.
+    Every bar meets the actions of its symbol only, and the newest is kept by an aggregate that combines before its shuffle.
+    Spark broadcasts the actions where their measured size allows it, and shuffles by symbol otherwise.
     """
     keyed = actions.select(symbol, "ex_date").distinct()
-    met = bars.select(symbol, F.to_date(ts).alias("_day"), F.col(ts).alias("_ts"), "close").where("close is not null").join(F.broadcast(keyed), symbol).where("_day < ex_date")
+    met = bars.select(symbol, F.to_date(ts).alias("_day"), F.col(ts).alias("_ts"), "close").where("close is not null").join(keyed, symbol).where("_day < ex_date")
     last = met.groupBy(symbol, "ex_date").agg(F.max_by("close", "_ts").alias("cum_close"))
-    return actions.join(F.broadcast(last), [symbol, "ex_date"], "left")
+    return actions.join(last, [symbol, "ex_date"], "left")
 
 
 def factor_after(day: Column, field: str) -> Column:
@@ -75,7 +75,7 @@ def adjust(bars: DataFrame, actions: DataFrame, symbol: str = "symbol", ts: str
     acts = F.reverse(F.array_sort(F.collect_list(F.struct("ex_date", "price_factor", "volume_factor"))))
     held = actions.where("status = 'applied'").groupBy(symbol).agg(acts.alias("acts"))
     none = F.array().cast("array<struct<ex_date:date,price_factor:double,volume_factor:double>>")
-    rows = bars.join(F.broadcast(held), symbol, "left").withColumn("acts", F.coalesce("acts", none))
+    rows = bars.join(held, symbol, "left").withColumn("acts", F.coalesce("acts", none))
     day = F.to_date(ts)
     rows = rows.withColumn("price_factor", factor_after(day, "price_factor")).withColumn("volume_factor", factor_after(day, "volume_factor")).drop("acts")
     rows = rows.withColumn("raw_close", F.col("close"))
