@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barwise.llm import langid, quality, toxicity
 
@@ -50,6 +51,16 @@ def test_toxicity_on_held_out(frames):
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
 
 
+def test_settings_are_compared_without_fold_0(frames):
+    """What fold 0 says, right or wrong, changes no risk."""
+    _, _, d, lab = frames
+    grid = [toxicity.Settings(deviations=1.0, lift=0.5), toxicity.Settings(deviations=50.0)]
+    got = toxicity.cross_validated(d, lab, grid)
+    assert [s for _, s in got] == grid and got[0][0] < got[1][0]
+    turned = lab.withColumn("toxic", F.when(toxicity.fold() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.cross_validated(d.withColumn("text", F.when(toxicity.fold() == 0, F.lit("scumbag")).otherwise(F.col("text"))), turned, grid) == got
+
+
 def test_quality_on_held_out(frames):
     docs, labels, d, lab = frames
     got = {r.doc_id: r for r in quality.quality(d, lab).collect()}
