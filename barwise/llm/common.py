@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -32,12 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session names none (tests)."""
+    """The folder that driver and executors share: the session's. One of its own is made in local mode only, as on a cluster no other process would see it."""
     _small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-barwise-")
+        if current.isDefined():
+            found = current.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            found = tempfile.mkdtemp(prefix="spark-barwise-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)

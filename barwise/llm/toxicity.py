@@ -30,16 +30,16 @@ _SALT = {0: U64(0x1F3D5B79), 4: U64(0x2468ACE1), 5: U64(0x3579BDF1), 6: U64(0x46
 
 
 class Settings(NamedTuple):
-    """What a feature must show in P: its share of documents, its deviations beyond chance, its lift as a power of 1 / prior; and Adam's steps."""
+    """What a feature must show in P: its share of documents, its deviations beyond chance as a multiple of what the best of all features shows by chance, its lift as a power of 1 / prior; and Adam's steps."""
 
     support: float = 0.01
-    deviations: float = 6.0
+    deviations: float = 1.2
     lift: float = 0.9
     steps: int = 150
 
 
 #: What cross_validated() looks at. The defaults of Settings are of the least risks on sf0.1, inside their sampling error.
-GRID = [Settings(s, d, k, n) for s in (0.005, 0.01, 0.02) for d in (3.0, 4.5, 6.0, 8.0) for k in (0.6, 0.8, 0.9, 1.0) for n in (50, 150)]
+GRID = [Settings(s, d, k, n) for s in (0.005, 0.01, 0.02) for d in (0.8, 1.0, 1.2, 1.4) for k in (0.6, 0.8, 0.9, 1.0) for n in (50, 150)]
 
 
 def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +98,11 @@ def nnpu(p: list[np.ndarray], u: list[np.ndarray], prior: float, settings: Setti
     in_p, in_u = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (p, u))
     lift = np.log((in_p + 0.5) / (len(p) + 1)) - np.log((in_u + 0.5) / (len(u) + 1))
     # a feature of toxic documents alone has the lift 1 / prior
-    # and it must be seen in P beyond chance, as very many features are looked at
-    chance = len(p) * (in_u + 0.5) / len(u)
-    good = np.flatnonzero((in_p >= max(4, settings.support * len(p))) & (in_p - chance > settings.deviations * np.sqrt(chance)) & (lift > settings.lift * np.log(1 / prior)))
+    # and it must be seen in P beyond chance; the best of m features is sqrt(2 log m) deviations above it by chance
+    rate = (in_u + 0.5) / (len(u) + 1)
+    chance, deviation = len(p) * rate, np.sqrt(len(p) * rate * (1 - rate))
+    beyond = settings.deviations * np.sqrt(2 * np.log(max(2, np.count_nonzero(in_p + in_u))))
+    good = np.flatnonzero((in_p >= max(4, settings.support * len(p))) & (in_p - chance > beyond * deviation) & (lift > settings.lift * np.log(1 / prior)))
     good = good[np.argsort(-(in_p * lift)[good], kind="stable")][:FEATURES]
     if not len(good):
         return weights, float(np.log(prior / (1 - prior)))

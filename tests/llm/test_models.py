@@ -54,7 +54,7 @@ def test_toxicity_on_held_out(frames):
 def test_settings_are_compared_without_fold_0(frames):
     """What fold 0 says, right or wrong, changes no risk."""
     _, _, d, lab = frames
-    grid = [toxicity.Settings(deviations=1.0, lift=0.5), toxicity.Settings(deviations=50.0)]
+    grid = [toxicity.Settings(deviations=0.5, lift=0.5), toxicity.Settings(deviations=50.0)]
     got = toxicity.cross_validated(d, lab, grid)
     assert [s for _, s in got] == grid and got[0][0] < got[1][0]
     turned = lab.withColumn("toxic", F.when(toxicity.fold() == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
