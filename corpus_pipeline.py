@@ -12,10 +12,15 @@ _scratch: list[str] = []
 
 
 def _stage(f):
-    """A stage begins when the result of the one before is a table; the tables that one worked with are dropped then."""
+    """A stage begins when the result of the one before is a table; the tables that one worked with are dropped then.
+
+    The first stage drops nothing: the sequences of an earlier run may still be read from its last stage's tables.
+    """
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if f.__name__ == STAGES[0][1].__name__:
+            _scratch.clear()
         common.release(spark, _scratch)
         with common.recording(_scratch):
             return f(spark, docs, sf_dir)
@@ -54,11 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequences of documents. A stage's result goes once the next one's is written; what the last stage reads stays for the caller."""
     docs = common.table(spark, sf_dir, "documents")
-    results: list[str] = []
+    before: list[str] = []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            with common.recording(results):
+            after: list[str] = []
+            with common.recording(after):
                 docs = common.written(docs, f"stage-{name.replace(' ', '-')}")
+            common.release(spark, before)
+            before = after
     return docs
