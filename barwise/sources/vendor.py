@@ -6,13 +6,15 @@ the session's time zone is.
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.schemas import BAR, TICK, conform
+from barwise.schemas import TICK, conform
+from barwise.sources import feeds
 
 # A vendor's names of timeframes, and its instrument types.
 INTERVALS = {"1m": "minute", "5m": "5minute", "15m": "15minute", "1h": "60minute", "1d": "day"}
@@ -59,6 +61,17 @@ def tick_stream(spark: SparkSession, folder: str, instruments: DataFrame, files_
     return ticks_from_payload(raw, instruments)
 
 
+def feed_ticks(spark: SparkSession, client: Any, instruments: DataFrame, **options: Any) -> DataFrame:
+    """A stream of ticks from a feed's client, which a restarted query goes on reading where it had stopped."""
+    return ticks_from_payload(feeds.feed(spark, client, **options), instruments)
+
+
+def polled_ticks(spark: SparkSession, client: Any, **options: Any) -> DataFrame:
+    """A stream of ticks from polled quotes: each payload is a quote with its instrument_key beside it."""
+    rows = feeds.feed(spark, client, **options)
+    return ticks_from_quotes(rows.withColumn("instrument_key", F.get_json_object("payload", "$.instrument_key")))
+
+
 def with_polls(ticks: DataFrame, quotes: DataFrame) -> DataFrame:
     """Ticks of a feed and of polled quotes (as for ticks_from_quotes) as one table or stream."""
     return ticks.unionByName(ticks_from_quotes(quotes))
@@ -86,49 +99,19 @@ def instruments_from_master(rows: DataFrame) -> DataFrame:
     )
 
 
-class RateLimiter:
-    """At most ``per_second`` calls a second from one task; a quota is kept by fetching in one partition for each."""
-
-    def __init__(self, per_second: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.clock, self.sleep, self.last = (1.0 / per_second if per_second > 0 else 0.0), clock, sleep, None
-
-    def acquire(self) -> None:
-        if self.last is not None and (wait := self.last + self.gap - self.clock()) > 0:
-            self.sleep(wait)
-        self.last = self.clock()
-
-
 def fetch(plan: DataFrame, client: Callable[[dict], list[dict]], per_second: float = 3.0, quotas: int = 1) -> DataFrame:
-    """Bars of the planned chunks (exchange, symbol, timeframe, first_day, last_day), with the chunk and its error.
+    """Bars of the planned chunks (chunk, exchange, symbol, timeframe, first_day, last_day), with the chunk and its error.
 
-    client takes a request and returns rows (ts, open, high, low, close, volume, oi); it runs in the tasks, one partition for
-    each quota. A chunk that fails yields one row without ts that tells why, and the others go on.
+    client takes a request, its days as ISO texts, and returns rows (ts, open, high, low, close, volume, oi); the source
+    ``barwise_history`` calls it in the tasks, one partition for each quota. A chunk that fails yields one row without ts that
+    tells why, and the others go on; one over the vendor's span is refused. A plan is one row a request, which the driver holds.
     """
-    schema = f"chunk int, error string, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in BAR)}"
-    names = BAR.names
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        limiter = RateLimiter(per_second / max(1, quotas))
-        for batch in batches:
-            for request in batch.to_dict("records"):
-                limiter.acquire()
-                head = {"chunk": request["chunk"], "error": None, **{k: request[k] for k in ("exchange", "symbol", "timeframe")}}
-                try:
-                    rows = [head | r for r in client(request)]
-                except Exception as e:  # noqa: BLE001  a vendor's client may raise anything; the chunk is reported
-                    rows = [head | {"error": f"{type(e).__name__}: {e}"}]
-                if rows:
-                    out = pd.DataFrame(rows).reindex(columns=["chunk", "error", *names])
-                    out["ts"] = pd.to_datetime(out["ts"])
-                    for c in ("open", "high", "low", "close"):
-                        out[c] = out[c].astype("float64")
-                    for c in ("volume", "oi"):
-                        out[c] = out[c].astype("Int64")
-                    yield out
-
-    return plan.repartition(quotas).mapInPandas(run, schema)
+    spark = plan.sparkSession
+    feeds.register(spark)
+    days = [F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_day", "last_day")]
+    requests = [r.asDict() for r in plan.select(F.col("chunk").cast("int").alias("chunk"), "exchange", "symbol", "timeframe", *days).collect()]
+    options = {"client": feeds.packed(client), "plan": json.dumps(requests), "report": "true", "per_second": per_second, "quotas": quotas, "zone": spark.conf.get("spark.sql.session.timeZone")}
+    return spark.read.format("barwise_history").options(**options).load()
 
 
 def ingest_log(fetched: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwise import cli, config
-from barwise.sources import vendor
+from barwise.sources import feeds, vendor
 from barwise.sources.store import BarStore
 
 
@@ -39,7 +39,7 @@ def test_fetch_isolates_failures(spark):
 
 def test_rate_limiter():
     now, slept = [0.0], []
-    limiter = vendor.RateLimiter(2, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
+    limiter = feeds.RateLimiter(2, clock=lambda: now[0], sleep=lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)))
     for _ in range(3):
         limiter.acquire()
     assert slept == [0.5, 0.5]
