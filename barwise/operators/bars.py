@@ -1,7 +1,9 @@
 """Bars from ticks, and coarser bars from finer ones.
 
 Ticks have key, ts, seq (arrival order), price, qty and cum (traded so far today); calendar columns come from
-functions.calendar.with_calendar(). A key's ticks are folded in arrival order by window functions, one sort for all of them.
+functions.calendar.with_calendar(). A key's ticks are folded in arrival order. The fold is a scan in two passes, so that a very
+active key is not one task: its arrivals are cut into blocks, each block is summed up by what it does to the fold's state, the
+few summaries of a key are chained to the state that each block opens with, and every block then runs by itself.
 """
 
 from __future__ import annotations
@@ -12,36 +14,71 @@ from pyspark.sql import functions as F
 
 from barwise.functions import calendar as cal
 
+#: Ticks of a key that one task folds; a key with more is cut by its arrival numbers.
+BLOCK_TICKS = 1_000_000
 
-def judged(ticks: DataFrame, timeframe: str, strict_sessions: bool = False) -> DataFrame:
+
+def _blocked(ticks: DataFrame, block_ticks: int) -> DataFrame:
+    """ticks with _block, and _cut where their key has several blocks: arrival numbers from lo on, width to a block."""
+    n = F.col("_n")
+    spans = ticks.groupBy(F.col("key").alias("_key")).agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"), F.count("*").alias("_n")).where(n > block_ticks)
+    spans = spans.select("_key", "_lo", ((F.col("_hi") - F.col("_lo") + 1) / F.ceil(n / block_ticks)).alias("_width"))
+    rows = ticks.join(spans, F.col("key").eqNullSafe(F.col("_key")), "left")
+    block = F.coalesce(F.floor((F.col("seq") - F.col("_lo")) / F.col("_width")), F.lit(0))
+    return rows.withColumn("_block", block).withColumn("_cut", F.col("_width").isNotNull()).drop("_key", "_lo", "_width")
+
+
+def _openings(rows: DataFrame, inside: Column, strict_sessions: bool) -> DataFrame:
+    """(_key, _at, runs, turns, newest) of each block of the keys that were cut: the runs before it, whether its first tick inside
+    a session opens a new one, and the newest tick so far of the run that it opens in."""
+    seq, state = F.when(inside, F.col("seq")), F.max(F.when(inside, F.struct("_turns", "ts"))).alias("end")
+    blocks = rows.where("_cut").groupBy("key", "_block").agg(F.min_by("day", seq).alias("first"), F.max_by("day", seq).alias("last"), F.max("_turns").alias("within"), state)
+    order = W.partitionBy("key").orderBy("_block")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    first_turns = (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.last("last", ignorenulls=True).over(before))).cast("int")
+    blocks = blocks.withColumn("turns", F.lit(0) if strict_sessions else first_turns)
+    blocks = blocks.withColumn("runs", F.coalesce(F.sum(F.col("turns") + F.col("within")).over(before), F.lit(0))).withColumn("_end", F.col("runs") + F.col("turns") + F.col("within"))
+    newest = F.when(F.col("first").isNotNull(), F.max("end.ts").over(W.partitionBy("key", "_end").orderBy("_block").rowsBetween(W.unboundedPreceding, 0)))
+    blocks = blocks.withColumn("_newest", newest).withColumn("newest", F.last("_newest", ignorenulls=True).over(before))
+    return blocks.select(F.col("key").alias("_key"), F.col("_block").alias("_at"), "runs", "turns", F.col("newest").alias("_newest"))
+
+
+def judged(ticks: DataFrame, timeframe: str, strict_sessions: bool = False, block_ticks: int = BLOCK_TICKS) -> DataFrame:
     """ticks with bar, run (of one session) and reason: null, non_trading_day, outside_session or late_tick.
 
     A tick is late if it is older than one accepted before it in its run. A step back to an earlier day opens a new run, as
     live engines that roll on any change of date do; with strict_sessions such a tick is late too.
     """
-    rows = ticks.withColumn("bar", cal.bar_second(timeframe))
-    arrival = W.partitionBy("key").orderBy("seq")
+    rows = _blocked(ticks.withColumn("bar", cal.bar_second(timeframe)), block_ticks)
+    arrival = W.partitionBy("key", "_block").orderBy("seq")
     # only ticks inside a session move the fold, so the others are taken out of its order
     inside = F.col("bar").isNotNull()
-    last_day = F.last(F.when(inside, F.col("day")), ignorenulls=True).over(arrival.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_turn", (inside & ~F.col("day").eqNullSafe(last_day)).cast("int"))
-    rows = rows.withColumn("run", F.lit(0) if strict_sessions else F.sum("_turn").over(arrival.rowsBetween(W.unboundedPreceding, 0)))
-    newest = F.max(F.when(inside, F.col("ts"))).over(W.partitionBy("key", "run").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("_last_day", F.last(F.when(inside, F.col("day")), ignorenulls=True).over(arrival.rowsBetween(W.unboundedPreceding, -1)))
+    turn = (inside & F.col("_last_day").isNotNull() & (F.col("day") != F.col("_last_day"))).cast("int")
+    rows = rows.withColumn("_turns", F.lit(0) if strict_sessions else F.sum(turn).over(arrival.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    rows = rows.withColumn("_own", F.max(F.when(inside, F.col("ts"))).over(W.partitionBy("key", "_block", "_turns").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)))
+    opening = _openings(rows, inside, strict_sessions)
+    rows = rows.join(opening, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")), "left")
+    # a key's first tick inside a session opens its first run
+    first = F.coalesce("turns", F.lit(1))
+    began = (inside | F.col("_last_day").isNotNull()).cast("int")
+    run = F.lit(0) if strict_sessions else (F.coalesce("runs", F.lit(0)) + first * began + F.col("_turns")).cast("long")
+    goes_on = F.lit(True) if strict_sessions else (F.col("_turns") == 0) & (first == 0)
+    newest = F.greatest("_own", F.when(goes_on, F.col("_newest")))
     closed = ~F.coalesce("has_any_session", F.lit(False))
     reason = F.when(closed, "non_trading_day").when(~inside, "outside_session").when(F.col("ts") < newest, "late_tick")
-    return rows.withColumn("reason", reason).drop("_turn")
+    return rows.withColumn("run", run).withColumn("reason", reason).select(*ticks.columns, "bar", "run", "reason")
 
 
-def bars_from_ticks(ticks: DataFrame, timeframe: str, strict_sessions: bool = False) -> DataFrame:
+def bars_from_ticks(ticks: DataFrame, timeframe: str, strict_sessions: bool = False, block_ticks: int = BLOCK_TICKS) -> DataFrame:
     """Bars (key, run, day, bar, open, high, low, close, volume, volume_estimated, open_interest?, ticks) of accepted ticks.
 
     Volume is the growth of cum over the bar, never below 0; where no tick of the bar has cum it is the sum of qty. The
     first bar of a run starts from 0 at the session's open, else from its first cum, and is then marked as estimated.
     """
-    taken = judged(ticks, timeframe, strict_sessions).where("reason is null")
+    taken = judged(ticks, timeframe, strict_sessions, block_ticks).where("reason is null")
     if strict_sessions:
         taken = taken.withColumn("run", F.col("day"))
-    taken = taken.withColumn("_first", F.row_number().over(W.partitionBy("key", "run", "bar").orderBy("seq")) == 1)
     seen = F.when(F.col("cum").isNotNull(), F.col("seq"))
     measures = [
         F.min_by("price", "seq").alias("open"),
@@ -50,7 +87,8 @@ def bars_from_ticks(ticks: DataFrame, timeframe: str, strict_sessions: bool = Fa
         F.max_by("price", "seq").alias("close"),
         F.max_by("cum", seen).alias("_last_cum"),
         F.min_by("cum", "seq").alias("_first_cum"),
-        F.sum(F.when(F.col("_first") | F.col("cum").isNull(), F.coalesce("qty", F.lit(0))).otherwise(0)).alias("_printed"),
+        # the first tick's quantity counts whether it has cum or not
+        (F.sum(F.when(F.col("cum").isNull(), F.coalesce("qty", F.lit(0))).otherwise(0)) + F.min_by(F.when(F.col("cum").isNotNull(), F.coalesce("qty", F.lit(0))).otherwise(0), "seq")).alias("_printed"),
         F.count("*").alias("ticks"),
         F.first("cont_s").alias("cont_s"),
         F.first("cont_e").alias("cont_e"),

@@ -89,3 +89,24 @@ def test_contracts(spark):
     with pytest.raises(ContractError):
         require_zoned(spark.sql("SELECT timestamp_ntz'2024-01-01' AS ts"))
     assert require_zoned(spark.createDataFrame([], BAR)).count() == 0
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_a_very_active_key_is_folded_in_blocks(spark, days, strict):
+    """Blocks of a few ticks give what one block gives: steps back in time and to earlier days, ticks outside sessions, closed days."""
+    import random
+
+    r = random.Random(6)
+    rows, at = [], 0
+    for i in range(400):
+        at += r.choice([60, 200, 1500, -90, -300])
+        day = 4 + (i // 60) % 6 - (r.random() < 0.08)
+        rows.append(("HOT" if i % 7 else "NSE:B" if i % 2 else None, f"2025-08-{day:02d}", (9 * 3600 + at % 25000), i * 3 if i < 300 else i * 50, float(i % 17), 1, 5 * i if i % 5 else None))
+    t = spark.createDataFrame(rows, "key string, d string, s int, seq long, price double, qty long, cum long")
+    t = cal.with_calendar(t.withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.col("d").cast("timestamp")) + F.col("s"))).drop("d", "s"), days).cache()
+    want, got = (ops.judged(t, "15m", strict, n).select("key", "seq", "bar", "run", "reason").orderBy("seq").collect() for n in (10**9, 5))
+    assert got == want and {x.reason for x in want} >= {None, "late_tick", "outside_session"}
+    one, many = (sorted(map(str, ops.bars_from_ticks(t, "15m", strict, n).collect())) for n in (10**9, 5))
+    assert one == many and len(one) > 50
+    blocks = ops._blocked(t, 5).where("key = 'HOT'").groupBy("_block").count().collect()
+    assert len(blocks) > 20
