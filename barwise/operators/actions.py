@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barwise.operators.asof import as_of
 from barwise.schemas import ACTION
 
 KINDS = ["SPLIT", "BONUS", "DIVIDEND", "RIGHTS", "MERGER", "DEMERGER"]
@@ -53,32 +55,32 @@ def with_factors(actions: DataFrame, adjust_dividends: bool = True) -> DataFrame
 def with_cum_close(actions: DataFrame, bars: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """actions with cum_close: the last raw close of their symbol before ex_date (as-of, strictly earlier).
 
-    Every bar meets the actions of its symbol only, and the newest is kept by an aggregate that combines before its shuffle.
-    Spark broadcasts the actions where their measured size allows it, and shuffles by symbol otherwise.
+    Only bars of symbols that have actions are sorted, together with those: rows through the join follow the sum of both.
     """
-    keyed = actions.select(symbol, "ex_date").distinct()
-    met = bars.select(symbol, F.to_date(ts).alias("_day"), F.col(ts).alias("_ts"), "close").where("close is not null").join(keyed, symbol).where("_day < ex_date")
-    last = met.groupBy(symbol, "ex_date").agg(F.max_by("close", "_ts").alias("cum_close"))
-    return actions.join(last, [symbol, "ex_date"], "left")
+    own = bars.where("close is not null").join(actions.select(symbol).distinct(), symbol, "left_semi")
+    return as_of(actions, own, [symbol], F.col("ex_date"), F.col(ts), F.col("close"), "cum_close")
 
 
-def factor_after(day: Column, field: str) -> Column:
-    """Product of a factor over the actions (array acts) after a day, latest first."""
-    return F.aggregate(F.filter("acts", lambda a: a["ex_date"] > day), F.lit(1.0), lambda x, a: x * a[field])
+def validity(actions: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """(symbol, ex_date, price_factor, volume_factor): for each day of applied actions, the product of its factors and of all later
+    ones, which holds for the bars between the action before and this one."""
+    later = W.partitionBy(symbol).orderBy(F.desc("ex_date")).rangeBetween(W.unboundedPreceding, 0)
+    factors = [F.product(c).over(later).alias(c) for c in ("price_factor", "volume_factor")]
+    return actions.where("status = 'applied' AND ex_date IS NOT NULL").select(symbol, "ex_date", *factors).distinct()
 
 
 def adjust(bars: DataFrame, actions: DataFrame, symbol: str = "symbol", ts: str = "ts") -> DataFrame:
     """bars with prices and volume adjusted for later actions (from with_factors()), beside raw_close and both factors.
 
-    A bar is multiplied by the factors of all actions with ex_date after its day. Symbols without actions keep factor 1.
+    A bar is multiplied by the factors of all actions with ex_date after its day: it finds the next one, which has the product.
+    Zero and negative factors multiply as they are. Symbols without actions keep factor 1.
     """
-    acts = F.reverse(F.array_sort(F.collect_list(F.struct("ex_date", "price_factor", "volume_factor"))))
-    held = actions.where("status = 'applied'").groupBy(symbol).agg(acts.alias("acts"))
-    none = F.array().cast("array<struct<ex_date:date,price_factor:double,volume_factor:double>>")
-    rows = bars.join(held, symbol, "left").withColumn("acts", F.coalesce("acts", none))
-    day = F.to_date(ts)
-    rows = rows.withColumn("price_factor", factor_after(day, "price_factor")).withColumn("volume_factor", factor_after(day, "volume_factor")).drop("acts")
-    rows = rows.withColumn("raw_close", F.col("close"))
+    factors = F.struct("price_factor", "volume_factor")
+    names = [c for c in bars.columns if c not in ("price_factor", "volume_factor")]
+    rows = as_of(bars.select(*names), validity(actions, symbol), [symbol], F.to_date(ts), F.col("ex_date"), factors, "_f", forward=True)
+    for c in ("price_factor", "volume_factor"):
+        rows = rows.withColumn(c, F.coalesce(F.col("_f")[c], F.lit(1.0)))
+    rows = rows.drop("_f").withColumn("raw_close", F.col("close"))
     return rows.withColumns({**{c: F.col(c) * F.col("price_factor") for c in ("open", "high", "low", "close")}, "volume": F.col("volume") * F.col("volume_factor")})
 
 
@@ -90,6 +92,7 @@ def deadjust(bars: DataFrame, ex_date, new: float, old: float, ts: str = "ts") -
     return bars.withColumns({**prices, "volume": F.when(before, (F.col("volume") / f).cast("long")).otherwise(F.col("volume"))})
 
 
-def between(actions: DataFrame, start, end) -> DataFrame:
-    """Actions after start, up to end."""
-    return actions.where((F.col("ex_date") > F.lit(start).cast("date")) & (F.col("ex_date") <= F.lit(end).cast("date")))
+def between(actions: DataFrame, start, end, symbol: str | None = None) -> DataFrame:
+    """Actions after start, up to end; of one symbol, written in any case, if it is named."""
+    own = actions if symbol is None else actions.where(F.upper(F.trim("symbol")) == symbol.strip().upper())
+    return own.where((F.col("ex_date") > F.lit(start).cast("date")) & (F.col("ex_date") <= F.lit(end).cast("date"))).orderBy("symbol", "ex_date")

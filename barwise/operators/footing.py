@@ -1,8 +1,9 @@
 """Whether totals equal the sum of their items.
 
 A column of a page is a sequence of figures, read downwards. What stands open is an array of entries: figures, and groups that
-were already added up and count as one figure since. A row of the column turns that array into the next one, so a column is one
-F.aggregate over its rows; a page's column is as long as its page, which bounds the arrays.
+were already added up and count as one figure since; beside it the number and the sum of the plain figures at its end. A row of
+the column turns that state into the next one, so a column is one F.aggregate over its rows. A plain row looks at the two
+numbers only; a total walks up the entries once, adding as it goes, and stops at the end that adds up.
 
 =========  ==========================================  ===================  =====================================
 row        what it is measured against                 outcome              what stands open afterwards
@@ -32,7 +33,7 @@ from barwise.functions import numbers as num
 LOOK_BACK = 80
 IMPLICIT = "(implicit subtotal)"
 _PLACE = "row_no:int,label:string,value:double,x0:double,top:double"
-_ENTRY = f"struct<i:int,{_PLACE},closed:boolean,wall:boolean>"
+_ENTRY = f"struct<{_PLACE},closed:boolean,wall:boolean>"
 _CHECK = f"struct<row_no:int,label:string,kind:string,status:string,stated:double,expected:double,x0:double,top:double,components:array<struct<{_PLACE}>>>"
 _KEY = ["doc_id", "page_index", "column"]
 
@@ -50,52 +51,68 @@ def _last(entries: Column, n: Column) -> Column:
     return F.slice(entries, F.size(entries) - n + 1, n)
 
 
-def _before_first(flags: Column) -> Column:
-    """How many flags come before the first that is set; all if none is."""
-    at = F.array_position(flags, True).cast("int")
-    return F.when(at > 0, at - 1).otherwise(F.size(flags))
+def _adds_up(total: Column, n: Column, value: Column, base: float) -> Column:
+    return F.abs(total - value) <= base + 0.5 * n + 1e-9 * F.abs(value)
 
 
-def _measured(state: Column, row: Column, base: float) -> Column:
-    """What a row is measured against: struct(parts, kind, status), the last two null where nothing is checked."""
-    entries, value = state["entries"], row["value"]
-    adds_up = lambda total, n: F.abs(total - value) <= base + 0.5 * n + 1e-9 * F.abs(value)
-    plain = _last(entries, _before_first(F.reverse(F.transform(entries, lambda e: e["closed"]))))
-    groups = F.filter(entries, lambda e: e["closed"] & ~e["wall"])
-    none = F.array().cast(f"array<{_ENTRY}>")
-    outcome = lambda parts, kind, status: F.struct(parts.alias("parts"), F.lit(kind).cast("string").alias("kind"), F.lit(status).cast("string").alias("status"))
+def _entry(row: Column, label: Column, value: Column, closed: bool, wall: Column | None = None) -> Column:
+    return F.struct(row["row_no"].alias("row_no"), label.alias("label"), value.alias("value"), row["x0"].alias("x0"), row["top"].alias("top"), F.lit(closed).alias("closed"), (F.lit(False) if wall is None else wall).alias("wall"))
 
-    def ends() -> Column:
-        upward = F.reverse(_last(entries, F.least(F.size(entries), F.lit(LOOK_BACK))))
-        reach = F.least(F.size(upward), _before_first(F.transform(upward, lambda e: e["wall"])) + 1)
-        lengths = F.when(reach > 0, F.sequence(F.lit(1), reach)).otherwise(F.array().cast("array<int>"))
-        return F.filter(lengths, lambda n: adds_up(_sum(F.slice(upward, 1, n)), n))
 
-    def of_total(found: Column) -> Column:
-        rest = F.when(F.size(plain) > 0, plain).otherwise(_last(groups, F.least(F.size(groups), F.lit(2))))
-        apart = _let(rest, lambda r: F.when(F.size(r) >= 2, outcome(r, "total", "error")).otherwise(outcome(none, "total", "unverified")))
-        return F.when(F.size(found) > 0, outcome(_last(entries, found[0]), "total", "ok")).otherwise(apart)
+def _check(row: Column, label: Column, kind: str, status: str, expected: Column, parts: Column) -> Column:
+    places = F.transform(parts, lambda p: F.struct(*(p[k].alias(k) for k in ("row_no", "label", "value", "x0", "top"))))
+    return F.struct(row["row_no"].alias("row_no"), label.alias("label"), F.lit(kind).alias("kind"), F.lit(status).alias("status"), row["value"].alias("stated"), expected.alias("expected"), row["x0"].alias("x0"), row["top"].alias("top"), places.alias("components"))
 
-    of_plain = _let(plain, lambda r: F.when((F.size(r) >= 2) & adds_up(_sum(r), F.size(r)), outcome(r, "implicit", "ok")).otherwise(outcome(none, None, None)))
-    return F.when(row["is_total"], _let(ends(), of_total)).when(row["is_derived"], outcome(none, None, None)).otherwise(of_plain)
 
+def _state(entries: Column, tail: Column, tail_sum: Column, checks: Column) -> Column:
+    """entries, the plain figures at their end as number and sum, and the checks so far."""
+    return F.struct(entries.alias("entries"), tail.cast("int").alias("tail"), tail_sum.alias("tail_sum"), checks.alias("checks"))
 
-def _next(state: Column, row: Column, base: float) -> Column:
-    """The entries and checks after a row."""
 
-    def after(m: Column) -> Column:
-        expected = F.when(m["status"] == "unverified", row["value"]).otherwise(_sum(m["parts"]))
-        label = F.when((m["kind"] == "implicit") & (row["label"] == ""), F.lit(IMPLICIT)).otherwise(row["label"])
-        stands = F.when(m["status"] == "error", expected).otherwise(row["value"])
-        closed = m["kind"].isNotNull() | row["is_derived"]
-        entry = F.struct(row["i"].alias("i"), row["row_no"].alias("row_no"), label.alias("label"), stands.alias("value"), row["x0"].alias("x0"), row["top"].alias("top"), closed.alias("closed"), (row["is_derived"] & ~row["is_total"]).alias("wall"))
-        left = F.filter(state["entries"], lambda e: ~F.exists(m["parts"], lambda p: p["i"] == e["i"]))
-        places = F.transform(m["parts"], lambda p: F.struct(*(p[k].alias(k) for k in ("row_no", "label", "value", "x0", "top"))))
-        check = F.struct(row["row_no"].alias("row_no"), label.alias("label"), m["kind"].alias("kind"), m["status"].alias("status"), row["value"].alias("stated"), expected.alias("expected"), row["x0"].alias("x0"), row["top"].alias("top"), places.alias("components"))
-        checks = F.when(m["kind"].isNull(), state["checks"]).otherwise(F.concat(state["checks"], F.array(check)))
-        return F.struct(F.concat(left, F.array(entry)).alias("entries"), checks.alias("checks"))
+def _closed(left: Column, entry: Column, state: Column, check: Column) -> Column:
+    return _state(F.concat(left, F.array(entry)), F.lit(0), F.lit(0.0), F.concat(state["checks"], F.array(check)))
+
+
+def _after_plain(state: Column, row: Column, base: float) -> Column:
+    label = F.when(row["label"] == "", F.lit(IMPLICIT)).otherwise(row["label"])
+    entries, n = state["entries"], state["tail"]
+    closes = _closed(F.slice(entries, 1, F.size(entries) - n), _entry(row, label, row["value"], True), state, _check(row, label, "implicit", "ok", state["tail_sum"], _last(entries, n)))
+    opens = _state(F.concat(entries, F.array(_entry(row, row["label"], row["value"], False))), n + 1, state["tail_sum"] + row["value"], state["checks"])
+    return F.when((n >= 2) & _adds_up(state["tail_sum"], n, row["value"], base), closes).otherwise(opens)
+
+
+def _after_total(state: Column, row: Column, base: float) -> Column:
+    entries, value, label = state["entries"], row["value"], row["label"]
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0).alias("found"), F.lit(False).alias("over"))
+
+    def up(acc: Column, e: Column) -> Column:
+        n, total = acc["n"] + 1, acc["total"] + e["value"]
+        fits = _adds_up(total, n, value, base)
+        # a derived figure may be the last part of an end, and nothing beyond it
+        return F.when(acc["over"], acc).otherwise(F.struct(n.alias("n"), total.alias("total"), F.when(fits, n).otherwise(0).alias("found"), (fits | e["wall"]).alias("over")))
+
+    found = F.aggregate(F.reverse(_last(entries, F.least(F.size(entries), F.lit(LOOK_BACK)))), start, up, lambda acc: acc["found"])
 
-    return _let(_measured(state, row, base), after)
+    def kept(n: Column) -> Column:
+        return F.slice(entries, 1, F.size(entries) - n)
+
+    def ok(n: Column) -> Column:
+        parts = _last(entries, n)
+        return _closed(kept(n), _entry(row, label, value, True), state, _check(row, label, "total", "ok", _sum(parts), parts))
+
+    def wrong(left: Column, parts: Column) -> Column:
+        return _let(_sum(parts), lambda expected: _closed(left, _entry(row, label, expected, True), state, _check(row, label, "total", "error", expected, parts)))
+
+    unverified = _closed(entries, _entry(row, label, value, True), state, _check(row, label, "total", "unverified", value, F.slice(entries, 1, 0)))
+    of_plain = F.when(state["tail"] >= 2, wrong(kept(state["tail"]), _last(entries, state["tail"]))).otherwise(unverified)
+    groups = F.filter(F.transform(entries, lambda e, i: F.when(e["closed"] & ~e["wall"], i).otherwise(-1)), lambda i: i >= 0)
+    of_groups = _let(_last(groups, F.least(F.size(groups), F.lit(2))), lambda at: F.when(F.size(at) < 2, unverified).otherwise(wrong(F.filter(entries, lambda e, i: ~F.array_contains(at, i)), F.filter(entries, lambda e, i: F.array_contains(at, i)))))
+    return _let(found, lambda n: F.when(n > 0, ok(n)).when(state["tail"] > 0, of_plain).otherwise(of_groups))
+
+
+def _next(state: Column, row: Column, base: float) -> Column:
+    derived = _state(F.concat(state["entries"], F.array(_entry(row, row["label"], row["value"], True, F.lit(True)))), F.lit(0), F.lit(0.0), state["checks"])
+    return F.when(row["is_total"], _after_total(state, row, base)).when(row["is_derived"], derived).otherwise(_after_plain(state, row, base))
 
 
 def column_checks(cells: DataFrame, base_tolerance: float = 1.0) -> DataFrame:
@@ -105,16 +122,15 @@ def column_checks(cells: DataFrame, base_tolerance: float = 1.0) -> DataFrame:
     top, components. Cells without a value count for nothing.
     """
     rows = cells.where("value is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("page_index").cast("int").alias("page_index"), F.col("column").cast("int").alias("column"),
+        "doc_id", F.col("page_index").cast("int").alias("page_index"), F.col("column").cast("int").alias("column"),
         F.struct(
             F.col("row_no").cast("int").alias("row_no"), F.coalesce("label", F.lit("")).alias("label"), F.col("value").cast("double").alias("value"), F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"),
             F.coalesce(num.is_total(F.col("label")), F.lit(False)).alias("is_total"), F.coalesce(num.is_derived(F.col("label")), F.lit(False)).alias("is_derived"),
         ).alias("row"),
     )
     columns = rows.groupBy(*_KEY).agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    numbered = F.transform("rows", lambda r, i: r.withField("i", i.cast("int")))
-    start = F.struct(F.array().cast(f"array<{_ENTRY}>").alias("entries"), F.array().cast(f"array<{_CHECK}>").alias("checks"))
-    folded = F.aggregate(numbered, start, lambda state, row: _next(state, row, base_tolerance), lambda state: state["checks"])
+    start = _state(F.array().cast(f"array<{_ENTRY}>"), F.lit(0), F.lit(0.0), F.array().cast(f"array<{_CHECK}>"))
+    folded = F.aggregate("rows", start, lambda state, row: _next(state, row, base_tolerance), lambda state: state["checks"])
     return columns.select(*_KEY, F.inline(folded))
 
 

@@ -99,29 +99,67 @@ def reconcile(live: DataFrame, rest: DataFrame, keys: list[str], price_tolerance
     return rows.withColumn("relative_error", error).where((F.col("relative_error") > limit) & ~F.isnan("relative_error"))
 
 
-def finding(rows: DataFrame, keys: list[str], check: str, severity: Column, at: str, message: Column) -> DataFrame:
-    """One finding a series: count, and the first ten different places; the others are dropped as soon as they are ranked."""
-    places = rows.groupBy(*keys, at).agg(F.count("*").alias("c"))
-    counts = places.groupBy(*keys).agg(F.sum("c").alias("n"))
-    first = places.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(at))).where("_r <= 10")
-    firsts = first.groupBy(*keys).agg(F.array_sort(F.collect_list(at)).alias("places"))
-    return counts.join(firsts, keys).select(*keys, F.lit(check).alias("check"), severity.alias("severity"), "n", message.alias("message"), "places")
+#: Checks in the order of a report: severity and message.
+CHECKS = {
+    "missing_bars": ("warning", "%d bar(s) missing"),
+    "unexpected_bars": ("warning", "%d bar(s) outside sessions"),
+    "duplicate_bars": ("error", "%d duplicated timestamp(s)"),
+    "out_of_order": ("error", "%d row(s) out of order"),
+    "invalid_ohlc": ("error", "%d invalid bar(s)"),
+    "suspected_unadjusted_action": ("error", "%d suspected unadjusted action(s)"),
+}
 
 
 def check_bars(bars: DataFrame, keys: list[str], grid: DataFrame, grid_with_specials: DataFrame, calendar: DataFrame, max_missing: float = 0.02, threshold: float = 0.2, known: DataFrame | None = None) -> DataFrame:
-    """All findings of daily bars (keys, ts, day, bar, seq, open..volume): keys, check, severity, n, message, places (days)."""
-    slots = grid.count()
-    n = F.col("n")
-    parts = [
-        finding(missing_bars(bars, grid, keys, ["day", "bar"]), keys, "missing_bars", F.when(n > max_missing * slots, "error").otherwise("warning"), "day", F.format_string("%d bar(s) missing", n)),
-        finding(unexpected_bars(bars, grid_with_specials, ["day", "bar"]), keys, "unexpected_bars", F.lit("warning"), "day", F.format_string("%d bar(s) outside sessions", n)),
-        finding(duplicate_keys(bars, [*keys, "ts", "day"]).drop("n"), keys, "duplicate_bars", F.lit("error"), "day", F.format_string("%d duplicated timestamp(s)", n)),
-        finding(out_of_order(bars, keys), keys, "out_of_order", F.lit("error"), "day", F.format_string("%d row(s) out of order", n)),
-        finding(invalid_bars(bars), keys, "invalid_ohlc", F.lit("error"), "day", F.format_string("%d invalid bar(s)", n)),
-        finding(suspected_actions(bars, keys, threshold, known), keys, "suspected_unadjusted_action", F.lit("error"), "day", F.format_string("%d suspected unadjusted action(s)", n)),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All findings of bars (keys, ts, day, bar, seq, open..volume): keys, check, severity, n, message, places (the first ten days).
+
+    The bars are read and shuffled once. A series is sorted by time and by arrival; its rows carry a mark for each check, which
+    are counted by day and then by series. Grids are broadcast: a bar learns from one row of them whether its slot is expected
+    and allowed. Missing are the expected slots less those found, on the days that have fewer than they should. A slot of grid
+    that grid_with_specials lacks is allowed too.
+    """
+    slot = ["day", "bar"]
+    slots = grid_with_specials.select(*slot, F.lit(0).alias("_want")).unionByName(grid.select(*slot, F.lit(1).alias("_want")))
+    slots = slots.groupBy(*slot).agg(F.max("_want").alias("_want"))
+    wanted = grid.select(*slot).distinct().groupBy("day").agg(F.count("*").alias("_day_wants"))
+    whole = F.broadcast(wanted.agg(F.coalesce(F.sum("_day_wants"), F.lit(0)).alias("_slots"), F.coalesce(F.collect_list("day"), F.array()).alias("_days")))
+    rows = bars.join(F.broadcast(slots), slot, "left").join(F.broadcast(wanted), "day", "left")
+    if known is not None:
+        rows = rows.join(known.select(*keys, "day").distinct().withColumn("_known", F.lit(True)), [*keys, "day"], "left")
+    time = W.partitionBy(*keys).orderBy("day", "ts", "seq")
+    arrival = W.partitionBy(*keys).orderBy("seq")
+    real = (F.col("close") > 0) & ~F.isnan("close")
+    last_close = F.last(F.when(real, F.ln("close")), ignorenulls=True).over(time.rowsBetween(W.unboundedPreceding, -1))
+    again = lambda n: F.lag(F.struct("day", "ts"), n).over(time) == F.struct("day", "ts")
+    marks = {
+        "unexpected_bars": F.col("_want").isNull(),
+        "duplicate_bars": again(1) & ~F.coalesce(again(2), F.lit(False)),
+        "out_of_order": F.col("ts") < F.lag("ts").over(arrival),
+        "invalid_ohlc": invalid_reasons() != "",
+        "suspected_unadjusted_action": real & (F.abs(F.ln("close") - last_close) >= threshold) & (F.col("_known").isNull() if known is not None else F.lit(True)),
+    }
+    rows = rows.select(*keys, "day", "bar", "_want", "_day_wants", *(F.coalesce(m, F.lit(False)).alias(c) for c, m in marks.items()))
+    found = F.size(F.collect_set(F.when(F.col("_want") == 1, F.col("bar"))))
+    by_day = rows.groupBy(*keys, "day").agg(found.alias("_found"), F.first("_day_wants").alias("_day_wants"), *(F.count_if(c).alias(c) for c in marks))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.col("day"))))
+    complete = F.collect_list(F.when(F.col("_found") == F.col("_day_wants"), F.col("day")))
+    series = by_day.groupBy(*keys).agg(F.sum("_found").alias("_found"), complete.alias("_complete"), *(F.struct(F.sum(c).alias("n"), listed(c).alias("places")).alias(c) for c in marks))
+    series = series.join(whole).withColumn("missing_bars", F.struct((F.col("_slots") - F.col("_found")).alias("n"), F.array_sort(F.array_except("_days", "_complete")).alias("places")))
+
+    def outcome(check: str) -> Column:
+        severity, message = CHECKS[check]
+        n = F.col(check)["n"]
+        level = F.when(n > max_missing * F.col("_slots"), "error").otherwise(severity) if check == "missing_bars" else F.lit(severity)
+        return F.struct(F.lit(check).alias("check"), level.alias("severity"), n.alias("n"), F.format_string(message, n).alias("message"), F.slice(F.col(check)["places"], 1, 10).alias("places"))
+
+    return series.select(*keys, F.inline(F.filter(F.array(*map(outcome, CHECKS)), lambda x: x["n"] > 0)))
+
+
+def totals() -> list[Column]:
+    """errors, warnings and is_clean of findings, as aggregates."""
+    errors = F.count_if(F.col("severity") == "error")
+    return [errors.alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), (errors == 0).alias("is_clean")]
 
 
 def report_totals(findings: DataFrame, keys: list[str]) -> DataFrame:
-    return findings.groupBy(*keys).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings")).withColumn("is_clean", F.col("errors") == 0)
+    return findings.groupBy(*keys).agg(*totals())

@@ -323,18 +323,21 @@ def reconcile_fields(spark, d):
     return got.select(F.col("symbol").alias("user_id"), "day", "field", F.round("relative_error", 9).alias("relative_error"))
 
 
-@query(f"""WITH {_CTE}, {_MOVES}, x AS (
-SELECT symbol, 'missing_bars' AS c, CASE WHEN count(*) > 0.02 * (SELECT count(*) FROM trading) THEN 'error' ELSE 'warning' END AS severity, count(*) AS n FROM (SELECT DISTINCT symbol FROM daily) u, trading t
-  WHERE NOT EXISTS (SELECT 1 FROM daily x WHERE x.symbol = u.symbol AND x.day = t.day) GROUP BY symbol
-UNION ALL SELECT symbol, 'suspected_unadjusted_action', 'error', count(*) FROM m WHERE abs(r) >= 1.5 GROUP BY symbol
-UNION ALL SELECT symbol, 'invalid_ohlc', 'error', count(*) FROM daily WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 GROUP BY symbol)
-SELECT symbol AS user_id, count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count_if(severity = 'error') = 0 AS is_clean, string_agg(c || '=' || n, ';' ORDER BY c) AS counts FROM x GROUP BY symbol""")
+@query(f"""WITH {_CTE}, {_MOVES}, gone AS (SELECT symbol, t.day FROM (SELECT DISTINCT symbol FROM daily) u, trading t WHERE NOT EXISTS (SELECT 1 FROM daily x WHERE x.symbol = u.symbol AND x.day = t.day)),
+x AS (SELECT symbol, 'missing_bars' AS c, CASE WHEN count(*) > 0.02 * (SELECT count(*) FROM trading) THEN 'error' ELSE 'warning' END AS severity, count(*) AS n, count(*) || ' bar(s) missing' AS message, list(DISTINCT day ORDER BY day)[:10] AS places FROM gone GROUP BY symbol
+UNION ALL SELECT symbol, 'suspected_unadjusted_action', 'error', count(*), count(*) || ' suspected unadjusted action(s)', list(DISTINCT day ORDER BY day)[:10] FROM m WHERE abs(r) >= 1.5 GROUP BY symbol
+UNION ALL SELECT symbol, 'invalid_ohlc', 'error', count(*), count(*) || ' invalid bar(s)', list(DISTINCT day ORDER BY day)[:10] FROM daily WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 GROUP BY symbol)
+SELECT symbol AS user_id, count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count_if(severity = 'error') = 0 AS is_clean, string_agg(c || '=' || n, ';' ORDER BY c) AS counts,
+  string_agg(message, ';' ORDER BY c) AS messages, string_agg(array_to_string(places, ','), ';' ORDER BY c) AS places FROM x GROUP BY symbol""")
 def integrity_summary(spark, d):
     days = cal.days_of(_read(spark, d, "events"))
     bars = daily(spark, d).withColumn("seq", F.unix_date("day"))
     found = integrity.check_bars(bars, ["symbol"], cal.bar_grid(days, "1d"), cal.bar_grid(days, "1d", True), days, threshold=1.5)
-    counts = found.groupBy("symbol").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "check", "n"))), ";").alias("counts"))
-    return integrity.report_totals(found, ["symbol"]).join(counts, "symbol").withColumnRenamed("symbol", "user_id")
+    each = F.array_sort(F.collect_list(F.struct("check", "n", "message", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))))
+    joined = lambda f: F.array_join(F.transform("each", f), ";")
+    texts = found.groupBy("symbol").agg(each.alias("each"), *integrity.totals())
+    texts = texts.select("symbol", "errors", "warnings", "is_clean", joined(lambda x: F.concat_ws("=", x["check"], x["n"])).alias("counts"), joined(lambda x: x["message"]).alias("messages"), joined(lambda x: x["places"]).alias("places"))
+    return texts.withColumnRenamed("symbol", "user_id")
 
 
 @query("SELECT event_id, user_id, ts, value FROM events WHERE ts >= TIMESTAMP '2024-01-08 09:15:00' AND ts <= TIMESTAMP '2024-01-12 15:30:00'")
