@@ -462,12 +462,66 @@ def footing_reconcile_static(spark, d):
     return footing.reconcile_static(items.withColumn("target", goal), ["l_orderkey"], "row_no")
 
 
-@query()
-def footing_fold(spark, d):
-    got = footing.analyze(_statements(spark, d))
+def _folded(rows: str) -> str:
+    """SQL of all checks over r (doc, n, row_no, label, value, total, derived): the table of operators.footing, a row a step."""
+    money = lambda x: f"format('{{:,}}', CAST({x} AS BIGINT))"
+    near = lambda total, n: f"abs({total} - value) <= 1 + 0.5 * {n} + 1e-9 * abs(value)"
+    return f"""WITH RECURSIVE {rows},
+w AS (SELECT doc, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS v, CAST([] AS VARCHAR[]) AS labels, CAST([] AS BOOLEAN[]) AS closed, CAST([] AS BOOLEAN[]) AS wall,
+  0 AS row_no, '' AS label, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS status, 0.0::DOUBLE AS stated, 0.0::DOUBLE AS expected, 0 AS components, '' AS parts FROM (SELECT DISTINCT doc FROM r)
+UNION ALL SELECT doc, n, list_filter(v, lambda x, i: NOT list_contains(pos, i)) || [CASE WHEN total AND k IS NULL AND len(pos) >= 2 THEN list_sum(list_select(v, pos)) ELSE value END],
+  list_filter(labels, lambda x, i: NOT list_contains(pos, i)) || [label], list_filter(closed, lambda x, i: NOT list_contains(pos, i)) || [total OR derived OR len(pos) > 0], list_filter(wall, lambda x, i: NOT list_contains(pos, i)) || [derived],
+  row_no, label, CASE WHEN total THEN 'total' WHEN len(pos) > 0 THEN 'implicit' END, CASE WHEN total AND k IS NULL THEN CASE WHEN len(pos) >= 2 THEN 'error' ELSE 'unverified' END ELSE 'ok' END,
+  value, CASE WHEN len(pos) > 0 THEN list_sum(list_select(v, pos)) ELSE value END, CAST(len(pos) AS INTEGER), array_to_string(list_transform(pos, lambda i: labels[i] || ' (' || {money('v[i]')} || ')'), ' + ')
+FROM (SELECT *, CAST(CASE WHEN total AND k IS NOT NULL THEN range(len(v) - k + 1, len(v) + 1) WHEN total AND tail >= 2 THEN range(len(v) - tail + 1, len(v) + 1) WHEN total AND tail = 0 AND len(g) >= 2 THEN g[-2 :]
+    WHEN NOT total AND NOT derived AND tail >= 2 AND {near('list_sum(v[-tail :])', 'tail')} THEN range(len(v) - tail + 1, len(v) + 1) ELSE [] END AS BIGINT[]) AS pos
+  FROM (SELECT w.doc, r.n, r.row_no, r.label, r.value, total, derived, v, labels, closed, wall, coalesce(nullif(list_position(list_reverse(closed), true), 0) - 1, len(v)) AS tail, list_filter(range(1, len(v) + 1), lambda i: closed[i] AND NOT wall[i]) AS g,
+    CASE WHEN total THEN list_filter(range(1, least(len(v), 80, coalesce(nullif(list_position(list_reverse(wall), true), 0), 80)) + 1), lambda q: {near('list_sum(v[-q :])', 'q')})[1] END AS k FROM w JOIN r ON r.doc = w.doc AND r.n = w.n + 1)))
+SELECT doc AS doc_id, row_no, label, kind, status, stated, round(expected, 4) AS expected, components,
+  CASE status WHEN 'ok' THEN 'Adds up: ' || {money('stated')} || ' = ' || parts WHEN 'unverified' THEN 'Total ' || {money('stated')} || ': its items could not be told apart'
+  ELSE 'Does not add up: stated ' || {money('stated')} || ', items give ' || {money('expected')} || ' (off by ' || {money('stated - expected')} || '). Items: ' || parts END AS message
+FROM w WHERE kind IS NOT NULL"""
+
+
+def _checked(cells: DataFrame) -> DataFrame:
+    got = footing.analyze(cells)
     return got.select("doc_id", "row_no", "label", "kind", "status", "stated", F.round("expected", 4).alias("expected"), F.size("components").alias("components"), "message")
 
 
+@query(
+    _folded("""i AS (SELECT l_orderkey AS doc, CAST(round_even(l_extendedprice, 0) AS DOUBLE) AS value, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, round_even(l_extendedprice, 0)) AS n FROM lineitem),
+r AS (SELECT doc, n, CAST(n AS INTEGER) AS row_no, 'Item' AS label, value, false AS total, false AS derived FROM i UNION ALL SELECT doc, count(*) + 1, 9999, 'Total', sum(value) + CASE WHEN doc % 5 = 0 THEN 1000.0 ELSE 0.0 END, true, false FROM i GROUP BY doc)""")
+)
+def footing_fold(spark, d):
+    return _checked(_statements(spark, d))
+
+
+def _ledgers(spark, d) -> DataFrame:
+    """A supplier's lines as one long column: subtotals in it without a name, a total after every ten lines and one over four of
+    those, derived figures, totals that are off, and for every third supplier totals over more lines than are looked back on."""
+    lines = _read(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.rint("l_extendedprice").alias("x"), "l_orderkey", "l_linenumber", "l_partkey")
+    order = W.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "x")
+    back = lambda n: F.coalesce(F.sum("x").over(order.rowsBetween(-n, -1)), F.lit(0.0))
+    n, long, even = F.col("row_no"), F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0
+    rows = lines.select("doc_id", "x", F.row_number().over(order).alias("row_no"), *(back(k).alias(f"s{k}") for k in (4, 10, 43, 199)), F.coalesce(F.lag("x", 6).over(order), F.lit(0.0)).alias("x6"))
+    off = F.when(n % 44 == 0, 500.0).otherwise(0.0)
+    label = F.when(n % 97 == 0, "Net income").when(long, F.when(n % 200 == 0, "Total").otherwise("Item")).when((n % 11 == 0) | ((n > 44) & (n % 44 == 1)), "Total").otherwise("Item")
+    value = F.when(n % 97 == 0, F.col("x")).when(long, F.when(n % 200 == 0, F.col("s199")).otherwise(F.col("x"))).when(n % 11 == 0, F.col("s10") - F.when(even, F.col("x6")).otherwise(0.0) + off).when((n > 44) & (n % 44 == 1), F.col("s43")).when(even & (n % 11 == 5), F.col("s4")).otherwise(F.col("x"))
+    return rows.select("doc_id", F.lit(0).alias("page_index"), F.lit(0).alias("column"), "row_no", label.alias("label"), value.alias("value"), F.lit(100.0).alias("x0"), (n * 12.0).alias("top"))
+
+
+@query(
+    _folded("""l AS (SELECT l_suppkey AS doc, CAST(round_even(l_extendedprice, 0) AS DOUBLE) AS x, l_orderkey, l_linenumber, l_partkey FROM lineitem),
+s AS (SELECT doc, x, row_number() OVER o AS n, coalesce(sum(x) OVER (o ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 0.0) AS s4, coalesce(sum(x) OVER (o ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0.0) AS s10, coalesce(sum(x) OVER (o ROWS BETWEEN 43 PRECEDING AND 1 PRECEDING), 0.0) AS s43,
+  coalesce(sum(x) OVER (o ROWS BETWEEN 199 PRECEDING AND 1 PRECEDING), 0.0) AS s199, coalesce(lag(x, 6) OVER o, 0.0) AS x6 FROM l WINDOW o AS (PARTITION BY doc ORDER BY l_orderkey, l_linenumber, l_partkey, x)),
+t AS (SELECT *, CASE WHEN n % 97 = 0 THEN 'Net income' WHEN doc % 3 = 0 THEN CASE WHEN n % 200 = 0 THEN 'Total' ELSE 'Item' END WHEN n % 11 = 0 OR (n > 44 AND n % 44 = 1) THEN 'Total' ELSE 'Item' END AS label FROM s),
+r AS (SELECT doc, n, CAST(n AS INTEGER) AS row_no, label, CASE WHEN n % 97 = 0 THEN x WHEN doc % 3 = 0 THEN CASE WHEN n % 200 = 0 THEN s199 ELSE x END WHEN n % 11 = 0 THEN s10 - CASE WHEN doc % 2 = 0 THEN x6 ELSE 0.0 END + CASE WHEN n % 44 = 0 THEN 500.0 ELSE 0.0 END
+  WHEN n > 44 AND n % 44 = 1 THEN s43 WHEN doc % 2 = 0 AND n % 11 = 5 THEN s4 ELSE x END AS value, label = 'Total' AS total, label = 'Net income' AS derived FROM t)""")
+)
+def footing_ledgers(spark, d):
+    return _checked(_ledgers(spark, d))
+
+
 @query("""WITH RECURSIVE i AS (SELECT l_orderkey AS doc, CAST(round_even(l_extendedprice, 0) AS DOUBLE) AS value, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, round_even(l_extendedprice, 0)) AS n FROM lineitem),
 r AS (SELECT doc, n, value, false AS total FROM i UNION ALL SELECT doc, count(*) + 1, sum(value) + CASE WHEN doc % 5 = 0 THEN 1000.0 ELSE 0.0 END, true FROM i GROUP BY doc),
 w AS (SELECT doc, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS v, CAST([] AS BOOLEAN[]) AS closed, 0 AS checks, 0 AS figures, 0 AS unverified, 0 AS errors FROM (SELECT DISTINCT doc FROM r)
