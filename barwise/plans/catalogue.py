@@ -6,6 +6,7 @@ tables' timestamps have no zone and are read as the exchange's wall clock.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -593,8 +594,12 @@ def pages_table_symbols(spark, d):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share; a local one where the session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-barwise-")
+    """A new folder that driver and executors share: in the session's, or a local one where all are one process, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-barwise-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 

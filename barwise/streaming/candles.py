@@ -122,9 +122,9 @@ def candle_stream(ticks: DataFrame, calendar: DataFrame, timeframes: str | list[
 def store_candles(stream: DataFrame, store: BarStore, exchange: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Writes the closed bars of candle_stream() to a bar store, a batch at a time; a batch that is repeated changes nothing."""
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         bars = batch.where("kind = 'candle'").withColumn("ts", cal.at_second(F.col("day"), F.col("bar"), "timestamp"))
-        store.write(bars.select(F.lit(exchange).alias("exchange"), F.col("key").alias("symbol"), "timeframe", "ts", "open", "high", "low", "close", "volume", F.col("open_interest").alias("oi")))
+        store.write(bars.select(F.lit(exchange).alias("exchange"), F.col("key").alias("symbol"), "timeframe", "ts", "open", "high", "low", "close", "volume", F.col("open_interest").alias("oi")), batch=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
