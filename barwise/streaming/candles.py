@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import UTC
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -119,16 +119,37 @@ def candle_stream(ticks: DataFrame, calendar: DataFrame, timeframes: str | list[
     return rows.groupBy("key", "timeframe").transformWithState(statefulProcessor=CandleProcessor(peek), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
+def _as_bars(rows: DataFrame, exchange: str) -> DataFrame:
+    ts = cal.at_second(F.col("day"), F.col("bar"), "timestamp").alias("ts")
+    return rows.select(F.lit(exchange).alias("exchange"), F.col("key").alias("symbol"), "timeframe", ts, "open", "high", "low", "close", "volume", F.col("open_interest").alias("oi"))
+
+
 def store_candles(stream: DataFrame, store: BarStore, exchange: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Writes the closed bars of candle_stream() to a bar store, a batch at a time; a batch that is repeated changes nothing."""
 
     def put(batch: DataFrame, number: int) -> None:
-        bars = batch.where("kind = 'candle'").withColumn("ts", cal.at_second(F.col("day"), F.col("bar"), "timestamp"))
-        store.write(bars.select(F.lit(exchange).alias("exchange"), F.col("key").alias("symbol"), "timeframe", "ts", "open", "high", "low", "close", "volume", F.col("open_interest").alias("oi")), batch=(checkpoint, number))
+        store.write(_as_bars(batch.where("kind = 'candle'"), exchange), batch=(checkpoint, number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
+def open_bars(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The bars that a stopped candle_stream() query had not closed, as OUTPUT rows of kind 'candle': what a shutdown flushes.
+
+    They are read from the query's own state, so nothing is lost and the query can be started again from where it was.
+    """
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "bar").load().select("key.key", "key.timeframe", "value.*").where("bar IS NOT NULL")
+    volume = F.when(F.col("last_cum").isNull(), F.col("printed")).otherwise(F.greatest(F.lit(0), F.col("last_cum") - F.col("base")))
+    made = {"volume": volume, "volume_estimated": F.col("estimated"), "open_interest": F.col("oi"), "kind": F.lit("candle"), "reason": F.lit(None)}
+    pairs = (f.split(" ") for f in OUTPUT.split(", "))
+    return held.select(*(made.get(n, F.col(n)).cast(kind).alias(n) for n, kind in pairs))
+
+
+def flush_to_store(spark: SparkSession, checkpoint: str, store: BarStore, exchange: str) -> int:
+    """Stores all open bars of a stopped query; its own later closing of a bar replaces what is stored here."""
+    return store.write(_as_bars(open_bars(spark, checkpoint), exchange))
+
+
 # The state of a live feed as expressions over (phase, connected, data_age_s, disconnected_s, attempts).
 
 
@@ -148,7 +169,7 @@ def feed_state(phase: Column, connected: Column, age_s: Column, disconnected_s:
     """idle, pre_open, connecting, live, stale, rest_fallback or halted."""
     return (
         F.when(desired_state(phase) != "live", desired_state(phase))
-        .when(attempts > max_attempts, "halted")
+        .when(attempts >= max_attempts, "halted")
         .when(~connected, F.when(wants_rest(disconnected_s), "rest_fallback").otherwise("connecting"))
         .when(wants_rest(age_s), "rest_fallback")
         .when(is_stale(age_s), "stale")
