@@ -1,13 +1,12 @@
 """Words on a page to labelled rows with figures in columns.
 
-Words of one page form one group: rows are gathered greedily around the first word of each, which needs their order. The
-groups are pages, so the work spreads by documents and pages; clustering of column edges, column choice and indents are
-window functions over the rows.
+Words of one page form one array: rows are gathered greedily around the first word of each, which needs their order, in one sweep
+down the page. The work spreads by documents and pages; clustering of column edges, column choice and indents are window
+functions over the rows.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,33 +18,37 @@ ROW_TOLERANCE, MERGE_GAP, COLUMN_GAP = 3.0, 7.0, 18.0
 _PAGE = ["doc_id", "page_index"]
 
 
-def row_numbers(tolerance: float = ROW_TOLERANCE):
-    """Group function for applyInArrow: row_no of each word. A word joins the first row whose first word is near enough."""
+_WORD = "struct<y:double,x0:double,x1:double,top:double,bottom:double,text:string>"
 
-    def run(words: pa.Table) -> pa.Table:
-        top, x0 = words.column("top").to_pylist(), words.column("x0").to_pylist()
-        anchors: list[float] = []
-        out = [0] * len(top)
-        for i in sorted(range(len(top)), key=lambda i: (round(top[i]), x0[i])):
-            for k, a in enumerate(anchors):
-                if abs(a - top[i]) <= tolerance:
-                    out[i] = k
-                    break
-            else:
-                out[i] = len(anchors)
-                anchors.append(top[i])
-        return words.append_column("row_no", pa.array(out, pa.int32()))
 
-    return run
+def page_rows(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
+    """(doc_id, page_index, row_no, ws): each page's rows of words, in the order in which they begin, the words of a row by place.
+
+    Words come by rounded top and x0, and each joins the first row whose first word is near enough. First words are further apart
+    than the tolerance, and later ones lie lower, so at most the last two rows can take a word; all before them are complete.
+    """
+    w = F.struct(F.rint("top").alias("y"), *(F.col(c) for c in ("x0", "x1", "top", "bottom", "text")))
+    pages = words.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(w)).alias("ws"))
+    none = F.array().cast(f"array<{_WORD}>")
+    start = F.struct(F.array().cast(f"array<array<{_WORD}>>").alias("done"), none.alias("upper"), none.alias("lower"))
+
+    def step(acc: Column, x: Column) -> Column:
+        takes = lambda row: (F.size(row) > 0) & (F.abs(F.try_element_at(row, F.lit(1))["top"] - x["top"]) <= tolerance)
+        state = lambda done, upper, lower: F.struct(done.alias("done"), upper.alias("upper"), lower.alias("lower"))
+        upper, lower, one = acc["upper"], acc["lower"], F.array(x)
+        done = F.when(F.size(upper) > 0, F.concat(acc["done"], F.array(upper))).otherwise(acc["done"])
+        return F.when(takes(upper), state(acc["done"], F.concat(upper, one), lower)).when(takes(lower), state(acc["done"], upper, F.concat(lower, one))).otherwise(state(done, lower, one))
+
+    rows = F.aggregate("ws", start, step, lambda acc: F.concat(acc["done"], F.filter(F.array(acc["upper"], acc["lower"]), lambda r: F.size(r) > 0)))
+    plain = F.transform("ws", lambda x: F.struct(*(x[c].alias(c) for c in ("x0", "x1", "top", "bottom", "text"))))
+    return pages.select(*_PAGE, F.posexplode(rows).alias("row_no", "ws")).withColumn("ws", F.array_sort(plain))
 
 
-def merged_words(words: DataFrame, merge_all: bool = False) -> DataFrame:
-    """Words (with row_no and bbox) after joining neighbours that are parts of one figure, one row each, numbered by position.
+def merged_words(rows: DataFrame, merge_all: bool = False) -> DataFrame:
+    """The words of page_rows() after joining neighbours that are parts of one figure, one row each, numbered by position.
 
     A merged text holds a space and so takes no third part, unless merge_all.
     """
-    w = F.struct(*(F.col(c) for c in ("x0", "x1", "top", "bottom", "text")))
-    line = words.groupBy(*_PAGE, "row_no").agg(F.array_sort(F.collect_list(w)).alias("ws"))
 
     def joinable(text: Column) -> Column:
         return num.is_numberish(F.regexp_replace(text, " ", "") if merge_all else text)
@@ -57,7 +60,7 @@ def merged_words(words: DataFrame, merge_all: bool = False) -> DataFrame:
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(F.concat(acc, F.array(x)))
 
     empty = F.array().cast("array<struct<x0:double,x1:double,top:double,bottom:double,text:string>>")
-    line = line.withColumn("ws", F.aggregate("ws", empty, step))
+    line = rows.withColumn("ws", F.aggregate("ws", empty, step))
     return line.select(*_PAGE, "row_no", F.posexplode("ws").alias("position", "w")).select(*_PAGE, "row_no", "position", "w.*")
 
 
@@ -88,9 +91,7 @@ def table_rows(words: DataFrame, merge_all: bool = False) -> DataFrame:
 
     Columns are learned from rows that are not headers; of two figures in one column the left one stays.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", row_no int"
-    numbered = words.groupBy(*_PAGE).applyInArrow(row_numbers(), schema)
-    parts = merged_words(numbered, merge_all).withColumn("value", num.parse_number(F.col("text")))
+    parts = merged_words(page_rows(words), merge_all).withColumn("value", num.parse_number(F.col("text")))
     part = F.struct("position", "text", "value", "x0", "x1", "top", "bottom")
     rows = parts.groupBy(*_PAGE, "row_no").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.min("top").alias("top"), F.max("bottom").alias("bottom"))
     label_of = lambda ps: F.trim(F.array_join(F.transform(ps, lambda p: p["text"]), " "))

@@ -19,7 +19,7 @@ from barwise.functions import numbers as num
 from barwise.operators import actions as act
 from barwise.operators import bars as ops
 from barwise.operators import footing, ingest, integrity, layout
-from barwise.sources import replay, vendor
+from barwise.sources import html_tables, replay, vendor
 from barwise.sources.store import BarStore
 from barwise.streaming import candles
 
@@ -621,7 +621,7 @@ def html_table_symbols(spark, d):
     """Symbols out of HTML tables that are made of the parts."""
     cells = F.concat(F.lit("<tr><td>"), F.col("p_name"), F.lit("</td><td>"), F.col("p_brand"), F.lit("</td></tr>"))
     pages = _read(spark, d, "part").groupBy((F.col("p_partkey") % 50).alias("page_id")).agg(F.array_join(F.sort_array(F.collect_list(cells)), "").alias("rows"))
-    return vendor.symbols_from_tables(pages.select("page_id", F.concat(F.lit("<table><tr><th>Name</th><th>Symbol</th></tr>"), "rows", F.lit("</table>")).alias("html")))
+    return html_tables.symbols_from_tables(pages.select("page_id", F.concat(F.lit("<table><tr><th>Name</th><th>Symbol</th></tr>"), "rows", F.lit("</table>")).alias("html")))
 
 
 @query("SELECT event_id, 'NSE:U' || user_id AS instrument_key, value AS last_price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS last_quantity FROM events WHERE user_id % 5 <> 0")

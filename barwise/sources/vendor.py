@@ -117,16 +117,3 @@ def fetch(plan: DataFrame, client: Callable[[dict], list[dict]], per_second: flo
 def ingest_log(fetched: DataFrame) -> DataFrame:
     """(exchange, symbol, timeframe, chunk, rows, first_ts, last_ts, error) of fetched bars, for operators.ingest.ingest_summary()."""
     return fetched.groupBy("exchange", "symbol", "timeframe", "chunk").agg(F.count("ts").alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max("error").alias("error"))
-
-
-def symbols_from_tables(pages: DataFrame, suffix: str = ".NS") -> DataFrame:
-    """(page_id, symbol, ticker): the cells of the first table column headed symbol or ticker, in pages (page_id, html)."""
-    table = F.regexp_extract("html", r"(?is)<table[^>]*>((?:(?!</table>).)*?<th[^>]*>[^<]*(?:symbol|ticker)[^<]*</th>.*?)</table>", 1)
-    rows = F.expr("regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1)")
-    heads = F.transform(F.expr("regexp_extract_all(rows[0], '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1)"), lambda c: F.lower(F.trim(c)))
-    own = pages.select("page_id", table.alias("t")).where("t <> ''").withColumn("rows", rows).withColumn("heads", heads)
-    at = F.array_position(F.transform("heads", lambda c: c.rlike("symbol|ticker")), True)
-    own = own.withColumn("at", at.cast("int")).select("page_id", "at", F.explode(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row"))
-    cell = F.try_element_at(F.expr("regexp_extract_all(row, '(?is)<td[^>]*>(.*?)</td>', 1)"), F.col("at"))
-    own = own.select("page_id", F.trim(F.regexp_replace(cell, "<[^>]*>", "")).alias("symbol")).where("symbol <> ''")
-    return own.withColumn("ticker", F.when(F.col("symbol").rlike(r"\.(NS|BO)$"), F.col("symbol")).otherwise(F.concat("symbol", F.lit(suffix))))
