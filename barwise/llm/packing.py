@@ -1,9 +1,10 @@
 """Mixture-controlled packing of tokenized documents into windows by deficit round-robin.
 
-Every source has a queue of tokens. A window gives each queue a quantum in proportion to its target share; what a queue was
-owed and did not get (or got too much) stays in its deficit and counts in the next window. Documents are dealt to blocks by
-a hash of their id, so that no source gathers in one task and each block holds about the corpus mixture. A block begins with
-the deficits that all blocks before it leave: target share of their tokens minus the tokens of that source in them.
+Every source has a queue of tokens. A window gives each queue that holds tokens a quantum in proportion to its target share; what
+a queue was owed and did not get stays in its deficit and counts in the next window. A queue that has run empty is owed nothing,
+and its share goes to the others, so scarce sources are at their target for as long as they last. Documents are dealt to blocks
+by a hash of their id, so that no source gathers in one task and each block holds about the corpus mixture. A block opens with
+the fraction of a token by which the targets are ahead after the tokens of all blocks before it.
 
 A block's last tokens fill sequences of descending powers of two, which need no padding.
 """
@@ -26,8 +27,6 @@ WINDOW = 2048
 END_ID = 1
 #: Tokens of a block on average; a block is one task's work.
 BLOCK_TOKENS = 4_000_000
-#: Queues of their own, by tokens; smaller sources share one queue.
-MAX_QUEUES = 1024
 #: Words that an encoder keeps in each of two generations.
 _CACHE = 400_000
 # White space that other splitters see differently; a text with any of it is encoded whole.
@@ -82,11 +81,12 @@ class _Encoder:
                 low = core.lower()
             else:
                 low = "".join(c.lower() for c in unicodedata.normalize("NFC", core))
-            if len(core) < len(word):
-                ids = self._get(core) + self._get(word[len(core) :])
-                self.known[word] = ids
-                return ids
+            # letters may become letters with marks behind them, which the pre-tokenizer puts to the punctuation
             if low.isalpha():
+                if len(core) < len(word):
+                    ids = self._get(core) + self._get(word[len(core) :])
+                    self.known[word] = ids
+                    return ids
                 if not low.isascii():
                     low = "".join([_LETTERS[b] for b in low.encode()])
                 ids = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
@@ -146,21 +146,29 @@ def _sizes(total: int, window: int) -> list[int]:
 
 
 def shares(available: np.ndarray, target: np.ndarray, deficit: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Tokens of each queue in each window: deficit round-robin until the queues are empty."""
+    """Tokens of each queue in each window: deficit round-robin until the queues are empty. Queues without a target come last."""
     left, owed = available.copy(), deficit.astype(float).copy()
     out = np.zeros((len(sizes), len(left)), np.int64)
+    weight = None
     for w, room in enumerate(sizes):
-        owed += target * room
+        if weight is None or (weight > 0)[left == 0].any():
+            weight = np.where(left > 0, target, 0.0)
+            if not weight.sum():
+                weight = left.astype(float)
+            weight = weight / max(weight.sum(), 1e-300)
+            owed[weight == 0] = 0.0
+        owed += weight * room
         take = np.minimum(left, np.maximum(0, np.floor(owed))).astype(np.int64)
-        over = int(take.sum()) - room
-        if over > 0:
-            # owed more than a window holds: scale down, the rest stays owed
+        if take.sum() > room:
             take = np.floor(take * (room / take.sum())).astype(np.int64)
         room -= int(take.sum())
         while room:
-            open_ = left > take
-            weight = np.where(open_, np.maximum(target, 1e-12), 0)
-            more = np.minimum(left - take, np.floor(room * weight / weight.sum())).astype(np.int64) if room >= 64 else np.zeros_like(take)
+            # first fractions, the largest ahead; then what empty queues leave, by weight
+            open_ = (left > take) & (weight > 0)
+            if not open_.any():
+                open_ = left > take
+            part = np.where(open_, np.maximum(weight, 1e-12), 0)
+            more = np.minimum(left - take, np.floor(room * part / part.sum())).astype(np.int64) if room > len(left) else np.zeros_like(take)
             if not more.any():
                 first = np.argsort(np.where(open_, take - owed, np.inf), kind="stable")[: min(room, int(open_.sum()))]
                 more[first] = 1
@@ -168,29 +176,30 @@ def shares(available: np.ndarray, target: np.ndarray, deficit: np.ndarray, sizes
             room -= int(more.sum())
         out[w] = take
         left -= take
-        owed -= take
+        # what a queue got of the share of empty ones is no debt, nor is it owed anything when it is empty itself
+        owed = np.where(left > 0, np.clip(owed - take, -1.0, sizes[w]), 0.0)
     return out
 
 
-def _pack(targets: dict[str, float], window: int):
-    """One block: rows (doc_id, queue, ids, n) and its opening deficits to pieces."""
+def _pack(window: int):
+    """One block: rows (doc_id, source, ids, n) and the share and opening deficit of each source in it to pieces."""
 
     def run(docs: pa.Table, carry: pa.Table) -> pa.Table:
         columns: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source")}
         if not docs.num_rows:
             return pa.table({**{k: pa.array([], pa.int64()) for k in columns if k not in ("doc_id", "source")}, "doc_id": docs.column("doc_id"), "source": pa.array([], pa.string())})
         block = docs.column("block")[0].as_py()
-        docs = docs.sort_by([("queue", "ascending"), ("order", "ascending"), ("doc_id", "ascending"), ("n", "ascending")])
-        queue = docs.column("queue").to_pylist()
+        docs = docs.sort_by([("source", "ascending"), ("order", "ascending"), ("doc_id", "ascending"), ("n", "ascending")])
+        queue = docs.column("source").to_pylist()
         n = docs.column("n").to_numpy()
         names = list(dict.fromkeys(queue))
         bounds = np.flatnonzero([True] + [a != b for a, b in zip(queue[1:], queue[:-1], strict=True)] + [True])
         ends = np.concatenate([[0], n.cumsum()])
         available = ends[bounds[1:]] - ends[bounds[:-1]]
-        owed = dict(zip(carry.column("queue").to_pylist(), carry.column("deficit").to_pylist(), strict=True))
-        target = np.array([targets.get(q, 0.0) for q in names])
+        shared = {q: (s, d) for q, s, d in zip(*(carry.column(c).to_pylist() for c in ("source", "share", "deficit")), strict=True)}
+        target = np.array([shared[q][0] for q in names])
         sizes = _sizes(int(available.sum()), window)
-        got = shares(available, target / max(target.sum(), 1e-12), np.array([owed.get(q, 0.0) for q in names]), sizes)
+        got = shares(available, target / max(target.sum(), 1e-12), np.array([shared[q][1] for q in names]), sizes)
         offsets = got.cumsum(axis=1) - got
         ids = [np.frombuffer(x.as_buffer(), np.uint8) for chunk in docs.column("ids").chunks for x in chunk]
         doc_ids = docs.column("doc_id").combine_chunks()
@@ -214,13 +223,12 @@ def _pack(targets: dict[str, float], window: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | None = None, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS, max_queues: int = MAX_QUEUES) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, targets: dict[str | None, float] | None = None, window: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row for each piece of docs (doc_id, text, source): where it starts in its document's ids, how long it is, and where it lies.
 
-    targets weighs sources (null: corpus shares of tokens); each that it names has a queue of its own beside the max_queues
-    largest, and a source without weight comes last. A null text is empty and
-    gives the end id alone; a null source is a queue of its own. Rows that repeat a doc_id are packed each. Other columns of
-    docs are left out.
+    Every source is a queue; targets weighs them (without: corpus shares of tokens), and a source without weight comes last. A
+    null text is empty and gives the end id alone; a null source is a source. Rows that repeat a doc_id are packed each. Other
+    columns of docs are left out.
     """
     kind = dict(docs.dtypes)["doc_id"]
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
@@ -228,31 +236,21 @@ def pack(docs: DataFrame, path: str | None = None, targets: dict[str, float] | N
     tokens = written(rows.mapInArrow(_tokens(path or tokenizer_path(), END_ID), f"doc_id {kind}, source string, ids binary, n long"), "pack-tokens")
     total = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_tokens))
-    by_source = written(tokens.groupBy("source").agg(F.sum("n").alias("n")), "pack-sources")
-    own = {r["source"]: r["n"] for r in by_source.orderBy(F.desc("n"), "source").limit(max_queues).collect()}
-    if targets is not None:  # a source that targets names has a queue however small it is
-        named = tokens.sparkSession.createDataFrame([(k,) for k in targets], "source string")
-        own |= {r["source"]: r["n"] for r in joined(by_source, named, ["source"], "left_semi").collect()}
-    # queue names: the source behind a mark, so that null and the shared queue cannot clash with a source
-    weight = {f"={k}" if k is not None else "null": float(v if targets is None else targets.get(k, 0.0)) for k, v in own.items()}
-    weight["rest"] = float(total - sum(own.values())) if targets is None else 0.0
-    whole = sum(weight.values()) or 1.0
-    weight = {k: v / whole for k, v in weight.items()}
-    queue = F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source"))
-    names = tokens.sparkSession.createDataFrame([(k,) for k in weight], "queue string")
-    order = F.xxhash64("doc_id")
-    dealt = tokens.withColumn("queue", queue).withColumn("order", order).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)))
-    if len(own) >= max_queues:
-        dealt = dealt.join(F.broadcast(names.select("queue", F.lit(True).alias("named"))), "queue", "left").withColumn("queue", F.when(F.col("named"), F.col("queue")).otherwise("rest")).drop("named")
-    sums = dealt.groupBy("block", "queue").agg(F.sum("n").alias("n"))
+    dealt = tokens.withColumn("order", F.xxhash64("doc_id")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(blocks)))
+    sums = written(dealt.groupBy("block", "source").agg(F.sum("n").alias("n")), "pack-sums")
+    weighed = sums.groupBy("source").agg(F.sum("n").cast("double").alias("weight"))
+    if targets is not None:
+        given = tokens.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "source string, given double")
+        weighed = joined(weighed, given, ["source"], "left").select("source", F.coalesce("given", F.lit(0.0)).alias("weight"))
+    whole = weighed.agg(F.sum("weight").alias("whole"))
+    share = weighed.join(F.broadcast(whole)).select("source", F.coalesce(F.try_divide("weight", "whole"), F.lit(0.0)).alias("share"))
     before = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     all_before = sums.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("all_before"))
-    served = sums.withColumn("served", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    share = tokens.sparkSession.createDataFrame(list(weight.items()), "queue string, share double")
-    carry = served.join(all_before, "block").join(F.broadcast(share), "queue").select("block", "queue", (F.col("share") * F.col("all_before") - F.col("served")).alias("deficit"))
+    ahead = F.col("share") * F.col("all_before")
+    carry = joined(sums.join(all_before, "block"), share, ["source"]).select("block", "source", "share", (ahead - F.floor(ahead)).alias("deficit"))
     carry = written(carry, "pack-carry")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
-    return dealt.groupBy("block").cogroup(carry.groupBy("block")).applyInArrow(_pack(weight, window), schema)
+    return dealt.groupBy("block").cogroup(carry.groupBy("block")).applyInArrow(_pack(window), schema)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

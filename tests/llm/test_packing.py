@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from barwise.llm.packing import _Encoder, pack, shares, tokenizer_path
 
@@ -65,10 +66,54 @@ def test_empty_table_and_targets(spark):
     assert dict((r[0], r[1]) for r in got) == {"a": 4608, "b": 1536}
 
 
-def test_a_small_source_named_in_targets_has_its_share(spark):
+def test_any_number_of_sources_keep_their_targets(spark):
     rows = [(i, "the " * 500, ["big", "mid"][i % 2]) for i in range(60)] + [(100 + i, "the " * 500, "small") for i in range(20)] + [(200 + i, "the " * 500, None) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = pack(df, targets={"small": 2, None: 1, "big": 1, "none": 5}, block_tokens=10**9, max_queues=1).where("sequence_id < 4").groupBy("source").sum("length").collect()
+    got = pack(df, targets={"small": 2, None: 1, "big": 1, "none": 5}, block_tokens=10**9).where("sequence_id < 4").groupBy("source").sum("length").collect()
     assert dict((r[0], r[1]) for r in got) == {"small": 4096, "big": 2048, None: 2048}
-    rest = pack(df, max_queues=1, block_tokens=5000)
-    assert rest.groupBy("doc_id").sum("length").count() == len(rows)
+    many = df.selectExpr("doc_id", "text", "concat('s', doc_id) AS source")
+    assert pack(many, block_tokens=5000).groupBy("doc_id").sum("length").count() == len(rows)
+
+
+@pytest.mark.parametrize("targets", [{"a": 1, "b": 1}, {"a": 1, "b": 3}, {"a": 9, "b": 1}])
+def test_targets_unlike_the_corpus_hold_over_blocks(spark, targets):
+    """80 % a, 20 % b in seven blocks: windows are at the targets for as long as both sources last, in every block."""
+    rows = [(i, "the " * 99, "b" if i % 5 == 0 else "a") for i in range(7000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = pack(df, targets=targets, block_tokens=100_000)
+    sizes = got.groupBy("sequence_id").pivot("source", ["a", "b"]).sum("length").fillna(0).collect()
+    blocks = {r.sequence_id >> 32 for r in sizes}
+    assert len(blocks) == 7
+    want_b = targets["b"] / sum(targets.values())
+    full = [r for r in sizes if r.a + r.b == 2048]
+    at_target = [r for r in full if abs(r.b / 2048 - want_b) <= 0.01]
+    lasts = min(0.2 * 700_000 / want_b, 0.8 * 700_000 / (1 - want_b)) / 2048
+    assert len(at_target) >= 0.93 * lasts - 2 * len(blocks)
+    for b in blocks:
+        own = sorted((r for r in full if r.sequence_id >> 32 == b), key=lambda r: r.sequence_id)
+        flags = [abs(r.b / 2048 - want_b) <= 0.01 for r in own]
+        assert flags[0] and sum(flags) >= 0.6 * lasts / len(blocks)
+        assert all(flags[: sum(flags)])
+
+
+def test_a_queue_that_ran_dry_owes_nothing():
+    got = shares(np.array([10_000, 1_000]), np.array([0.5, 0.5]), np.zeros(2), [1000] * 11)
+    assert got[:2].tolist() == [[500, 500], [500, 500]] and got[2:].tolist() == [[1000, 0]] * 9
+    three = shares(np.array([6000, 3000, 300]), np.array([0.5, 0.25, 0.25]), np.zeros(3), [930] * 10)
+    assert three.sum(0).tolist() == [6000, 3000, 300] and abs(three[2] - [620, 310, 0]).max() <= 2
+
+
+def test_random_texts_of_all_blocks_encode_alike():
+    """Words, alone and before punctuation, of every letter that normalisation or lower-casing changes, and random ones."""
+    import sys
+    import unicodedata
+
+    e = _Encoder(tokenizer_path())
+    r = random.Random(2)
+    chars = [chr(c) for c in range(33, sys.maxunicode) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    changed = [c for c in chars if c.isalpha() and (unicodedata.normalize("NFC", c) != c or len(c.lower()) > 1)]
+    texts = [f"{c}. a{c}, {c}{c}!? {c}b." for c in changed]
+    texts += ["".join(r.choice(chars) if r.random() < 0.5 else r.choice("abc .,!?'-") for _ in range(r.randint(1, 12))) for _ in range(30_000)]
+    texts += ["".join(r.choice(chars[i : i + 400]) if r.random() < 0.7 else r.choice(" .,;:!?") for _ in range(30)) for i in range(0, len(chars), 150)]
+    for t, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == want.ids, t
