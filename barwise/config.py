@@ -1,8 +1,11 @@
-"""Settings as frozen dataclasses, from a mapping; unknown names and other time zones than the exchange's are refused."""
+"""Settings as frozen dataclasses, from a mapping, a file and the environment; unknown names and other time zones than the
+exchange's are refused. The environment wins: BARWISE_STORE__ROOT sets store.root, and BARWISE_CONFIG names the file."""
 
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Mapping
 from dataclasses import dataclass, field, fields, is_dataclass
 from pathlib import Path
 
@@ -76,5 +79,33 @@ def from_mapping(values: dict, kind: type = Config):
     return kind(**made)
 
 
-def load(path: str | Path) -> Config:
-    return from_mapping(json.loads(Path(path).read_text()))
+PREFIX = "BARWISE_"
+
+
+def overridden(values: dict, environ: Mapping[str, str]) -> dict:
+    """values with what the environment sets: names behind the prefix in any case, parts divided by two underscores.
+
+    A setting's text is read as JSON where it is such (numbers, true, lists) and stays a text otherwise.
+    """
+    out = json.loads(json.dumps(values))
+    for name in sorted(environ):
+        if not name.startswith(PREFIX) or name == f"{PREFIX}CONFIG":
+            continue
+        *path, last = name[len(PREFIX) :].lower().split("__")
+        at = out
+        for part in path:
+            at = at.setdefault(part, {})
+            if not isinstance(at, dict):
+                raise ConfigError(f"{name}: {part} is a setting, not a section")
+        try:
+            at[last] = json.loads(environ[name])
+        except ValueError:
+            at[last] = environ[name]
+    return out
+
+
+def load(path: str | Path | None = None, environ: Mapping[str, str] | None = None) -> Config:
+    """Settings of a JSON file (the one that BARWISE_CONFIG names, if none is given; without either the defaults), then the environment."""
+    environ = os.environ if environ is None else environ
+    path = path or environ.get(f"{PREFIX}CONFIG")
+    return from_mapping(overridden(json.loads(Path(path).read_text()) if path else {}, environ))

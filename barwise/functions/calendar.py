@@ -268,13 +268,21 @@ def is_partial(start: Column, timeframe: str) -> Column:
     return F.lit(False) if step is None else start + step > F.col("cont_e")
 
 
-def bar_grid(calendar: DataFrame, timeframe: str, include_special: bool = False) -> DataFrame:
-    """(day, bar) for every expected bar, bar in seconds after midnight."""
+def bar_grid(calendar: DataFrame, timeframe: str, include_special: bool = False, anchor: str = "open") -> DataFrame:
+    """(day, bar) for every expected bar, bar in seconds after midnight.
+
+    Bars step from the session's open, or with anchor midnight from there, of which those inside the session count. A daily bar
+    begins at the open either way.
+    """
+    if anchor not in ("open", "midnight"):
+        raise ValueError(f"anchor must be open or midnight, not {anchor!r}")
     days = calendar.where(F.col("has_any_session") if include_special else F.col("is_trading_day"))
     step = TIMEFRAMES[timeframe]
     if step is None:
         return days.select("day", F.col("cont_s").alias("bar"))
-    return days.select("day", F.explode(F.sequence(F.col("cont_s"), F.col("cont_e") - 1, F.lit(step))).alias("bar"))
+    first = F.col("cont_s") if anchor == "open" else (F.ceil(F.col("cont_s") / step) * step).cast("int")
+    bars = F.when(first < F.col("cont_e"), F.sequence(first, F.col("cont_e") - 1, F.lit(step)))
+    return days.select("day", F.explode(bars).alias("bar"))
 
 
 def trading_ordinals(calendar: DataFrame) -> DataFrame:

@@ -171,13 +171,43 @@ def report(checks: DataFrame) -> DataFrame:
 PRIORITY = {"component": 0, "ok": 1, "unverified": 2, "error": 3}
 
 
-def annotations(checks: DataFrame) -> DataFrame:
-    """One mark for each figure (doc_id, page_index, x, y): the most important of those it gets, the first of equals."""
-    own = checks.select("doc_id", "page_index", "column", "row_no", F.col("x0"), F.col("top"), F.col("status").alias("mark"))
-    parts = checks.select("doc_id", "page_index", "column", "row_no", F.explode("components").alias("c")).select("doc_id", "page_index", "column", "row_no", "c.x0", "c.top", F.lit("component").alias("mark"))
+def annotations(checks: DataFrame, components: bool = True) -> DataFrame:
+    """One mark for each figure (doc_id, page_index, x, y): the most important of those it gets, the first of equals.
+
+    note is what a reader is told at a total that is wrong or unverified (where checks have a message), outlined whether a box is
+    drawn around it, which errors have. Without components only totals are marked.
+    """
+    told = F.col("message") if "message" in checks.columns else F.lit(None).cast("string")
+    own = checks.select("doc_id", "page_index", "column", "row_no", F.col("x0"), F.col("top"), F.col("status").alias("mark"), F.when(F.col("status").isin("error", "unverified"), told).alias("note"))
+    marks = own
+    if components:
+        parts = checks.select("doc_id", "page_index", "column", "row_no", F.explode("components").alias("c"))
+        marks = own.unionByName(parts.select("doc_id", "page_index", "column", "row_no", "c.x0", "c.top", F.lit("component").alias("mark"), F.lit(None).cast("string").alias("note")))
     rank = F.create_map(*(x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v))))
-    marks = own.unionByName(parts).withColumn("x", F.rint("x0")).withColumn("y", F.rint("top"))
-    return marks.groupBy("doc_id", "page_index", "x", "y").agg(F.max_by("mark", F.struct(rank[F.col("mark")], -F.col("column"), -F.col("row_no"))).alias("mark"))
+    marks = marks.withColumn("x", F.rint("x0")).withColumn("y", F.rint("top"))
+    first = F.struct(rank[F.col("mark")], -F.col("column"), -F.col("row_no"))
+    best = marks.groupBy("doc_id", "page_index", "x", "y").agg(F.max_by(F.struct("mark", "note"), first).alias("m"))
+    return best.select("doc_id", "page_index", "x", "y", "m.mark", "m.note", (F.col("m.mark") == "error").alias("outlined"))
+
+
+def summary_rows(checks: DataFrame) -> DataFrame:
+    """(doc_id, line, text): the lines of a document's summary: what was checked, how it came out, then each error with its page."""
+    counts = checks.groupBy("doc_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "error", "unverified")), F.sum(F.size("components")).alias("figures"))
+    heads = counts.select(
+        "doc_id",
+        F.posexplode(
+            F.array(
+                F.format_string("Checked %d totals covering %d figures.", F.col("ok") + F.col("error"), F.col("figures")),
+                F.format_string("%d do not add up, %d add up, %d could not be verified.", "error", "ok", "unverified"),
+            )
+        ).alias("line", "text"),
+    )
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy("page_index", "column", "row_no"))
+    wrong = checks.where("status = 'error'").withColumn("n", n)
+    where = F.concat(F.col("n").cast("string"), F.lit(". Page "), (F.col("page_index") + 1).cast("string"), F.lit(": "), F.substring(F.trim("label"), 1, 60))
+    stated, expected, off = num.format_number(F.col("stated")), num.format_number(F.col("expected")), num.format_number(F.col("stated") - F.col("expected"))
+    text = F.concat(where, F.lit(" - stated "), stated, F.lit(", sum of figures "), expected, F.lit(" (off by "), off, F.lit(")"))
+    return heads.unionByName(wrong.select("doc_id", (F.col("n") + 1).alias("line"), text.alias("text")))
 
 
 def reconcile_static(items: DataFrame, keys: list[str], order: str, base: float = 0.0) -> DataFrame:

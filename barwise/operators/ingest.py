@@ -19,8 +19,24 @@ def chunk_plan(ranges: DataFrame, calendar: DataFrame, cap_days: int, keys: list
     return own.select(*keys, "chunk", F.array_min("own").alias("first_day"), F.array_max("own").alias("last_day"), F.size("own").alias("sessions"))
 
 
-def resume_points(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """wanted (keys, start, end) starting no earlier than the last stored day, which is fetched again; stored has (keys, last_ts)."""
+#: Days of a year of history.
+YEAR_DAYS = 365
+
+
+def default_start(end: Column, years: int) -> Column:
+    """Where a history of so many years begins."""
+    return F.date_sub(end, YEAR_DAYS * years)
+
+
+def resume_points(wanted: DataFrame, stored: DataFrame, keys: list[str], years: int | None = None) -> DataFrame:
+    """wanted (keys, start, end) starting no earlier than the last stored day, which is fetched again; stored has (keys, last_ts).
+
+    With years a missing start (or start column) is that long before the end.
+    """
+    if "start" not in wanted.columns:
+        wanted = wanted.withColumn("start", F.lit(None).cast("date"))
+    if years is not None:
+        wanted = wanted.withColumn("start", F.coalesce("start", default_start(F.col("end"), years)))
     rows = wanted.join(stored.select(*keys, F.to_date("last_ts").alias("_last")), keys, "left")
     return rows.withColumn("start", F.greatest("start", "_last")).drop("_last").where("start <= end")
 

@@ -553,7 +553,7 @@ def split_column_suppression(spark, d):
 @query(f"""WITH {_CHECKS_SQL} SELECT doc_id, 100.0 + 40 * col AS x, 12.0 * row_no AS y, CASE max(CASE WHEN status = 'error' THEN 3 ELSE 1 END) WHEN 3 THEN 'error' ELSE 'ok' END AS mark FROM k GROUP BY ALL""")
 def annotation_priority(spark, d):
     none = F.array().cast("array<struct<row_no:int,label:string,value:double,x0:double,top:double>>")
-    return footing.annotations(_checks(spark, d).withColumn("components", none)).drop("page_index")
+    return footing.annotations(_checks(spark, d).withColumn("components", none)).select("doc_id", "x", "y", "mark")
 
 
 @query(f"""WITH {_CTE}, span AS (SELECT key, min(day) AS a, max(day) AS b FROM e GROUP BY key), c AS (SELECT key, b AS last, unnest(range(0, date_diff('day', a, b) // 5 + 1)) AS chunk, a FROM span),
