@@ -2,7 +2,7 @@
 
 The classifier sees confirmed toxic documents (P) and unlabelled ones (U). With class prior p its risk is
 ``p * E_P[l(g)] + max(0, E_U[l(-g)] - p * E_P[l(-g)])``; while the second term is below zero its gradient is reversed, which
-keeps a flexible model from fitting U as clean. Features are whole words and their first 4, 5 and 6 bytes, kept where they
+keeps a flexible model from fitting U as clean. Weights start at zero; the risk alone makes them. Features are whole words and their first 4, 5 and 6 bytes, kept where they
 are much more frequent in P than in U; a document holds a feature or not, however often. cross_validated() chooses how
 strict that is, from the rows that may be learned from alone.
 """
@@ -21,7 +21,6 @@ from barwise.llm.common import LOWER, U64, Rolling, flat, fold, mixed, pieces, t
 #: Bounds of the training sample, taken by the order of a hash of doc_id.
 POSITIVES, UNLABELLED = 4000, 8000
 BUCKETS = 1 << 20
-FEATURES = 512
 _ROLL = Rolling(81)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -30,16 +29,16 @@ _SALT = {0: U64(0x1F3D5B79), 4: U64(0x2468ACE1), 5: U64(0x3579BDF1), 6: U64(0x46
 
 
 class Settings(NamedTuple):
-    """What a feature must show in P: its share of documents, its deviations beyond chance as a multiple of what the best of all features shows by chance, its lift as a power of 1 / prior; and Adam's steps."""
+    """What a feature must show in P: its share of documents, its deviations beyond chance as a multiple of what the best of all features shows by chance, its lift as a power of 1 / prior; and Adam's steps over the whole sample."""
 
     support: float = 0.01
     deviations: float = 1.2
     lift: float = 0.9
-    steps: int = 150
+    steps: int = 600
 
 
 #: What cross_validated() looks at. The defaults of Settings are of the least risks on sf0.1, inside their sampling error.
-GRID = [Settings(s, d, k, n) for s in (0.005, 0.01, 0.02) for d in (0.8, 1.0, 1.2, 1.4) for k in (0.6, 0.8, 0.9, 1.0) for n in (50, 150)]
+GRID = [Settings(s, d, k, n) for s in (0.005, 0.01, 0.02) for d in (0.8, 1.0, 1.2, 1.4) for k in (0.6, 0.8, 0.9, 1.0) for n in (300, 600)]
 
 
 def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +102,6 @@ def nnpu(p: list[np.ndarray], u: list[np.ndarray], prior: float, settings: Setti
     chance, deviation = len(p) * rate, np.sqrt(len(p) * rate * (1 - rate))
     beyond = settings.deviations * np.sqrt(2 * np.log(max(2, np.count_nonzero(in_p + in_u))))
     good = np.flatnonzero((in_p >= max(4, settings.support * len(p))) & (in_p - chance > beyond * deviation) & (lift > settings.lift * np.log(1 / prior)))
-    good = good[np.argsort(-(in_p * lift)[good], kind="stable")][:FEATURES]
     if not len(good):
         return weights, float(np.log(prior / (1 - prior)))
     place = np.full(BUCKETS, -1)
@@ -117,30 +115,34 @@ def nnpu(p: list[np.ndarray], u: list[np.ndarray], prior: float, settings: Setti
         return out
 
     xp, xu = matrix(p), matrix(u)
-    # from naive Bayes on; the risk then settles what counts how much
-    w, b = (2 * lift[good]).astype(np.float32), np.float32(np.log(prior / (1 - prior)))
-    r = np.random.default_rng(seed)
-    moments = [np.zeros(len(good) + 1), np.zeros(len(good) + 1)]
+    w, b, _ = descend(xp, xu, prior, settings.steps)
+    weights[good] = w
+    return weights, b
+
+
+def descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, non_negative: bool = True) -> tuple[np.ndarray, float, int]:
+    """Weights and bias from zero on by Adam over all rows of P and U, and how many steps reversed a negative risk.
+
+    Logistic loss: l(g) = -log s(g), l(-g) = -log(1 - s(g)). Without non_negative the risk is the plain unbiased one.
+    """
+    xp, xu = (np.column_stack([x, np.ones(len(x), np.float32)]) for x in (xp, xu))
+    w = np.zeros(xp.shape[1])
+    m, v, reversed_ = np.zeros_like(w), np.zeros_like(w), 0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
-    for t in range(1, settings.steps + 1):
-        bp, bu = xp[r.integers(0, len(xp), 512)], xu[r.integers(0, len(xu), 2048)]
-        gp, gu = sigmoid(bp @ w + b), sigmoid(bu @ w + b)
-        # logistic loss: l(g) = -log s(g), l(-g) = -log(1 - s(g))
-        negative = -np.log(1 - gu).mean() + prior * np.log(1 - gp).mean()
-        d_pos_w, d_pos_b = -prior * (bp * (1 - gp)[:, None]).mean(0), -prior * (1 - gp).mean()
-        d_neg_w = (bu * gu[:, None]).mean(0) - prior * (bp * gp[:, None]).mean(0)
-        d_neg_b = gu.mean() - prior * gp.mean()
-        if negative < 0:
-            grad = np.append(-d_neg_w, -d_neg_b)
+    narrow = lambda z: z.astype(np.float32)
+    for t in range(1, steps + 1):
+        gp, gu = sigmoid(xp @ narrow(w)), sigmoid(xu @ narrow(w))
+        negative = prior * np.log1p(-gp).mean() - np.log1p(-gu).mean()
+        of_p, of_n = -prior * (xp.T @ narrow(1 - gp)) / len(xp), xu.T @ narrow(gu) / len(xu) - prior * (xp.T @ narrow(gp)) / len(xp)
+        if non_negative and negative < 0:
+            grad, reversed_ = -of_n, reversed_ + 1
         else:
-            grad = np.append(d_pos_w + d_neg_w, d_pos_b + d_neg_b)
-        grad[:-1] += 1e-4 * w
-        moments[0] = 0.9 * moments[0] + 0.1 * grad
-        moments[1] = 0.99 * moments[1] + 0.01 * grad**2
-        step = 0.03 * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.99**t)) + 1e-8)
-        w, b = w - step[:-1].astype(np.float32), np.float32(b - step[-1])
-    weights[good] = w
-    return weights, float(b)
+            grad = of_p + of_n
+        grad = grad.astype(float)
+        grad[:-1] += 1e-4 * w[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w[:-1], float(w[-1]), reversed_
 
 
 def _sample(docs: DataFrame, ids: DataFrame, bound: int) -> tuple[list[np.ndarray], np.ndarray]:

@@ -51,6 +51,39 @@ def test_toxicity_on_held_out(frames):
     assert toxicity.toxicity(d.limit(0), lab).count() == 0
 
 
+def test_the_risk_makes_the_weights(frames):
+    """Without steps no weight is other than zero and nothing is told apart; with them held-out documents are."""
+    _, labels, d, lab = frames
+    (p, _), (u, _), prior = toxicity._training(d, lab, None, 4000, 8000)
+    none, bias = toxicity.nnpu(p, u, prior, toxicity.Settings(steps=0))
+    assert not none.any() and bias == 0.0
+    weights, bias = toxicity.nnpu(p, u, prior)
+    assert np.count_nonzero(weights) > 3 and bias < 0
+    assert toxicity._called(p, weights, bias) > 0.9 and toxicity._called(u, weights, bias) < 2 * prior
+
+
+def test_the_non_negative_correction_acts():
+    """A flexible model drives the plain unbiased risk of the negatives far below zero; the correction holds it near zero, and new rows are judged better."""
+    r = np.random.default_rng(3)
+    prior, d = 0.3, 300
+    true = np.append(r.normal(size=8), np.zeros(d - 8)) * 2
+
+    def rows(n):
+        x = (r.random((n, d)) < 0.3).astype(np.float32)
+        return x, x @ true > np.quantile(x @ true, 1 - prior)
+
+    x, y = rows(4000)
+    xp, xu = x[y][:60], rows(250)[0]
+    end = {}
+    for corrected in (True, False):
+        w, b, turned = toxicity.descend(xp, xu, prior, 600, corrected)
+        s = lambda m, w=w, b=b: 1 / (1 + np.exp(-np.clip(m @ w + b, -30, 30)))
+        test, label = rows(3000)
+        end[corrected] = (prior * np.log1p(-s(xp)).mean() - np.log1p(-s(xu)).mean(), np.mean((s(test) >= 0.5) == label), turned)
+    assert end[False][0] < -0.5 and abs(end[True][0]) < 0.1
+    assert end[True][2] > 50 and end[False][2] == 0
+
+
 def test_settings_are_compared_without_fold_0(frames):
     """What fold 0 says, right or wrong, changes no risk."""
     _, _, d, lab = frames
