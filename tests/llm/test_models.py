@@ -103,6 +103,42 @@ def test_quality_on_held_out(frames):
     assert quality.quality(d.limit(0), lab).count() == 0
 
 
+def test_rounds_help_where_labels_are_few():
+    """Two independent views and ten labels: what the views hand to each other makes both, and their sum, better on new rows."""
+    gain = []
+    for seed in range(5):
+        r = np.random.default_rng(seed)
+
+        def rows(n, r=r):
+            y = (r.random(n) < 0.5).astype(float)
+            return tuple(r.normal(size=(n, 30)) + (2 * y[:, None] - 1) * np.append(np.full(6, 0.8), np.zeros(24)) for _ in range(2)) + (y,)
+
+        (a, b, y), (pa_, pb, _), (ta, tb, ty) = rows(24), rows(2000), rows(2000)
+        held = np.arange(24) >= 12
+        score = [np.mean((quality.combined(*quality.co_train(a, b, y, pa_, pb, held, rounds=k), ta, tb) >= 0.5) == ty) for k in (0, 4)]
+        gain.append(score[1] - score[0])
+    assert np.mean(gain) > 0.02
+
+
+def test_the_metadata_view_never_sees_the_text(frames):
+    docs, _, d, _ = frames
+    own = quality.described(d)
+    assert own.count() == len(docs) and own.agg(F.max("of_source")).first()[0] >= 200
+    other = quality.described(d.withColumn("text", F.when(F.col("text").isNotNull(), F.lit("quite different"))).withColumn("n_chars", F.col("n_chars")))
+    one, two = (quality.meta_view(x.where("n_chars is not null and doc_id < 700").orderBy("doc_id").toArrow().to_batches()[0]) for x in (own, other))
+    assert (one == two).all() and one.any()
+
+
+def test_quality_without_metadata_and_of_repeated_rows(frames):
+    docs, labels, d, lab = frames
+    got = quality.quality(d.select("doc_id", "text").unionByName(d.where("doc_id < 5").select("doc_id", "text")), lab).collect()
+    assert len(got) == len(docs) + 5
+    for i in range(5):
+        assert len({r.score for r in got if r.doc_id == i}) == 1
+    q = dict((i, q) for i, q, _ in labels)
+    assert np.mean([r.predicted == q[r.doc_id] for r in got if r.doc_id in q and held(r.doc_id)]) > 0.9
+
+
 def test_language_on_held_out(frames):
     docs, _, d, _ = frames
     got = {r.doc_id: r for r in langid.language(d).collect()}
