@@ -28,7 +28,7 @@ BROADCAST_ROWS = 20_000
 # Fixed sets of HTML: elements without content, elements whose content is not markup, elements that stand as blocks of
 # text, and elements that end an open paragraph.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math canvas object audio video".split())
+RAW = set("script style noscript template textarea title iframe svg canvas object audio video".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split())
 CLOSES_P = BLOCK - {"tbody", "tfoot", "thead", "tr", "caption", "li", "dd", "dt", "body", "html"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}}
@@ -36,13 +36,19 @@ SCOPE = {"ul", "ol", "dl", "table", "td", "th", "body", "html", "select", "menu"
 # Blocks that can be template by themselves; headings, items and cells only go with what holds them.
 TEMPLATE = BLOCK - set("h1 h2 h3 h4 h5 h6 hgroup li dd dt tr tbody tfoot thead caption legend summary body html".split())
 # Surroundings: elements, roles, and words of class or id.
-AROUND = set("nav footer aside form button select dialog menu search head".split())
+AROUND = set("nav footer aside form select dialog menu search head".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal "
     "overlay newsletter subscribe signup login comment comments commentlist respond disqus sidebar side rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead topbar share sharing social related recommended recommendations pagination pager skip toolbar tags tagcloud".split()
 )
+# Words that say what kind of box something is, and decide nothing by themselves; and those whose blocks never hold the story.
+NEUTRAL = set("user users reader readers visitor list box boxes section area block wrapper wrap container inner outer item items panel unit slot zone module bar form feed top bottom left right main".split())
+NEVER = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe comment comments commentlist respond disqus "
+    "related recommended recommendations breadcrumb breadcrumbs pagination pager sharing".split()
+)
 # A quote opens a value only behind an equals sign, as HTML has it.
 _VALUE = r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?"
 _TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|{_VALUE})*)>?", re.S)
@@ -52,47 +58,77 @@ _NAME = re.compile(r"[A-Za-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "around", "named")
+    __slots__ = ("tag", "attrs", "children", "around", "named", "never")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.children = tag, []
         self.attrs = [(k.lower(), a or b or c) for k, a, b, c in _ATTR.findall(attrs) if k.lower() in ("class", "id", "role")] if attrs else []
-        self.around, self.named = tag in AROUND, False  # by element or role; by class or id
+        # surroundings by element or role; by class or id; and whether that is of a kind that never holds the story
+        self.around, self.named, self.never = tag in AROUND, False, False
         for k, v in self.attrs:
             v = v.lower()
             if k == "role":
                 self.around |= v in ROLES
             elif tag not in ("body", "html", "main"):
-                self.named |= any(_is_around(token) for token in v.split())
+                for words in map(_NAME.findall, v.split()):
+                    if _is_around(words):
+                        self.named = True
+                        self.never |= not NEVER.isdisjoint(words)
+
+
+def _is_around(words: list[str]) -> bool:
+    """Whether a class is made of such words alone: cookie-notice and comment-list are, has-sidebar and article-header are not."""
+    return not WORDS.isdisjoint(words) and all(w in WORDS or w in NEUTRAL for w in words)
+
+
+class _Open:
+    """The open elements, innermost last, with the places of each tag among them, so that what a tag ends is found at once."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
 
+    def innermost(self, tags) -> int:
+        """The place of the innermost open element of tags; 0, the root's, if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
 
-def _is_around(token: str) -> bool:
-    """Whether a class is made of such words alone: cookie-notice is, has-sidebar and article-header are not."""
-    words = _NAME.findall(token)
-    return bool(words) and WORDS.issuperset(words)
+    def cut(self, place: int) -> None:
+        """Ends the element at a place and all in it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def close(self, tags: set, stop: set) -> None:
+        """Ends the innermost open element of tags, if none of stop lies further in; again while it is directly inside another."""
+        at = self.innermost(tags)
+        if at and at > self.innermost(stop):
+            self.cut(at)
+            while len(self.nodes) > 1 and self.nodes[-1].tag in tags:
+                self.cut(len(self.nodes) - 1)
 
 
 def parse(page: str) -> Node:
     """A tree with the end tags that HTML leaves out; end tags without a start are ignored."""
     root = Node("html")
-    open_ = [root]
+    open_ = _Open(root)
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
         if not m:
-            open_[-1].children.append(html.unescape(page[at:]))
+            open_.nodes[-1].children.append(html.unescape(page[at:]))
             break
         if m.start() > at:
-            open_[-1].children.append(html.unescape(page[at : m.start()]))
+            open_.nodes[-1].children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag or tag == "html":
             continue
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
+            if place := open_.innermost((tag,)):
+                open_.cut(place)
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -100,45 +136,62 @@ def parse(page: str) -> Node:
             at = end.end() if end else at if tag == "title" or _EMPTY.search(m[3]) else len(page)
             continue
         if tag in CLOSES_P or tag == "p":
-            _close(open_, {"p"}, {"body", "html", "td", "th", "button"})
+            open_.close({"p"}, {"body", "html", "td", "th", "button"})
         if tag in SIBLINGS:
-            _close(open_, SIBLINGS[tag], SCOPE - SIBLINGS[tag])
+            open_.close(SIBLINGS[tag], SCOPE - SIBLINGS[tag])
         if tag == "body":
-            _close(open_, {"head"}, set())
+            open_.close({"head"}, set())
         node = Node(tag, m[3])
-        open_[-1].children.append(node)
+        open_.nodes[-1].children.append(node)
         if tag not in VOID and not _EMPTY.search(m[3]):
-            open_.append(node)
+            open_.push(node)
     return root
 
 
-def _close(open_: list[Node], tags: set, stop: set) -> None:
-    """Ends the innermost open element of tags, if none of stop lies further in; again while it is directly inside another."""
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag in tags:
-            del open_[i:]
-            while open_[-1].tag in tags and len(open_) > 1:
-                del open_[-1]
-            return
-        if open_[i].tag in stop:
-            return
+def _masses(root: Node) -> dict[int, tuple[int, int]]:
+    """Characters of text in every element outside surroundings, and those of them that are links, by the element's id()."""
+    out: dict[int, tuple[int, int]] = {}
+    for n in reversed(_downward(root, around=False)):
+        text = links = 0
+        for c in n.children:
+            if isinstance(c, Node):
+                t, a = out.get(id(c), (0, 0)) if not c.never else (0, 0)
+                text, links = text + t, links + a
+            else:
+                text += len(c.strip())
+        out[id(n)] = (text, text if n.tag == "a" else links)
+    return out
+
+
+def _outermost(root: Node, wanted, hidden: bool) -> list[Node]:
+    found, open_ = [], [root]
+    while open_:
+        n = open_.pop()
+        if n.around or n.named and not hidden:
+            continue
+        if wanted(n):
+            found.append(n)
+        else:
+            open_ += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return found
 
 
 def mains(node: Node) -> list[Node]:
-    """Outermost article elements outside surroundings; else main elements; else those that only a class hides; else none."""
+    """The elements that hold the story: outermost articles, or main elements where those hold more than twice their text, as
+    where articles are teasers; those that only a class hides if there are no others; else none. Of several articles those
+    that are mostly links are left out. Without any text the first kind found counts."""
+    masses: dict = {}
     for hidden in (False, True):
-        for wanted in (lambda n: n.tag == "article", lambda n: n.tag == "main" or ("role", "main") in n.attrs):
-            found, open_ = [], [node]
-            while open_:
-                n = open_.pop()
-                if n.around or n.named and not hidden:
-                    continue
-                if wanted(n):
-                    found.append(n)
-                else:
-                    open_ += [c for c in reversed(n.children) if isinstance(c, Node)]
-            if found:
+        articles = _outermost(node, lambda n: n.tag == "article", hidden)
+        main = _outermost(node, lambda n: n.tag == "main" or ("role", "main") in n.attrs, hidden)
+        if not articles or not main and len(articles) < 2:
+            if found := articles or main:
                 return found
+            continue
+        masses = masses or _masses(node)
+        of = lambda ns, k: sum(masses.get(id(n), (0, 0))[k] for n in ns)
+        told = [n for n in articles if 3 * of([n], 1) <= 2 * of([n], 0)] or articles
+        return main if main and of(main, 0) > 2 * of(told, 0) else told
     return []
 
 
@@ -188,6 +241,13 @@ def recurring(tops: list[Node], hashes: dict[int, int], template: frozenset) ->
     return found
 
 
+def _titled(header: Node) -> bool:
+    """Whether a header without an article holds the story's title: a first heading that is no link, and no navigation."""
+    inside = _downward(header)[1:]
+    heads = [n for n in inside if n.tag == "h1"]
+    return bool(heads) and not any(n.around for n in inside) and not any(c.tag == "a" for h in heads for c in _downward(h))
+
+
 def main_text(page: str, template: frozenset = frozenset()) -> str:
     root = parse(page)
     own = mains(root)
@@ -209,26 +269,32 @@ def main_text(page: str, template: frozenset = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    def gone_from(n: Node) -> bool:
-        # a class word does not take most of the text
-        return n.around or n.named and 2 * sizes.get(id(n), 0) <= whole or id(n) in dropped or n.tag == "header" and not own
+    def gone_from(n: Node, parent: Node) -> bool:
+        if n.around or id(n) in dropped or n.tag == "header" and not own and not _titled(n):
+            return True
+        if n.tag == "button":
+            # one that stands in a sentence is read with it
+            return not any(isinstance(c, str) and c.strip() for c in parent.children)
+        # a class word does not take all of the text, nor, unless it is of a certain kind, most of it
+        size = sizes.get(id(n), 0)
+        return n.named and (size < whole if n.never else 2 * size <= whole)
 
     for top in tops:
         # a block that ends leaves None behind it
-        ahead: list = [top]
+        ahead: list = [(top, top)]
         while ahead:
-            n = ahead.pop()
+            n, parent = ahead.pop()
             if n is None:
                 flush()
             elif isinstance(n, str):
                 line.append(n)
-            elif n is top or not gone_from(n):
+            elif n is top or not gone_from(n, parent):
                 if n.tag in BLOCK:
                     flush()
-                    ahead.append(None)
+                    ahead.append((None, n))
                 elif n.tag in ("br", "td", "th"):
                     line.append(" ")
-                ahead += reversed(n.children)
+                ahead += [(c, n) for c in reversed(n.children)]
         flush()
     return "\n".join(blocks)
 

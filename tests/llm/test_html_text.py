@@ -70,3 +70,73 @@ def test_templates_by_brute_force(spark):
         kept = [b for b in own if sum(b in o for h, o in blocks.values() if h == host) < 5]
         assert got[i] == "\n".join(kept) and plain[i] == "\n".join(own)
     assert got != plain
+
+
+def test_reader_comments_and_adverts_go():
+    story = "<article><h1>Title</h1><p>a story of some length that goes on</p>"
+    for block in ("<section id='user-comments'><p>me too, and at great length, longer than the story itself</p></section>", "<ol class='comment-list'><li>first<li>second</ol>", "<div class='promo-box'>buy</div>", "<div class='related'><p>a long list of other stories that holds more text than this short one does</p></div>", "<div class='reader-comments top'>x</div>"):
+        assert main_text(f"<body>{story}{block}</article></body>") == "Title\na story of some length that goes on", block
+    assert main_text("<body><div><p>short story</p></div><div class='related-box'><p>much longer than the short story that it stands behind</p></div></body>") == "short story"
+    assert main_text("<body><div class='main'><p>kept</p></div><div class='list'>kept too</div></body>") == "kept\nkept too"
+
+
+def test_the_story_is_where_most_text_is():
+    long = "the long story that the page is about, with many words in it"
+    assert main_text(f"<main><p>{long}</p><article>teaser</article></main>") == f"{long}\nteaser"
+    assert main_text(f"<main><article><p>{long}</p></article><p>short</p></main>") == long
+    assert main_text(f"<article><p>{long}</p></article><article><a href=x>other story, a link to it</a></article>") == long
+    assert main_text("<main></main><article>only this</article>") == "only this"
+
+
+def test_titles_formulas_and_buttons():
+    assert main_text("<body><header><h1>The title</h1></header><div><p>story</p></div></body>") == "The title\nstory"
+    assert main_text("<body><header><h1><a href=/>Site</a></h1></header><div><p>story</p></div></body>") == "story"
+    assert main_text("<body><header><h1>Site</h1><nav>N</nav></header><p>story</p></body>") == "story"
+    assert main_text("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>") == "let x=2 hold"
+    assert main_text("<p>Press <button>Save</button> to store.</p><div><button>Share</button></div>") == "Press Save to store."
+
+
+def test_time_follows_the_length_of_unclosed_nesting():
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        assert len(main_text("<div><p>x" * n)) == 2 * n - 1
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def generated(r: random.Random, n: int):
+    """A page and its main text: blocks of the story between blocks that are none, in wrappers that say nothing."""
+    words = lambda k: " ".join(r.choice("sun moon star sky cloud rain wind".split()) for _ in range(k))
+    body, story = [], []
+    for _ in range(n):
+        kind = r.randrange(8)
+        t = words(r.randint(6, 14))
+        if kind < 4:
+            tag = r.choice(["p", "div", "blockquote", "h2", "pre", "section"])
+            inner = t.replace(" ", r.choice([" ", "\n ", "&#32;", " <b></b>"]), 1)
+            body.append(f"<{tag}>{inner}</{tag}>" if tag != "p" or r.random() < 0.5 else f"<p>{inner}")
+            story.append(t)
+        elif kind == 4:
+            body.append("<ul>" + "".join(f"<li>{w}" for w in t.split()) + "</ul>")
+            story += t.split()
+        elif kind == 5:
+            body.append(r.choice(["<nav>{}</nav>", "<aside>{}</aside>", "<form>{}</form>", "<footer>{}</footer>", "<div role='banner'>{}</div>"]).format(words(4)))
+        elif kind == 6:
+            body.append(r.choice(["<div class='ad'>{}</div>", "<p class='cookie-notice'>{}</p>", "<section id='comments'>{}</section>", "<div class='share-bar x'>{}</div>"]).format(words(3)))
+        else:
+            body.append(r.choice(["<script>if (a < b) {}</script>", "<style>{}</style>", "<!-- {} -->", "<noscript>{}</noscript>"]).format(words(3)))
+    inner = "".join(body)
+    page = r.choice(["<body><header>H</header><article>{}</article></body>", "<body class=x><div id='page'><main><div>{}</div></main></div><footer>f</footer>", "<html><head><title>T</title></head><body>{}</body></html>", "<div><div>{}</div></div>"]).format(inner)
+    return page, "\n".join(story)
+
+
+def test_generated_pages_give_their_story(spark):
+    r = random.Random(11)
+    made = [generated(r, r.randint(4, 14)) for _ in range(300)]
+    made = [(p, t) for p, t in made if t]
+    rows = [(i, f"https://site{i}.example/", p) for i, (p, _) in enumerate(made)]
+    got = {x.page_id: x.text for x in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [i for i, (_, t) in enumerate(made) if got[i] != t] == []
