@@ -11,17 +11,20 @@ lower(), which joins a few more words; the reading at the end is exact.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barwise.llm.common import joined, small_enough, table, written
+from barwise.llm.common import joined, table, written
 
 WINDOW = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows up to which a derived table is broadcast; counted before. A row is under 1 kB.
-BROADCAST_ROWS = 50_000
+#: Bytes up to which a derived table is broadcast; they are added up before. Beyond it the join is shuffled.
+BROADCAST_BYTES = 24_000_000
+_ROW_BYTES = 64
 
 
 def _raw_words(text) -> F.Column:
@@ -33,8 +36,14 @@ def _words(text) -> F.Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP), "")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if small_enough(df, BROADCAST_ROWS) else df
+def _sized(df: DataFrame, *more: F.Column) -> DataFrame:
+    """df with a broadcast hint if its rows, with ``more`` bytes each, stay within the bound."""
+    size = df.agg(F.sum(reduce(lambda a, b: a + b, more, F.lit(_ROW_BYTES).cast("long")))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _lengths(words: str) -> F.Column:
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + 16 + F.octet_length(w))
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -47,16 +56,16 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (term, doc_id, row, pos) of docs (doc_id, row, text) for the given terms."""
     places = docs.select("doc_id", "row", F.posexplode(_raw_words(F.col("text"))).alias("pos", "word"))
-    return places.select("doc_id", "row", "pos", F.lower("word").alias("term")).join(_sized(terms), "term", "left_semi")
+    return places.select("doc_id", "row", "pos", F.lower("word").alias("term")).join(_sized(terms, F.octet_length("term")), "term", "left_semi")
 
 
 def alignments(postings: DataFrame, windows: DataFrame, rare: DataFrame) -> DataFrame:
     """(doc_id, row, item, shift) where both rare terms of some window of the item fall on one shift."""
     places = rare.select("item", "term", F.col("pos").alias("place")).distinct()
-    met = postings.join(_sized(places), "term").select("doc_id", "row", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    met = postings.join(_sized(places, F.octet_length("term")), "term").select("doc_id", "row", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
     met = met.groupBy("doc_id", "row", "item", "shift").agg(F.collect_set("place").alias("places"))
     pairs = rare.groupBy("item", "at").agg(F.collect_set("pos").alias("both")).groupBy("item").agg(F.collect_set("both").alias("pairs"))
-    met = met.join(_sized(pairs), "item")
+    met = met.join(_sized(pairs, 48 * F.size("pairs")), "item")
     return met.where(F.exists("pairs", lambda p: F.size(F.array_except(p, "places")) == 0)).select("doc_id", "row", "item", "shift")
 
 
@@ -66,7 +75,7 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, window: int, places: int |
     placed = placed.select("item", "at", (F.col("at") + F.col("k")).alias("pos"), F.lower("word").alias("term"))
     vocabulary = placed.select("term").distinct()
     counts = docs.select(F.explode(_raw_words(F.col("text"))).alias("word")).select(F.lower("word").alias("term"))
-    counts = written(counts.join(_sized(vocabulary), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "decon-counts")
+    counts = written(counts.join(_sized(vocabulary, F.octet_length("term")), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "decon-counts")
     own = W.partitionBy("item", "at")
     ranked = placed.join(counts, "term", "left").withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("n", F.lit(0)), "pos")))
     if not isinstance(places, int):
@@ -80,21 +89,26 @@ def phrase_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
     rare = rarest_terms(docs, windows, window, 2)
     postings = written(index(docs, rare.select("term").distinct()), "decon-postings")
     found = written(alignments(postings, windows, rare), "decon-alignments")
-    texts = windows.where("at = 0").select("item", "item_id", "iw")
-    per_row = found.join(_sized(texts), "item").groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "iw", "shift")).alias("found"))
-    per_row = written(per_row, "decon-found")
-    read = joined(docs, _sized(per_row), ["doc_id", "row"]).select("doc_id", "row", _words(F.col("text")).alias("dw"), "found")
+    texts = windows.where("at = 0").select("item", "item_id", "iw", F.size("iw").alias("size"))
+    # to the documents go places alone; what stands there meets the items' words after that
+    places = F.collect_list(F.struct("item", "shift", "size"))
+    per_row = written(found.join(_sized(texts.select("item", "size")), "item").groupBy("doc_id", "row").agg(places.alias("found")), "decon-found")
+    read = joined(docs, _sized(per_row, 32 * F.size("found")), ["doc_id", "row"]).select("doc_id", "row", _words(F.col("text")).alias("dw"), "found")
 
-    def matched(x):
-        size = F.least(F.size(x["iw"]), F.lit(window))
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(x["iw"]) - size),
-            lambda s: (x["shift"] + s >= 0) & (F.slice("dw", F.greatest(x["shift"] + s, F.lit(0)) + 1, size) == F.slice(x["iw"], s + 1, size)),
-        )
-        return F.transform(starts, lambda s: F.struct(x["item_id"].alias("item_id"), (x["shift"] + s).alias("first"), size.alias("words")))
-
-    hits = read.select("doc_id", "row", F.flatten(F.transform("found", matched)).alias("hits"))
-    return hits.where(F.size("hits") > 0)
+    def stretch(x):
+        first = F.greatest(x["shift"], F.lit(0))
+        return F.struct(x["item"].alias("item"), x["shift"].alias("shift"), first.alias("first"), F.slice("dw", first + 1, F.greatest(x["shift"] + x["size"] - first, F.lit(0))).alias("part"))
+
+    parts = read.select("doc_id", "row", F.explode(F.transform("found", stretch)).alias("x")).select("doc_id", "row", "x.*").distinct()
+    parts = parts.join(_sized(texts, _lengths("iw")), "item")
+    size = F.least(F.col("size"), F.lit(window))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.col("size") - size),
+        lambda s: (F.col("shift") + s >= F.col("first")) & (F.slice("part", F.greatest(F.col("shift") + s - F.col("first"), F.lit(0)) + 1, size) == F.slice("iw", s + 1, size)),
+    )
+    hits = F.transform(starts, lambda s: F.struct(F.col("item_id"), (F.col("shift") + s).alias("first"), size.alias("words")))
+    hits = parts.select("doc_id", "row", hits.alias("hits")).where(F.size("hits") > 0)
+    return hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("hits")).alias("hits"))
 
 
 def _edits(words, part) -> F.Column:
@@ -130,16 +144,16 @@ def near_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: in
     postings = written(index(docs, rare.select("term").distinct()), "decon-postings")
     places = rare.select("item", "term", F.col("pos").alias("place")).distinct()
     places = places.join(windows.select("item", "allowed").distinct(), "item")
-    met = postings.join(_sized(places), "term").withColumn("shift", F.explode(F.sequence(F.col("pos") - F.col("place") - F.col("allowed"), F.col("pos") - F.col("place"))))
+    met = postings.join(_sized(places, F.octet_length("term")), "term").withColumn("shift", F.explode(F.sequence(F.col("pos") - F.col("place") - F.col("allowed"), F.col("pos") - F.col("place"))))
     met = met.groupBy("doc_id", "row", "item", "shift").agg(F.collect_set("place").alias("places"))
     wanted = rare.groupBy("item", "at").agg(F.collect_set("pos").alias("pos"))
     wanted = wanted.groupBy("item").agg(F.collect_list(F.struct("at", "pos")).alias("wanted")).join(windows.where("at = 0").select("item", "item_id", "iw", "allowed"), "item")
-    met = met.join(_sized(wanted), "item")
+    met = met.join(_sized(wanted, _lengths("iw") + 64 * F.size("wanted")), "item")
     enough = F.filter("wanted", lambda x: F.size(F.array_intersect(x["pos"], "places")) >= F.least(F.size(x["pos"]), F.lit(2)))
     found = met.select("doc_id", "row", "item_id", "iw", "allowed", "shift", F.explode(enough).alias("x"))
     found = found.select("doc_id", "row", F.struct("item_id", F.col("x.at").alias("at"), F.slice("iw", F.col("x.at") + 1, window).alias("words"), "allowed", "shift").alias("x"))
     per_row = written(found.groupBy("doc_id", "row").agg(F.collect_list("x").alias("found")), "decon-found")
-    read = joined(docs, _sized(per_row), ["doc_id", "row"]).select("doc_id", "row", _words(F.col("text")).alias("dw"), "found")
+    read = joined(docs, _sized(per_row, F.aggregate("found", F.lit(0).cast("long"), lambda n, x: n + 64 + 32 * F.size(x["words"]))), ["doc_id", "row"]).select("doc_id", "row", _words(F.col("text")).alias("dw"), "found")
 
     def stretch(x):
         first = F.greatest(x["shift"] + x["at"] - x["allowed"], F.lit(0))
@@ -180,7 +194,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """The rows of docs that hold no window of items; null doc_ids stay if their text is clean."""
     key = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     found = phrase_hits(key, items.select("item_id", "text"), window).select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row"))
-    return docs.join(_sized(written(found.distinct(), "decon-hit")), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left_anti")
+    return docs.join(_sized(written(found.distinct(), "decon-hit"), F.octet_length(F.col("_doc").cast("string"))), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_row")), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
