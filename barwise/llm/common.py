@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 
 
-#: Rows that go to a Python worker at once; rows hold whole texts.
-ARROW_ROWS = 500
+#: Rows and bytes that go to a Python worker at once; rows hold whole texts, and both sides hold a batch.
+ARROW_ROWS, ARROW_BYTES = 500, 8 << 20
 
 
 def _small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        held = re.fullmatch(r"(\d+)b?", spark.conf.get(name))
+        if not held or not 0 < int(held[1]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
