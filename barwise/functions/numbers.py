@@ -40,7 +40,9 @@ def parse_number(raw: Column) -> Column:
         compact = F.regexp_replace(F.regexp_replace(bare, ",", ""), r"(?<=[0-9])[  ](?=[0-9])", "")
         return _let(compact, lambda c: F.when(c.rlike(r"^[0-9]+(\.[0-9]+)?$"), c.try_cast("double")))
 
-    return _let(_strip(raw), lambda s: F.when(F.lower(s).isin(NIL), 0.0).when(s.rlike("[0-9]") & ~s.contains("%"), amount(s)))
+    # most tokens have no digit and need no more than one look
+    figure = _let(_strip(raw), lambda s: F.when(~s.contains("%"), amount(s)))
+    return F.when(raw.rlike("[0-9]"), figure).when(F.lower(_strip(raw)).isin(NIL), 0.0)
 
 
 def is_numberish(token: Column) -> Column:
