@@ -19,7 +19,7 @@ from barwise.functions import numbers as num
 from barwise.operators import actions as act
 from barwise.operators import bars as ops
 from barwise.operators import footing, ingest, integrity, layout
-from barwise.sources import html_tables, replay, vendor
+from barwise.sources import feeds, html_tables, replay, vendor
 from barwise.sources.store import BarStore
 from barwise.streaming import candles
 
@@ -616,6 +616,20 @@ def store_range_read(spark, d):
     return got.select(F.col("symbol").cast("long").alias("user_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+@query(f"""WITH {_CTE} SELECT symbol AS user_id, strftime(day, '%Y-%m-%d') AS day, open, high, low, close, volume FROM daily WHERE day >= DATE '2024-01-05' AND day < DATE '2024-02-10'""")
+def vendor_history(spark, d):
+    """All daily bars, stored as a vendor has them, come back through the history source in chunks that a filter on time chooses."""
+    days, zone = _read(spark, d, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")), spark.conf.get("spark.sql.session.timeZone")
+    rows = daily(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = _scratch(spark, "vendor")
+    rows.select("symbol", "ts", "open", "high", "low", "close", "volume").repartition("symbol").write.partitionBy("symbol").parquet(folder)
+    first, last = days.first()
+    symbols = sorted(str(r[0]) for r in rows.select("symbol").distinct().collect())
+    got = feeds.history(spark, feeds.ParquetReplay(folder, zone), symbols, "1d", first, last, chunk_days=30, zone=zone, quotas=8, per_second=1_000_000)
+    got = got.where("ts >= timestamp'2024-01-05 00:00:00' AND ts < timestamp'2024-02-10 00:00:00'")
+    return got.select(F.col("symbol").cast("long").alias("user_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "open", "high", "low", "close", "volume")
+
+
 @query("SELECT p_partkey % 50 AS page_id, p_brand AS symbol, p_brand || '.NS' AS ticker FROM part")
 def html_table_symbols(spark, d):
     """Symbols out of HTML tables that are made of the parts."""

@@ -69,6 +69,36 @@ class RateLimiter:
         self.last = self.clock()
 
 
+class ParquetReplay:
+    """A client for barwise_history that replays bars stored as Parquet, a folder ``symbol=...`` for each, in a shared folder.
+
+    It stands for a vendor: a request reads the days that it asks for of one symbol. ts is an instant; days are those of zone.
+    """
+
+    def __init__(self, folder: str, zone: str = ZONE):
+        self.folder, self.zone = folder, zone
+
+    def __call__(self, request: dict) -> list[dict]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import pyarrow.dataset as data
+        import pyarrow.fs
+
+        name = f"{self.folder}/symbol={request['symbol']}"
+        fs, path = pyarrow.fs.FileSystem.from_uri(name if "://" in name or name.startswith("file:") else f"file://{name}")
+        if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            return []
+        first = instant(request["first_day"], self.zone)
+        last = instant(request["last_day"], self.zone) + dt.timedelta(days=1)
+        rows = data.dataset(path, filesystem=fs, format="parquet").to_table(columns=["ts", "open", "high", "low", "close", "volume"])
+        ts = rows.column("ts")
+        # Parquet's older timestamps carry no zone and are UTC
+        ts = pc.assume_timezone(ts, "UTC") if ts.type.tz is None else ts
+        rows = rows.set_column(0, "ts", ts.cast(pa.timestamp("us", "UTC"), safe=False))
+        edge = lambda t: pa.scalar(t.astimezone(dt.UTC), pa.timestamp("us", "UTC"))
+        return rows.filter(pc.and_(pc.greater_equal(rows["ts"], edge(first)), pc.less(rows["ts"], edge(last)))).to_pylist()
+
+
 class Requests(ds.InputPartition):
     """Chunks that one task asks for in turn."""
 
