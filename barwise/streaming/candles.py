@@ -166,10 +166,10 @@ def desired_state(phase: Column) -> Column:
 
 
 def feed_state(phase: Column, connected: Column, age_s: Column, disconnected_s: Column, attempts: Column, max_attempts: int = 20) -> Column:
-    """idle, pre_open, connecting, live, stale, rest_fallback or halted."""
+    """idle, pre_open, connecting, live, stale, rest_fallback or halted. attempts counts the one being made."""
     return (
         F.when(desired_state(phase) != "live", desired_state(phase))
-        .when(attempts >= max_attempts, "halted")
+        .when(attempts > max_attempts, "halted")
         .when(~connected, F.when(wants_rest(disconnected_s), "rest_fallback").otherwise("connecting"))
         .when(wants_rest(age_s), "rest_fallback")
         .when(is_stale(age_s), "stale")

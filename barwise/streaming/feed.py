@@ -34,7 +34,8 @@ class FeedTimes(NamedTuple):
 
 
 def state_of(s: dict, now: int, times: FeedTimes) -> str:
-    """idle, pre_open, connecting, live, stale, rest_fallback or halted: the rule of candles.feed_state() for one feed."""
+    """idle, pre_open, connecting, live, stale, rest_fallback or halted: the rule of candles.feed_state() for one feed, whose
+    attempts are those that failed."""
     if s["phase"] != "continuous":
         return "pre_open" if s["phase"] == "pre_open" else "idle"
     if s["attempts"] >= times.max_attempts:
