@@ -28,7 +28,7 @@ END_ID = 1
 #: Tokens of a block on average; a block is one task's work.
 BLOCK_TOKENS = 4_000_000
 #: Words that an encoder keeps in each of two generations.
-_CACHE = 400_000
+_CACHE = 150_000
 # White space that other splitters see differently; a text with any of it is encoded whole.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 # Punctuation that may end a word; the pre-tokenizer cuts between the word's letters and it.
