@@ -12,8 +12,12 @@ it in groups of up to GROUP classes. The classes of larger groups are joined ane
 of its shingles (by counts in buckets, a bounded table), as many as it takes for two sets that reach the similarity to share
 one, and pairs meet only where what is left behind the shared shingle can still suffice. A rare shingle's list is short even
 where thousands of texts share a template. Lists of over GROUP classes are compared with pivots first; what is apart even
-then is compared in full, block by block. So no pair that a table brings together is given up: only a list that is long,
-similar enough by length and place, and yet falls into many components costs its square.
+then is compared in full, block by block. So no pair that a table brings together is given up.
+
+Every class carries a sketch of SKETCH_BITS: of each bucket of its shingles whether their number is odd. The bits in which two
+sketches differ are at most the shingles in which the sets differ, so pairs too far apart by them cannot be links and are left
+out where they meet, before any text is read. Of the rest of a long list each class outside is held first against the nearest
+one of each other component; what is still apart after that follows in full.
 """
 
 from __future__ import annotations
@@ -30,6 +34,10 @@ from barwise.llm.common import LOWER, U64, Rolling, checkpointed, dealt, flat, h
 COLLECTIONS, ROWS = 8, 2
 #: Classes that a group compares across components in one block, and pivots beside the most central one.
 GROUP, PIVOTS = 64, 3
+#: Bits of a class's sketch, in longs.
+SKETCH_BITS = 512
+_SKETCH = [f"w{i}" for i in range(SKETCH_BITS // 64)]
+_SKETCH_TYPE = f"struct<{','.join(f'{w}:long' for w in _SKETCH)}>"
 #: Buckets by which the rarity of shingles is known, as a power of two; their counts come to the driver.
 RARITY_BITS = 18
 _RARITY_SHIFT = U64(64 - RARITY_BITS)
@@ -71,6 +79,17 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndar
     return out
 
 
+def sketches(sets: list[np.ndarray]) -> pa.Array:
+    """The parities of the shingles' buckets: two of them differ in no more bits than their sets in shingles."""
+    size = [len(s) for s in sets]
+    at = np.repeat(np.arange(len(sets)), size) * SKETCH_BITS
+    if len(at):
+        at += (np.concatenate(sets) & U64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(sets) * SKETCH_BITS) & 1).astype(np.uint8)
+    words = np.packbits(odd).view(np.int64).reshape(len(sets), len(_SKETCH))
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(_SKETCH))], _SKETCH)
+
+
 def _signatures(width: int):
     def run(batches):
         for batch in pieces(batches, "text"):
@@ -88,7 +107,7 @@ def _signatures(width: int):
                         low = np.minimum.reduceat(mixed(every * _MUL[c * ROWS + r]), at)
                         keys[full, c] = mixed(keys[full, c] * _STEP[14] + low + U64(c))
             columns = [signed(np.ascontiguousarray(keys[:, c])) for c in range(COLLECTIONS)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), signed(one), signed(two), *columns], ["doc_id", "n_shingles", "s1", "s2", *(f"k{c}" for c in range(COLLECTIONS))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), signed(one), signed(two), *columns, sketches(sets)], ["doc_id", "n_shingles", "s1", "s2", *(f"k{c}" for c in range(COLLECTIONS)), "sketch"])
 
     return run
 
@@ -115,14 +134,15 @@ def _rarest(width: int, similarity_pct: int, often: np.ndarray):
     def run(batches):
         for batch in pieces(batches, "text"):
             keys = []
-            for s in shingle_sets(*flat(batch.column("text")), width):
+            sets = shingle_sets(*flat(batch.column("text")), width)
+            for s in sets:
                 count = often[(s >> _RARITY_SHIFT).astype(np.int64)]
                 order = np.lexsort((s, count))
                 after = len(s) - np.arange(len(s))
                 own = (100 * after >= similarity_pct * len(s)) & (count[order] > 1)
                 keys.append([{"key": k, "after": a, "n": len(s)} for k, a in zip(s[order][own].view(np.int64).tolist(), after[own].tolist(), strict=True)])
             kind = pa.list_(pa.struct([("key", pa.int64()), ("after", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("weight"), pa.array(keys, kind)], ["node", "weight", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("weight"), sketches(sets), pa.array(keys, kind)], ["node", "weight", "sketch", "keys"])
 
     return run
 
@@ -181,7 +201,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keys = [f"k{c}" for c in range(COLLECTIONS)]
-    signatures = written(texts.mapInArrow(_signatures(width), f"doc_id {kind}, n_shingles long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in keys)), "near-signatures")
+    signatures = written(texts.mapInArrow(_signatures(width), f"doc_id {kind}, n_shingles long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in keys) + f", sketch {_SKETCH_TYPE}"), "near-signatures")
     filled = signatures.where("n_shingles > 0")
     classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in keys))
     tables = F.array(*(F.xxhash64(F.lit(t), keys[i], keys[j]) for t, (i, j) in enumerate(combinations(range(COLLECTIONS), 2))))
@@ -190,9 +210,10 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
     crowded = hot_keys(sizes, "key", "members", sizes.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
     # from here a class is one row, with the keys of its groups; rows by key are made of it where groups are formed
     met = dealt(slots, sizes, "key", "node", crowded)
-    central = written(met.groupBy("node").agg(F.sum("members").alias("weight"), F.collect_list(F.struct("key", "n")).alias("keys")), "near-nodes")
+    central = met.groupBy("node").agg(F.sum("members").alias("weight"), F.collect_list(F.struct("key", "n")).alias("keys"))
+    central = written(central.join(filled.select(F.col("doc_id").alias("node"), "sketch").distinct(), "node"), "near-nodes")
     # the texts that any table brings together, once for all rounds
-    bodies = written(texts.join(central.select(F.col("node").alias("doc_id"), "weight"), "doc_id"), "near-texts")
+    bodies = written(texts.join(central.select(F.col("node").alias("doc_id"), "weight").distinct(), "doc_id"), "near-texts")
 
     def verified(candidates: DataFrame) -> DataFrame:
         candidates = written(candidates, "near-candidates")
@@ -203,30 +224,35 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         return written(both.select("a", "text_a", "b", "text_b").mapInArrow(_overlaps(width, similarity_pct), f"a {kind}, b {kind}"), "near-links")
 
     most = F.struct("weight", F.xxhash64("node"))
-    as_pivot = F.struct(F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"))
+    as_pivot = F.struct(F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("sketch").alias("sketch_p"))
+    gap = sum((F.bit_count(F.col(f"sketch.{w}").bitwiseXOR(F.col(f"sketch_p.{w}"))) for w in _SKETCH), F.lit(0))
+    similar = (F.lit(100 + similarity_pct) * gap <= F.lit(100 - similarity_pct) * (F.col("n") + F.col("n_p"))) & F.expr(f"100 * least(n, n_p) >= {similarity_pct} * greatest(n, n_p)")
 
     def with_pivots(groups: DataFrame, by: str, spread: int, hot: DataFrame) -> DataFrame:
         """Every member against the group's most central one and ``spread`` arbitrary ones."""
         chosen = [F.max_by(as_pivot, most), *(F.max_by(as_pivot, F.xxhash64("node", F.lit(i))) for i in range(spread))]
         pivots = groups.groupBy(by).agg(F.array_distinct(F.array(*chosen)).alias("x"))
-        met = dealt(groups.select(by, "node", "n", "component"), pivots, by, "node", hot)
-        return close(met.select("node", "n", "component", F.inline("x")))
+        met = dealt(groups.select(by, "node", "n", "component", "sketch"), pivots, by, "node", hot)
+        return paired(close(met.select("node", "n", "component", "sketch", F.inline("x"))))
 
     def close(met: DataFrame, more: str = "") -> DataFrame:
-        met = met.where("component != c_p" + more).where(f"100 * least(n, n_p) >= {similarity_pct} * greatest(n, n_p)")
+        """Those of different components that size and sketch let reach the similarity."""
+        return met.where("component != c_p" + more).where(similar)
+
+    def paired(met: DataFrame) -> DataFrame:
         return met.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
 
     def across(groups: DataFrame, by: str) -> DataFrame:
         """The members of each group of GROUP at most against those of other components."""
-        return close(groups.join(groups.select(by, as_pivot.alias("x")).select(by, "x.*"), by), " AND p < node")
+        return paired(close(groups.join(groups.select(by, as_pivot.alias("x")).select(by, "x.*"), by), " AND p < node"))
 
     def listed(nodes: DataFrame) -> DataFrame:
-        """Each class (node, weight) with its rarest shingles (key, after, n)."""
+        """Each class (node, weight, sketch) with its rarest shingles (key, after, n)."""
         rows = written(bodies.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "near-large-texts")
         often = np.zeros(1 << RARITY_BITS, np.int64)
         for r in rows.mapInArrow(_seen(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
             often[r["bucket"]] = r["n"]
-        return rows.mapInArrow(_rarest(width, similarity_pct, often), f"node {kind}, weight long, keys array<struct<key:long,after:long,n:long>>")
+        return rows.mapInArrow(_rarest(width, similarity_pct, often), f"node {kind}, weight long, sketch {_SKETCH_TYPE}, keys array<struct<key:long,after:long,n:long>>")
 
     def across_listed(groups: DataFrame) -> DataFrame:
         """As across() for lists of any length. Those outside a list's largest component meet all of it, a part of about GROUP at a time."""
@@ -244,7 +270,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         of the list is too large is not among its members.
         """
         named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = named.select("node", "weight", "component", F.inline("keys"))
+        rows = named.select("node", "weight", "component", "sketch", F.inline("keys"))
         whole = [F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")]
         fits = F.lit(True)
         if listed:
@@ -258,7 +284,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
             apart = written(dealt(apart.drop("members"), left, "key", "node", hot), "near-apart")
         return apart, hot
 
-    alone = central.select("node", "weight", F.col("node").alias("component"), F.inline("keys"))
+    alone = central.select("node", "weight", F.col("node").alias("component"), "sketch", F.inline("keys"))
     links = verified(with_pivots(alone, "key", PIVOTS, crowded))
     parts = written(_components(links), "near-components")
     apart, _ = still_apart(central, parts)
@@ -269,15 +295,24 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         if large.limit(1).count():
             listings = written(listed(large), "near-lists")
             lists, hot = still_apart(listings, parts, True)
-            rest = rest.unionByName(across_listed(lists.where(F.col("members") <= GROUP))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), "key", PIVOTS, hot))
+            rest = rest.unionByName(paired(across_listed(lists.where(F.col("members") <= GROUP)))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), "key", PIVOTS, hot))
         links = links.unionByName(verified(rest.distinct()))
         parts = written(_components(links), "near-components")
         if lists is not None:
             lists, _ = still_apart(listings, parts, True)
             lists = lists.where(F.col("members") > GROUP)
             if lists.limit(1).count():
-                links = links.unionByName(verified(across_listed(lists)))
+                met = across_listed(lists).groupBy(F.col("p").alias("a"), F.col("node").alias("b"), "c_p").agg(F.min(gap).alias("gap"))
+                met = written(met, "near-met")
+                nearest = written(met.groupBy("b", "c_p").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b").distinct(), "near-nearest")
+                links = links.unionByName(verified(nearest))
                 parts = written(_components(links), "near-components")
+                ends = [parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
+                left = met.select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+                left = written(left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "near-left")
+                if left.limit(1).count():
+                    links = links.unionByName(verified(left))
+                    parts = written(_components(links), "near-components")
     found = classes.select("s1", "s2", "n_shingles", "node").join(parts, "node", "left")
     found = found.select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     own = filled.select("doc_id", "s1", "s2", "n_shingles").join(found, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")

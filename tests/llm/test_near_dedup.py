@@ -1,7 +1,11 @@
 import random
 import re
 
-from barwise.llm.near_dedup import near_classes, near_dedup
+import numpy as np
+
+import barwise.llm.near_dedup as near_dedup_module
+from barwise.llm.common import written
+from barwise.llm.near_dedup import near_classes, near_dedup, sketches
 
 
 def brute(rows, width, pct):
@@ -79,3 +83,36 @@ def test_families_inside_a_large_template_group(spark):
         recall = sum(component[a] == component[b] for a, b in families) / len(families)
         assert recall == 1.0, f"recall {recall} at {pct} %"
         assert got == brute(rows, width, pct)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 40, 3000):
+        one = r.integers(0, 2**63, n).astype(np.uint64)
+        for changed in (0, 1, n // 10, n):
+            two = np.concatenate([one[changed:], r.integers(0, 2**63, changed).astype(np.uint64)])
+            a, b = (list(x.values()) for x in sketches([one, two]).to_pylist())
+            assert sum(((x ^ y) & 2**64 - 1).bit_count() for x, y in zip(a, b, strict=True)) <= len(np.setxor1d(one, two))
+
+
+def test_texts_read_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """One template, edited lightly or heavily: those far from it meet the whole group, and few pairs of texts are read for it."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(600):
+        t = list(base)
+        for k in r.sample(range(150), r.choice([1, 2, 3, 5, 6, 7, 8])):
+            t[k] = word()
+        rows.append((i, " ".join(t)))
+    read = []
+
+    def counted(df, name):
+        got = written(df, name)
+        read.extend([got.count()] if name == "near-candidates" else [])
+        return got
+
+    monkeypatch.setattr(near_dedup_module, "written", counted)
+    got = sorted(tuple(x) for x in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows, 5, 80)
+    assert sum(read) <= 12 * len(rows), read
