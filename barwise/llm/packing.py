@@ -12,8 +12,10 @@ A block's last tokens fill sequences of descending powers of two, which need no
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
 
 
-_LETTERS = _byte_letters()
+_LETTERS = "".join(_byte_letters())
+# Latin-1 texts are lower-cased as bytes at once; their odd white space is left out, so that a shorter result has some.
+_LOW = bytes(ord(chr(b).lower()) for b in range(256))
+_ODD_LATIN = bytes(b for b in range(256) if _ODD.match(chr(b)))
+_POINTS_LATIN = _POINTS.encode()
+# Where no two of what is neither letter, number nor white space stand together, commas and full stops end words alone.
+_KINDS = bytes(32 if chr(b).isspace() else 97 if unicodedata.category(chr(b))[0] in "LN" else 46 for b in range(256))
+_ALONE = [(mark + space, b" " + mark + b" ") for mark in (b",", b".") for space in (b" ", b"\n")]
 
 
 def tokenizer_path() -> str:
@@ -51,10 +60,34 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Words(dict):
+    """Words to their ids as bytes; one that is not here comes from the generation before or is encoded."""
+
+    def __init__(self, encode, older: dict):
+        super().__init__()
+        self._encode, self.older = encode, older
+
+    def __missing__(self, word: bytes | str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self._encode(word)
+        self[word] = ids
+        return ids
+
+
 class _Encoder:
     """Token ids of texts as bytes of little-endian 32-bit ids; words between white space are encoded once and kept.
 
-    A word of letters alone is one pre-token, so it goes straight to the tokenizer's model; others take the whole way.
+    Lower-casing and composition are the tokenizer's normalization. In texts of Latin-1 alone, which hold nothing to compose, words
+    are lower-cased bytes, so that one entry serves every way to write a word; in others they are strings as they stand. A word of
+    letters alone is one pre-token, so it goes straight to the tokenizer's model; others take the whole way.
     """
 
     _made: dict = {}
@@ -64,8 +97,7 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Words(self._word, {})
 
     @classmethod
     def of(cls, path: str) -> "_Encoder":
@@ -73,8 +105,24 @@ class _Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word that is not known yet: letters, perhaps with punctuation after them, or anything else."""
+    def _latin(self, word: bytes) -> bytes:
+        """Ids of a lower-case Latin-1 word that is not known yet: letters, perhaps with punctuation after them, or anything else."""
+        core = word.rstrip(_POINTS_LATIN)
+        if core.isalpha():  # of ASCII
+            if len(core) < len(word):
+                return self.known[core] + self.known[word[len(core) :]]
+            return self._letters(core.decode())
+        text = word.decode("latin-1")
+        if text[: len(core)].isalpha():
+            if len(core) < len(word):
+                return self.known[core] + self.known[word[len(core) :]]
+            return self._letters(charmap_decode(text.encode(), "strict", _LETTERS)[0])
+        return self._whole(text)
+
+    def _word(self, word: bytes | str) -> bytes:
+        """As _latin for a word of any letters, as it stands in its text."""
+        if type(word) is bytes:
+            return self._latin(word)
         core = word.rstrip(_POINTS)
         if core.isalpha():
             if core.isascii():
@@ -84,37 +132,37 @@ class _Encoder:
             # letters may become letters with marks behind them, which the pre-tokenizer puts to the punctuation
             if low.isalpha():
                 if len(core) < len(word):
-                    ids = self._get(core) + self._get(word[len(core) :])
-                    self.known[word] = ids
-                    return ids
-                if not low.isascii():
-                    low = "".join([_LETTERS[b] for b in low.encode()])
-                ids = np.array([t.id for t in self.model.tokenize(low)], "<u4").tobytes()
-                self.known[word] = ids
-                return ids
-        ids = self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+                    return self.known[core] + self.known[word[len(core) :]]
+                return self._letters(charmap_decode(low.encode(), "strict", _LETTERS)[0])
+        return self._whole(word)
 
-    def _get(self, word: str) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            got = self.older.get(word)
-            if got is None:
-                return self._word(word)
-            self.known[word] = got
-        return got
+    def _letters(self, word: str) -> bytes:
+        return _packed([t.id for t in self.model.tokenize(word)])
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text) or "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > _CACHE:
-            self.known, self.older = {}, self.known
-        words = text.split()
-        found = list(map(self.known.get, words))
+        if "<|" in text:
+            return self._whole(text)
         try:
-            return b"".join(found)
-        except TypeError:  # some are not known
-            return b"".join([self._get(w) if f is None else f for w, f in zip(words, found, strict=True)])
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            if _ODD.search(text):
+                return self._whole(text)
+            words = text.split()
+        else:
+            low = raw.translate(_LOW, _ODD_LATIN)
+            if len(low) < len(raw):
+                return self._whole(text)
+            if b".." not in low.translate(_KINDS):
+                for mark, alone in _ALONE:
+                    low = low.replace(mark, alone)
+            words = low.split()
+        if len(self.known) > _CACHE:
+            self.known.older = {}
+            self.known = _Words(self._word, self.known)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def _tokens(path: str, end_id: int):

@@ -117,3 +117,40 @@ def test_random_texts_of_all_blocks_encode_alike():
     texts += ["".join(r.choice(chars[i : i + 400]) if r.random() < 0.7 else r.choice(" .,;:!?") for _ in range(30)) for i in range(0, len(chars), 150)]
     for t, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == want.ids, t
+
+
+def test_latin_texts_encode_alike():
+    """Letters, punctuation and white space of Latin-1 in any order; commas and full stops alone, beside others and at the ends."""
+    e = _Encoder(tokenizer_path())
+    r = random.Random(3)
+    chars = [chr(c) for c in range(256)]
+    words = ["Über", "it's", "NAÏVE", "straße", "a", "x1", "3", "²", "'s", "º", "µ", "don't've", "ÿ"]
+    marks = [",", ".", ", ", ". ", ".\n", ",\n", " ,", "...", '",', " ", "\r\n", "\t", "?", "%. ", "\xa0", "\x85"]
+    texts = ["".join(r.choice(chars) if r.random() < 0.3 else r.choice("aÉ .,'\n") for _ in range(r.randint(1, 15))) for _ in range(20_000)]
+    texts += ["".join(r.choice(words) + r.choice(marks) for _ in range(r.randint(1, 6))) for _ in range(20_000)]
+    texts += [t + " €" for t in texts[::20]]
+    for t, want in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == want.ids, t
+
+
+def test_ways_to_write_a_word_are_encoded_once():
+    e = _Encoder(tokenizer_path())
+    seen = []
+
+    class Model:
+        def tokenize(self, word):
+            seen.append(word)
+            return e.tokenizer.model.tokenize(word)
+
+    e.model = Model()
+    text = "Blendung, blendung. BLENDUNG Über, über: ÜBER\nblendung"
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(seen) == 2
+
+
+def test_words_of_an_earlier_generation_are_kept(monkeypatch):
+    monkeypatch.setattr("barwise.llm.packing._CACHE", 2)
+    e = _Encoder(tokenizer_path())
+    for t in ["one two three", "one four", "five six", "one two", "seven", "é one ж"]:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert not getattr(e.known.older, "older", None)
