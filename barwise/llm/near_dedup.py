@@ -16,8 +16,8 @@ then is compared in full, block by block. So no pair that a table brings togethe
 
 Every class carries a sketch of SKETCH_BITS: of each bucket of its shingles whether their number is odd. The bits in which two
 sketches differ are at most the shingles in which the sets differ, so pairs too far apart by them cannot be links and are left
-out where they meet, before any text is read. Of the rest of a long list each class outside is held first against the nearest
-one of each other component; what is still apart after that follows in full.
+out where they meet, before any text is read. What a long list that falls into many components costs by its square is the
+comparison of sketches; texts are read for pairs that are links or nearly so.
 """
 
 from __future__ import annotations
@@ -134,15 +134,14 @@ def _rarest(width: int, similarity_pct: int, often: np.ndarray):
     def run(batches):
         for batch in pieces(batches, "text"):
             keys = []
-            sets = shingle_sets(*flat(batch.column("text")), width)
-            for s in sets:
+            for s in shingle_sets(*flat(batch.column("text")), width):
                 count = often[(s >> _RARITY_SHIFT).astype(np.int64)]
                 order = np.lexsort((s, count))
                 after = len(s) - np.arange(len(s))
                 own = (100 * after >= similarity_pct * len(s)) & (count[order] > 1)
                 keys.append([{"key": k, "after": a, "n": len(s)} for k, a in zip(s[order][own].view(np.int64).tolist(), after[own].tolist(), strict=True)])
             kind = pa.list_(pa.struct([("key", pa.int64()), ("after", pa.int64()), ("n", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("weight"), sketches(sets), pa.array(keys, kind)], ["node", "weight", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("weight"), pa.array(keys, kind)], ["node", "weight", "keys"])
 
     return run
 
@@ -224,44 +223,54 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         return written(both.select("a", "text_a", "b", "text_b").mapInArrow(_overlaps(width, similarity_pct), f"a {kind}, b {kind}"), "near-links")
 
     most = F.struct("weight", F.xxhash64("node"))
-    as_pivot = F.struct(F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("sketch").alias("sketch_p"))
+    as_pivot = F.struct(F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"))
+    with_sketch = F.struct(F.col("node").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("c_p"), F.col("sketch").alias("sketch_p"))
+    sized = F.expr(f"100 * least(n, n_p) >= {similarity_pct} * greatest(n, n_p)")
     gap = sum((F.bit_count(F.col(f"sketch.{w}").bitwiseXOR(F.col(f"sketch_p.{w}"))) for w in _SKETCH), F.lit(0))
-    similar = (F.lit(100 + similarity_pct) * gap <= F.lit(100 - similarity_pct) * (F.col("n") + F.col("n_p"))) & F.expr(f"100 * least(n, n_p) >= {similarity_pct} * greatest(n, n_p)")
+    near = F.lit(100 + similarity_pct) * gap <= F.lit(100 - similarity_pct) * (F.col("n") + F.col("n_p"))
 
     def with_pivots(groups: DataFrame, by: str, spread: int, hot: DataFrame) -> DataFrame:
         """Every member against the group's most central one and ``spread`` arbitrary ones."""
         chosen = [F.max_by(as_pivot, most), *(F.max_by(as_pivot, F.xxhash64("node", F.lit(i))) for i in range(spread))]
         pivots = groups.groupBy(by).agg(F.array_distinct(F.array(*chosen)).alias("x"))
-        met = dealt(groups.select(by, "node", "n", "component", "sketch"), pivots, by, "node", hot)
-        return paired(close(met.select("node", "n", "component", "sketch", F.inline("x"))))
+        met = dealt(groups.select(by, "node", "n", "component"), pivots, by, "node", hot).select("node", "n", "component", F.inline("x"))
+        met = met.where("component != c_p").where(sized).select("p", "n_p", "node", "n").distinct()
+        own = central.select(F.col("node").alias("p"), F.col("sketch").alias("sketch_p"))
+        return paired(met.join(central.select("node", "sketch"), "node").join(own, "p"))
 
-    def close(met: DataFrame, more: str = "") -> DataFrame:
-        """Those of different components that size and sketch let reach the similarity."""
-        return met.where("component != c_p" + more).where(similar)
+    def close(groups: DataFrame, others: DataFrame, by: list[str], more: str) -> DataFrame:
+        """The rows of groups with others of the same group (p, n_p, c_p, sketch_p) in other components."""
+        return paired(groups.join(others, by).where("component != c_p" + more).where(sized))
 
     def paired(met: DataFrame) -> DataFrame:
-        return met.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+        """Those that the sketches let reach the similarity."""
+        return met.where(near).select(F.col("p").alias("a"), F.col("node").alias("b")).distinct()
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        return rows.join(central.select("node", "sketch"), "node")
 
     def across(groups: DataFrame, by: str) -> DataFrame:
         """The members of each group of GROUP at most against those of other components."""
-        return paired(close(groups.join(groups.select(by, as_pivot.alias("x")).select(by, "x.*"), by), " AND p < node"))
+        groups = sketched(groups)
+        return close(groups, groups.select(by, with_sketch.alias("x")).select(by, "x.*"), [by], " AND p < node")
 
     def listed(nodes: DataFrame) -> DataFrame:
-        """Each class (node, weight, sketch) with its rarest shingles (key, after, n)."""
+        """Each class (node, weight) with its rarest shingles (key, after, n)."""
         rows = written(bodies.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), "near-large-texts")
         often = np.zeros(1 << RARITY_BITS, np.int64)
         for r in rows.mapInArrow(_seen(width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
             often[r["bucket"]] = r["n"]
-        return rows.mapInArrow(_rarest(width, similarity_pct, often), f"node {kind}, weight long, sketch {_SKETCH_TYPE}, keys array<struct<key:long,after:long,n:long>>")
+        return rows.mapInArrow(_rarest(width, similarity_pct, often), f"node {kind}, weight long, keys array<struct<key:long,after:long,n:long>>")
 
     def across_listed(groups: DataFrame) -> DataFrame:
         """As across() for lists of any length. Those outside a list's largest component meet all of it, a part of about GROUP at a time."""
         parts = F.ceil(F.col("members") / GROUP).cast("int")
         held = groups.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+        groups = sketched(groups)
         shares = groups.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-        shares = shares.select("key", "part", as_pivot.alias("y"), F.col("after").alias("after_p")).select("key", "part", "y.*", "after_p")
+        shares = shares.select("key", "part", with_sketch.alias("y"), F.col("after").alias("after_p")).select("key", "part", "y.*", "after_p")
         outside = groups.join(held, "key").where("component != main").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        return close(outside.join(shares, ["key", "part"]), f" AND {100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)")
+        return close(outside, shares, ["key", "part"], f" AND {100 + similarity_pct} * least(after, after_p) >= {similarity_pct} * (n + n_p)")
 
     def still_apart(nodes: DataFrame, parts: DataFrame, listed: bool = False) -> tuple[DataFrame, DataFrame]:
         """The members of the groups that hold several components yet, with those and the number of members; and the hot keys.
@@ -270,7 +279,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         of the list is too large is not among its members.
         """
         named = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows = named.select("node", "weight", "component", "sketch", F.inline("keys"))
+        rows = named.select("node", "weight", "component", F.inline("keys"))
         whole = [F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")]
         fits = F.lit(True)
         if listed:
@@ -284,7 +293,7 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
             apart = written(dealt(apart.drop("members"), left, "key", "node", hot), "near-apart")
         return apart, hot
 
-    alone = central.select("node", "weight", F.col("node").alias("component"), "sketch", F.inline("keys"))
+    alone = central.select("node", "weight", F.col("node").alias("component"), F.inline("keys"))
     links = verified(with_pivots(alone, "key", PIVOTS, crowded))
     parts = written(_components(links), "near-components")
     apart, _ = still_apart(central, parts)
@@ -295,24 +304,15 @@ def near_classes(docs: DataFrame, width: int = 5, similarity_pct: int = 80) -> D
         if large.limit(1).count():
             listings = written(listed(large), "near-lists")
             lists, hot = still_apart(listings, parts, True)
-            rest = rest.unionByName(paired(across_listed(lists.where(F.col("members") <= GROUP)))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), "key", PIVOTS, hot))
+            rest = rest.unionByName(across_listed(lists.where(F.col("members") <= GROUP))).unionByName(with_pivots(lists.where(F.col("members") > GROUP), "key", PIVOTS, hot))
         links = links.unionByName(verified(rest.distinct()))
         parts = written(_components(links), "near-components")
         if lists is not None:
             lists, _ = still_apart(listings, parts, True)
             lists = lists.where(F.col("members") > GROUP)
             if lists.limit(1).count():
-                met = across_listed(lists).groupBy(F.col("p").alias("a"), F.col("node").alias("b"), "c_p").agg(F.min(gap).alias("gap"))
-                met = written(met, "near-met")
-                nearest = written(met.groupBy("b", "c_p").agg(F.min_by("a", F.struct("gap", "a")).alias("a")).select("a", "b").distinct(), "near-nearest")
-                links = links.unionByName(verified(nearest))
+                links = links.unionByName(verified(across_listed(lists)))
                 parts = written(_components(links), "near-components")
-                ends = [parts.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab"]
-                left = met.select("a", "b").distinct().join(nearest, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-                left = written(left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "near-left")
-                if left.limit(1).count():
-                    links = links.unionByName(verified(left))
-                    parts = written(_components(links), "near-components")
     found = classes.select("s1", "s2", "n_shingles", "node").join(parts, "node", "left")
     found = found.select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     own = filled.select("doc_id", "s1", "s2", "n_shingles").join(found, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
