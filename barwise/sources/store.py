@@ -1,4 +1,8 @@
-"""Bar store: Parquet by exchange, symbol, timeframe and month, with upserts that appear at once.
+"""Bar store: Parquet by exchange, bucket of symbols, timeframe and month, with upserts that appear at once.
+
+A symbol belongs to one of a fixed number of buckets, by hash. With a folder for each symbol a month has as many files as there
+are symbols, of a few kilobytes each, and writing, committing and listing them outgrows the bars; buckets bound that number.
+Rows lie by symbol and time, so a reader of one symbol prunes to its bucket's months and skips row groups by their bounds.
 
 An upsert writes the months that it touches into a new version folder and then adds one commit file that names them; the newest
 commit of a month says which version holds it. A commit file appears whole or not at all, and its number can be taken once, so
@@ -12,16 +16,17 @@ import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwise.functions.numbers import safe_name
 from barwise.operators.bars import coverage
 from barwise.operators.integrity import keep_last
 from barwise.schemas import BAR, TIMEFRAMES, conform, require, require_zoned
 
-PARTITIONS = ["exchange", "symbol_key", "timeframe", "ym"]
-_COMMIT = "commit long, version string, exchange string, symbol_key string, timeframe string, ym int, writer string, batch long"
+PARTITIONS = ["exchange", "bucket", "timeframe", "ym"]
+#: Buckets of symbols; a store keeps the number that it was made with.
+BUCKETS = 128
+_COMMIT = "commit long, version string, exchange string, bucket int, timeframe string, ym int, writer string, batch long"
 #: How often an upsert merges anew when other writers were faster.
 TRIES = 5
 
@@ -30,6 +35,10 @@ class ConflictError(RuntimeError):
     """Other writers took every number that an upsert tried for."""
 
 
+def bucket_of(symbol: Column) -> Column:
+    return F.pmod(F.hash(symbol), F.lit(BUCKETS))
+
+
 class BarStore:
     """Reads prune months; writes replace the touched months only, later rows winning. The raw symbol stays a column."""
 
@@ -72,7 +81,10 @@ class BarStore:
         last = self._latest() if upto is None else upto
         if not last:
             return self.spark.createDataFrame([], _COMMIT)
-        return self.spark.read.schema(_COMMIT).json(f"{self.root}/_commits").where(F.col("commit") <= last)
+        rows = self.spark.read.schema(_COMMIT).json(f"{self.root}/_commits").where(F.col("commit") <= last)
+        # a store with a folder for each symbol must not look empty
+        older = F.col("ym").isNotNull() & F.col("bucket").isNull()
+        return rows.withColumn("bucket", F.when(older, F.raise_error(F.lit("this store has a folder for each symbol; write its bars into a new one"))).otherwise(F.col("bucket")))
 
     def _table(self, upto: int | None = None) -> DataFrame | None:
         """The rows of all months as of a commit, with the partition columns."""
@@ -80,7 +92,7 @@ class BarStore:
         if not last:
             return None
         ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BAR if f.name not in ("exchange", "timeframe"))
-        rows = self.spark.read.schema(f"{ddl}, version string, exchange string, symbol_key string, timeframe string, ym int").parquet(f"{self.root}/data")
+        rows = self.spark.read.schema(f"{ddl}, version string, exchange string, bucket int, timeframe string, ym int").parquet(f"{self.root}/data")
         live = self.commits(last).where("ym IS NOT NULL").groupBy(*PARTITIONS).agg(F.max_by("version", "commit").alias("version"))
         return rows.join(live, [*PARTITIONS, "version"], "left_semi").drop("version")
 
@@ -91,7 +103,7 @@ class BarStore:
             return self.spark.createDataFrame([], BAR)
         rows = table.where((F.col("exchange") == exchange) & (F.col("timeframe") == timeframe))
         if symbol is not None:
-            rows = rows.where((F.col("symbol_key") == safe_name(F.lit(symbol))) & (F.col("symbol") == symbol))
+            rows = rows.where((F.col("bucket") == bucket_of(F.lit(symbol))) & (F.col("symbol") == symbol))
         for bound, op in ((start, ">="), (end, "<=")):
             if bound is not None:
                 at = F.lit(bound).cast("timestamp")
@@ -110,7 +122,7 @@ class BarStore:
         """
         require_zoned(require(bars, ["exchange", "symbol", "timeframe", "ts", "open", "high", "low", "close", "volume"]))
         own = conform(bars, BAR).withColumn("_order", F.col(order).cast("long") if order else F.lit(0).cast("long"))
-        own = own.withColumn("symbol_key", safe_name(F.col("symbol"))).withColumn("ym", F.date_format("ts", "yyyyMM").cast("int")).withColumn("_new", F.lit(1))
+        own = own.withColumn("bucket", bucket_of(F.col("symbol"))).withColumn("ym", F.date_format("ts", "yyyyMM").cast("int")).withColumn("_new", F.lit(1))
         key = ["exchange", "symbol", "timeframe", "ts"]
         values = ["close", "volume", "open", "high", "low", "oi"]
         own = keep_last(own, key, [F.col("_order"), *values]).cache()
@@ -126,7 +138,8 @@ class BarStore:
                     held = table.join(own.select(*PARTITIONS).distinct(), PARTITIONS, "left_semi").withColumn("_order", F.lit(0).cast("long")).withColumn("_new", F.lit(0))
                     rows = keep_last(held.unionByName(own), key, [F.col("_new"), F.col("_order")])
                 version = uuid.uuid4().hex
-                out = rows.drop("_order", "_new").repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "ts")
+                # a month of a bucket is one file, or several where it is large
+                out = rows.drop("_order", "_new").hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "symbol", "ts")
                 out.write.option("compression", "zstd").partitionBy(*PARTITIONS).parquet(f"{self.root}/data/version={version}")
                 writer, number = batch or (None, None)
                 if self._commit(base + 1, [{"commit": base + 1, "version": version, **m, "writer": writer, "batch": number} for m in months]):
@@ -163,5 +176,5 @@ class BarStore:
         table = self._table()
         if table is None:
             return []
-        rows = table.where((F.col("exchange") == exchange) & (F.col("symbol_key") == safe_name(F.lit(symbol)))).select("timeframe").distinct().collect()
+        rows = table.where((F.col("exchange") == exchange) & (F.col("bucket") == bucket_of(F.lit(symbol))) & (F.col("symbol") == symbol)).select("timeframe").distinct().collect()
         return sorted((r[0] for r in rows if r[0] in TIMEFRAMES), key=list(TIMEFRAMES).index)
